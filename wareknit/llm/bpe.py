@@ -15,6 +15,7 @@ from array import array
 MEMO_ENTRIES = 500_000
 #: Characters outside this class send a text to the library.
 OUTSIDE = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]").search
+ODD_SPACE = re.compile(r"[^\S \n]|\s\n").search
 #: Below U+0250, the numbers that aren't ASCII digits.
 ODD_NUMBERS = "²³¹¼½¾"
 LETTER, NUMBER = rf"[^\W\d_{ODD_NUMBERS}]", rf"[\d{ODD_NUMBERS}]"
@@ -34,6 +35,7 @@ class Bpe:
         self.lib = Tokenizer.from_file(path)
         self.model = self.lib.model
         self.memo: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -61,30 +63,52 @@ class Bpe:
         """Ids as unsigned 32-bit integers."""
         if not self.plain(text):
             return array("I", self.whole(text)).tobytes()
-        words, memo = self.words(text.lower() if self.lower else text), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = array("I", self.word(w)).tobytes()
-            return b"".join([memo[w] for w in words])
+        if self.lower:
+            return looked_up(self.chunks, text.lower().split(), self.words_ids)
+        # Words begin at a space before anything but white space, and on both sides of a lone line feed.
+        if not ODD_SPACE(text):
+            chunks = text.replace("\n", " \n").split(" ")
+            if "" not in chunks:
+                return self.words_ids(chunks[0]) + looked_up(self.chunks, chunks[1:], self.chunk_ids)
+        return self.words_ids(text)
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        return self.words_ids(chunk if chunk[0] == "\n" else " " + chunk)
+
+    def words_ids(self, text: str) -> bytes:
+        return looked_up(self.memo, self.words(text), self.word_ids)
+
+    def word_ids(self, word: str) -> bytes:
+        return array("I", self.word(word)).tobytes()
 
     def count(self, text: str) -> int:
         if not self.plain(text):
             return len(self.whole(text))
-        words, counts = self.words(text.lower() if self.lower else text), self.counts
+        if not self.lower:
+            return len(self.ids(text)) // 4
+        chunks, counts = text.lower().split(), self.counts
         try:
-            return sum([counts[w] for w in words])
+            return sum([counts[w] for w in chunks])
         except KeyError:
-            if len(counts) > 2 * MEMO_ENTRIES:
+            if len(counts) > MEMO_ENTRIES:
                 counts.clear()
-            for w in words:
+            for w in chunks:
                 if w not in counts:
-                    counts[w] = len(self.word(w))
-            return sum([counts[w] for w in words])
+                    counts[w] = len(self.words_ids(w)) // 4
+            return sum([counts[w] for w in chunks])
+
+
+def looked_up(memo: dict[str, bytes], keys: list[str], make) -> bytes:
+    """What make gives for all keys, joined."""
+    try:
+        return b"".join([memo[k] for k in keys])
+    except KeyError:
+        if len(memo) > MEMO_ENTRIES:
+            memo.clear()
+        for k in keys:
+            if k not in memo:
+                memo[k] = make(k)
+        return b"".join([memo[k] for k in keys])
 
 
 _loaded: dict[str, Bpe] = {}

@@ -7,7 +7,7 @@ Selector 15 is an escape: the next word is one id of up to 64 bits as it is. A b
     lengths  uint32, one for each document: its number of ids
     offsets  uint32, one for each document: the word it starts at (each document starts a word)
 
-Blocks are rows of a Parquet folder (part, block, doc_ids, starts, lengths, offsets, words), so that the folder can lie
+Blocks are rows of a Parquet folder (part, block, ids before it in its part, ids in it, doc_ids, lengths, offsets, words), so that the folder can lie
 in any store that Spark writes, and a lost task writes its blocks again.
 
 Order: documents are dealt to parts by ranges of their id whose bounds come from the id column alone, ordered inside
@@ -36,7 +36,8 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int
 WIDTHS = 60 // COUNTS
 ESCAPE = 15
 BLOCK_WORDS = 32_768
-MB_OF_PART = 32
+#: Ids are packed so many at a time.
+IDS_AT_ONCE = 200_000
 
 
 def pack(ids: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +123,18 @@ def packed_ids(text: Column, path: str, end_id: int) -> Column:
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         b, end = bpe(path), np.uint32(end_id).tobytes()
         for batch in batches:
-            rows = [b.ids(t.as_py() or "") + end for t in batch]
-            n = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-            words, at = pack(np.frombuffer(b"".join(rows), np.uint32), np.cumsum(n))
-            binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(words)])
+            n, words = [], []
+            rows, held = [], 0
+            for i, t in enumerate(batch):
+                rows.append(b.ids(t.as_py() or "") + end)
+                held += len(rows[-1]) // 4
+                if held >= IDS_AT_ONCE or i + 1 == len(batch):
+                    sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
+                    flat, at = pack(np.frombuffer(b"".join(rows), np.uint32), np.cumsum(sizes))
+                    n.append(sizes)
+                    words += [flat[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
+                    rows, held = [], 0
+            n, binary = np.concatenate(n) if n else np.empty(0, np.int64), pa.array(words, pa.binary())
             yield pa.StructArray.from_arrays([pa.array(n), binary], ["n", "words"])
 
     return packed(text)
@@ -156,27 +165,25 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, path: str, parts:
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
 
 
-BLOCK_SCHEMA = "part int, block int, ids_in_block long, doc_ids array<bigint>, lengths binary, offsets binary, words binary"
+BLOCK_SCHEMA = "part int, block int, ids_before long, ids_in_block long, doc_ids array<bigint>, lengths binary, offsets binary, words binary"
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins the sorted rows of a partition to blocks."""
-    part, block = None, 0
+    part, block, before = None, 0, 0
     doc_ids, lengths, offsets, words, held = [], [], [], [], 0
 
     def taken() -> pa.RecordBatch:
-        arrays = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([sum(lengths)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64()))]
+        arrays = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64()))]
         arrays += [pa.array([x], pa.binary()) for x in (np.array(lengths, "<u4").tobytes(), np.array(offsets, "<u4").tobytes(), b"".join(words))]
-        return pa.RecordBatch.from_arrays(arrays, ["part", "block", "ids_in_block", "doc_ids", "lengths", "offsets", "words"])
+        return pa.RecordBatch.from_arrays(arrays, ["part", "block", "ids_before", "ids_in_block", "doc_ids", "lengths", "offsets", "words"])
 
     for batch in batches:
         for p, d, n, w in zip(*(c.to_pylist() for c in batch.columns)):
             if doc_ids and (p != part or held + len(w) // 8 > BLOCK_WORDS):
                 yield taken()
-                block = block + 1 if p == part else 0
+                block, before = (block + 1, before + sum(lengths)) if p == part else (0, 0)
                 doc_ids, lengths, offsets, words, held = [], [], [], [], 0
-            elif p != part:
-                block = 0
             part = p
             doc_ids.append(d)
             lengths.append(n)
@@ -190,20 +197,15 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_blocks(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids array<bigint>, read from the blocks."""
     stored = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    # Parts are numbered in order; blocks hold thousands of ids, so that two levels of sums stay small.
     sums = stored.groupBy("part").agg(F.sum("ids_in_block").alias("n"))
     before = {r["part"]: r["n"] for r in sums.collect()}  # one number for each part; their count is a parameter
     total, part_starts = 0, {}
     for p in sorted(before):
         part_starts[p] = total
         total += before[p]
-    from pyspark.sql import Window
-
-    in_part = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = stored.select("part", "block", "ids_in_block").withColumn("inside", F.coalesce(F.sum("ids_in_block").over(in_part), F.lit(0)))
     starts = F.create_map(*[F.lit(x) for pair in part_starts.items() for x in pair]) if part_starts else F.create_map(F.lit(0), F.lit(0))
-    places = places.select("part", "block", (F.col("inside") + starts[F.col("part")]).alias("block_start"))
-    return stored.join(places, ["part", "block"]).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids array<bigint>")
+    placed = stored.withColumn("block_start", F.col("ids_before") + starts[F.col("part")])
+    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids array<bigint>")
 
 
 def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,13 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, table
+from .common import default_tokenizer, table, whole_text
 
 
 def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, loss_text, read_turns
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    out = format_conversations(turns.unionByName(extra)).select("conv_id", "formatted", loss_text(F.col("pieces")).alias("loss"), read_turns(F.col("formatted")).alias("turns"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, learn_from_documents, predicted
+
+    docs = table(spark, sf_dir, "documents")
+    guess = predicted(F.col("text"), learn_from_documents(docs))
+    return docs.select("doc_id", held_out().alias("held_out"), guess.alias("g")).select("doc_id", "held_out", F.col("g.lang").alias("lang_pred"), "g.score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .counts import count_tokens
 
@@ -21,6 +57,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprint_groups, fingerprint_hex
+
+    found = fingerprint_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_documents
 
@@ -40,5 +83,44 @@ def op7_id_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", ids_crc32(F.col("ids")).alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op6_pieces, op7_id_file)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated, n_hit, with_hits
+
+    found = with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "hits")
+    return found.select("doc_id", "hits").select(
+        "doc_id",
+        F.col("hits.n_words").alias("n_words"),
+        n_hit("hits").alias("n_hit"),
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        contaminated("hits").alias("contaminated"),
+    )
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import read_shards, write_shards
+
+    docs = table(spark, sf_dir, "documents")
+    text = whole_text("text")
+    return read_shards(docs, write_shards(docs, 16)).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, learnable, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (~learnable()).alias("held_out"), toxicity(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_neighbours, op3_language, op4_token_counts, op5_simhash, op6_pieces, op7_id_file, op8_decontamination, op9_shards, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
