@@ -63,6 +63,14 @@ def with_length(v: Column, dim: int, longest: float) -> Column:
     return extended(v)
 
 
+def along(v: Column, direction: np.ndarray) -> Column:
+    @F.arrow_udf("float")
+    def product(x: pa.Array) -> pa.Array:
+        return pa.array(rows_of(x, np.float32) @ direction if len(x) else np.empty(0, np.float32))
+
+    return product(v)
+
+
 def first_graph(nodes: DataFrame, dim: int, count: int, degree: int) -> DataFrame:
     """node, other, sim: the nearest others in the node's runs."""
     found = None
@@ -70,11 +78,7 @@ def first_graph(nodes: DataFrame, dim: int, count: int, degree: int) -> DataFram
     for k in range(DIRECTIONS):
         direction = np.random.default_rng(k).standard_normal(dim + 1).astype(np.float32)
 
-        @F.arrow_udf("float")
-        def along(v: pa.Array, direction=direction) -> pa.Array:
-            return pa.array(rows_of(v, np.float32) @ direction if len(v) else np.empty(0, np.float32))
-
-        ordered = nodes.withColumn("at", along("v")).repartitionByRange(parts, "at").sortWithinPartitions("at", "node")
+        ordered = nodes.withColumn("at", along(F.col("v"), direction)).repartitionByRange(parts, "at").sortWithinPartitions("at", "node")
         own = ordered.select("node", "v").mapInArrow(runs_best(degree), "node long, other long, sim float")
         found = own if found is None else found.unionByName(own)
     return found
