@@ -12,10 +12,12 @@ import json
 import re
 from array import array
 
-MEMO_ENTRIES = 500_000
+#: Entries kept by a worker: chunks between spaces, and the words in them.
+MEMO_CHUNKS, MEMO_WORDS = 300_000, 200_000
 #: Characters outside this class send a text to the library.
 OUTSIDE = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]").search
-ODD_SPACE = re.compile(r"[^\S \n]|\s\n").search
+#: Texts without these have no white space but spaces and line feeds, and nothing that OUTSIDE finds.
+UNUSUAL = re.compile("[^\n\x20-\x7e\xa1-ɏ]").search
 #: Below U+0250, the numbers that aren't ASCII digits.
 ODD_NUMBERS = "²³¹¼½¾"
 LETTER, NUMBER = rf"[^\W\d_{ODD_NUMBERS}]", rf"[\d{ODD_NUMBERS}]"
@@ -61,22 +63,26 @@ class Bpe:
 
     def ids(self, text: str) -> bytes:
         """Ids as unsigned 32-bit integers."""
-        if not self.plain(text):
+        usual = not UNUSUAL(text)
+        if self.words is None or self.special(text) or not (usual or not OUTSIDE(text)):
             return array("I", self.whole(text)).tobytes()
         if self.lower:
-            return looked_up(self.chunks, text.lower().split(), self.words_ids)
-        # Words begin at a space before anything but white space, and on both sides of a lone line feed.
-        if not ODD_SPACE(text):
+            return self.joined(text.lower().split(), self.words_ids)
+        # Words begin at a space before anything but white space, and on both sides of up to two line feeds.
+        if usual and "\n\n\n" not in text and not text.endswith("\n"):
             chunks = text.replace("\n", " \n").split(" ")
             if "" not in chunks:
-                return self.words_ids(chunks[0]) + looked_up(self.chunks, chunks[1:], self.chunk_ids)
+                return self.words_ids(chunks[0]) + self.joined(chunks[1:], self.chunk_ids)
         return self.words_ids(text)
 
+    def joined(self, chunks: list[str], make) -> bytes:
+        return looked_up(self.chunks, MEMO_CHUNKS, chunks, make)
+
     def chunk_ids(self, chunk: str) -> bytes:
         return self.words_ids(chunk if chunk[0] == "\n" else " " + chunk)
 
     def words_ids(self, text: str) -> bytes:
-        return looked_up(self.memo, self.words(text), self.word_ids)
+        return looked_up(self.memo, MEMO_WORDS, self.words(text), self.word_ids)
 
     def word_ids(self, word: str) -> bytes:
         return array("I", self.word(word)).tobytes()
@@ -90,7 +96,7 @@ class Bpe:
         try:
             return sum([counts[w] for w in chunks])
         except KeyError:
-            if len(counts) > MEMO_ENTRIES:
+            if len(counts) > 2 * MEMO_CHUNKS:
                 counts.clear()
             for w in chunks:
                 if w not in counts:
@@ -98,12 +104,12 @@ class Bpe:
             return sum([counts[w] for w in chunks])
 
 
-def looked_up(memo: dict[str, bytes], keys: list[str], make) -> bytes:
+def looked_up(memo: dict[str, bytes], most: int, keys: list[str], make) -> bytes:
     """What make gives for all keys, joined."""
     try:
         return b"".join([memo[k] for k in keys])
     except KeyError:
-        if len(memo) > MEMO_ENTRIES:
+        if len(memo) > most:
             memo.clear()
         for k in keys:
             if k not in memo:

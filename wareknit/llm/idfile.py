@@ -53,20 +53,31 @@ def pack(ids: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, n
     choice = np.full(n, ESCAPE, dtype=np.int8)
     step = np.ones(n, dtype=np.int64)
     top = int(ids.max())
-    for s in range(len(COUNTS) - 1, -1, -1):  # fewer, wider ids first: later selectors that fit take over
+    some = None  # where the selector before fits; only there the next, of more and narrower ids, can
+    for s in range(len(COUNTS) - 1, -1, -1):
         count, width = int(COUNTS[s]), int(WIDTHS[s])
-        room = left >= count
-        if top >> width:
-            small, reach = ids < (1 << width), 1
-            while reach < count:  # small[i]: so do the next ids, reach of them in all
-                more = min(reach, count - reach)
-                small[:-more] &= small[more:]
-                small[-more:] = False
-                reach += more
-            room &= small
-        if not room.any():
+        if some is None:
+            room = left >= count
+            if top >> width:
+                small, reach = ids < (1 << width), 1
+                while reach < count:  # small[i]: so do the next ids, reach of them in all
+                    more = min(reach, count - reach)
+                    small[:-more] &= small[more:]
+                    small[-more:] = False
+                    reach += more
+                room &= small
+            fits = np.flatnonzero(room)
+        else:
+            fits = some[left[some] >= count]
+            for k in range(count):
+                if not len(fits):
+                    break
+                fits = fits[ids[fits + k] < (1 << width)]
+        if not len(fits):
             break
-        choice[room], step[room] = s, count
+        choice[fits], step[fits] = s, count
+        if len(fits) * 4 < n:
+            some = fits
     jump, firsts, i = (np.arange(n) + step).tolist(), [], 0
     while i < n:
         firsts.append(i)
@@ -194,8 +205,9 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield taken()
 
 
-def read_blocks(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids array<bigint>, read from the blocks."""
+def read_blocks(spark, path: str, ids: bool = True, crc: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, and of the ids read from the blocks: ids array<bigint>,
+    ids_crc32 (unsigned, of them as little-endian unsigned 32-bit integers)."""
     stored = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     sums = stored.groupBy("part").agg(F.sum("ids_in_block").alias("n"))
     before = {r["part"]: r["n"] for r in sums.collect()}  # one number for each part; their count is a parameter
@@ -204,34 +216,34 @@ def read_blocks(spark, path: str) -> DataFrame:
         part_starts[p] = total
         total += before[p]
     starts = F.create_map(*[F.lit(x) for pair in part_starts.items() for x in pair]) if part_starts else F.create_map(F.lit(0), F.lit(0))
-    placed = stored.withColumn("block_start", F.col("ids_before") + starts[F.col("part")])
-    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids array<bigint>")
-
-
-def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids, _ = unpack(np.frombuffer(row["words"], "<u8"))
-            lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-            ends = np.cumsum(lengths)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["block_start"] + ends - lengths), pa.array(lengths), lists], ["doc_id", "start", "n_tokens", "ids"])
+    placed = stored.select((F.col("ids_before") + starts[F.col("part")]).alias("block_start"), "doc_ids", "lengths", "words")
+    schema = "doc_id long, start long, n_tokens long" + ", ids array<bigint>" * ids + ", ids_crc32 long" * crc
+    return placed.mapInArrow(documents(ids, crc), schema)
 
 
-def ids_crc32(ids: Column) -> Column:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
+def documents(with_ids: bool, with_crc: bool):
+    """Decodes blocks, one at a time."""
 
-    @F.arrow_udf("long")
-    def crc(lists: pa.Array) -> pa.Array:
-        ends = lists.offsets.to_numpy()
-        flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<u4")
-        return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
-
-    return crc(ids)
-
-
-def store_ids(docs: DataFrame, tokenizer: str, end_id: int, parts: int, path: str | None = None) -> DataFrame:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                start, doc_ids, lengths, words = (c[i] for c in batch.columns)
+                ids, _ = unpack(np.frombuffer(words.as_buffer(), "<u8"))
+                lengths = np.frombuffer(lengths.as_buffer(), "<u4").astype(np.int64)
+                ends = np.cumsum(lengths)
+                columns = {"doc_id": pa.array(doc_ids.as_py(), pa.int64()), "start": pa.array(start.as_py() + ends - lengths), "n_tokens": pa.array(lengths)}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64)))
+                if with_crc:
+                    flat = ids.astype("<u4")
+                    columns["ids_crc32"] = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends - lengths, ends)], pa.int64())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return decoded
+
+
+def store_ids(docs: DataFrame, tokenizer: str, end_id: int, parts: int, path: str | None = None, ids: bool = True, crc: bool = False) -> DataFrame:
     """Writes the ids of docs and reads them back."""
     path = path or scratch(docs.sparkSession, "token-ids")
     write_blocks(docs, tokenizer, end_id, path, parts)
-    return read_blocks(docs.sparkSession, path)
+    return read_blocks(docs.sparkSession, path, ids, crc)

@@ -77,10 +77,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_id_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .idfile import ids_crc32, store_ids
+    from .idfile import store_ids
 
-    back = store_ids(table(spark, sf_dir, "documents"), default_tokenizer("byte_bpe_50k.json"), 2, parts_for(spark))
-    return back.select("doc_id", "start", "n_tokens", ids_crc32(F.col("ids")).alias("ids_crc32"))
+    docs, tokenizer = table(spark, sf_dir, "documents"), default_tokenizer("byte_bpe_50k.json")
+    return store_ids(docs, tokenizer, 2, parts_for(spark), ids=False, crc=True)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

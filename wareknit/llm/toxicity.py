@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SAMPLE = 10_000
 TERMS = 300
 VOTING_TERMS = 40
@@ -163,8 +165,8 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    rows = sampled(docs, labels, size)
-    counts = term_counts(rows)
+    rows = saved(sampled(docs, labels, size), "labelled-sample")
+    counts = saved(term_counts(rows), "term-counts")
     whole = counts.filter("term = ''").head()
     n0, n1 = (whole["n0"], whole["n1"]) if whole else (0, 0)
     if not n0 or not n1:
