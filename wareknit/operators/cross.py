@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wareknit.functions.scores import stem
 from wareknit.functions.words import WordRule, extract_words, filter_words, join_words, rule_tokens, simple_tokens, text_of
 from wareknit.operators.measures import strip_by_regex
+from wareknit.plans.scratch import scratch
 
 SEP = "\u0001"
 
@@ -28,6 +29,10 @@ def positions(df: DataFrame, id_col: str, order_by: str) -> DataFrame:
     numbered = ranged.select(id_col, F.monotonically_increasing_id().alias("n"))
     part, inside = F.shiftright("n", 33), F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = numbered.select(id_col, part.cast("int").alias("part"), inside.alias("inside"))
+    # Written once: the ranges of a second evaluation could differ.
+    path = scratch(df.sparkSession, "positions")
+    numbered.write.parquet(path)
+    numbered = df.sparkSession.read.schema(numbered.schema).parquet(path)
     sizes = numbered.groupBy("part").agg(F.count("*").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     firsts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
@@ -61,12 +66,15 @@ def cross_words_of(df: DataFrame, id_col: str, text: str, tokens: str, nearest:
         others = words.groupBy("h", "sig").agg(F.count("*").alias("n")).filter("n > 1")
         intersect = one.join(others, ["h", "sig"], "left_semi").filter(has_word(F.col("text"), F.col("w"))).select(id_col, "w")
     else:
-        b = one.select("h", "sig", F.col("w").alias("w"), F.col(id_col).alias("__b"), F.col("text").alias("b_text"), F.col("pos").alias("b_pos"))
+        # Rows so near lie in the same or in neighbouring stretches of the order: a frequent signature meets by stretch.
+        stretch = F.floor(F.col("pos") / (nearest + 1))
+        full, one = full.withColumn("at", stretch), one.withColumn("at", stretch)
+        b = one.select("h", "sig", F.col("w").alias("b_w"), F.col(id_col).alias("__b"), F.col("text").alias("b_text"), F.col("pos").alias("b_pos"), F.explode(F.array(*[F.col("at") + k for k in (-1, 0, 1)])).alias("at"))
         near = F.abs(F.col("pos") - F.col("b_pos")) <= nearest
-        met = full.join(b, ["h", "sig"]).filter(near)
-        minus = met.filter(~has_word(F.col("text"), F.col("w"))).select(id_col, "w")
-        plus = met.filter(has_word(F.col("b_text"), F.col("w"))).select(F.col("__b").alias(id_col), "w")
-        pairs = one.join(b.withColumnRenamed("w", "b_w"), ["h", "sig"]).filter(near & (F.col("w") != F.col("b_w")) & (F.col(id_col) != F.col("__b")))
+        met = full.join(b, ["h", "sig", "at"]).filter(near)
+        minus = met.filter(~has_word(F.col("text"), F.col("b_w"))).select(id_col, F.col("b_w").alias("w"))
+        plus = met.filter(has_word(F.col("b_text"), F.col("b_w"))).select(F.col("__b").alias(id_col), F.col("b_w").alias("w"))
+        pairs = one.join(b, ["h", "sig", "at"]).filter(near & (F.col("w") != F.col("b_w")) & (F.col(id_col) != F.col("__b")))
         intersect = pairs.filter(has_word(F.col("text"), F.col("w"))).select(id_col, "w")
     kinds = ("cross_minus", "cross_plus", "cross_intersect")
     every = None

@@ -25,7 +25,7 @@ BOTTOMS = [("1", "мл"), ("1000", "л")]
 
 
 def feature(name: str, unit: str, raw: Column, canon: Column) -> Column:
-    return F.struct(F.lit(name).alias("feature"), F.lit(unit).alias("unit"), raw.alias("raw"), canon.alias("canon"))
+    return F.struct(F.lit(name).alias("feature"), F.lit(unit).alias("unit"), raw.alias("raw"), F.coalesce(canon, raw).alias("canon"))
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -33,7 +33,7 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def first_number(text: Column, pattern: str = r"\d+[.,]?\d*") -> Column:
-    return F.regexp_replace(F.regexp_extract(text, pattern, 0), ",", ".").cast("decimal(26,12)")
+    return F.regexp_replace(F.regexp_extract(text, pattern, 0), ",", ".").try_cast("decimal(26,12)")
 
 
 def numeric_features(text: Column, measure: Measure, unit: Unit) -> Column:
@@ -90,7 +90,7 @@ def concentration_features(text: Column, percent: bool, name: str = "Complex Con
 
 def first_number_or_null(part: Column) -> Column:
     text = F.regexp_replace(F.regexp_extract(part, NUMBER, 0), ",", ".")
-    return F.when(text != "", text).cast("decimal(26,12)")
+    return F.when(text != "", text).try_cast("decimal(26,12)")
 
 
 def steps_of(measure: Measure) -> list[tuple[str, int, callable]]:

@@ -28,13 +28,13 @@ def unit_matches(col: str | Column, unit: Unit) -> Column:
 
 def plain_number(number: Column) -> Column:
     """A decimal without trailing zeros."""
-    text = F.format_string("%.20f", number)
+    text = F.replace(F.format_number(number.try_cast("decimal(38,20)"), 20), F.lit(","), F.lit(""))
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
 
 
 def matched_numbers(matches: Column) -> Column:
     """The first number of each match, as a decimal; a comma counts as a point."""
-    number = lambda m: F.regexp_replace(F.regexp_extract(m, VALUE, 0), ",", ".").cast("decimal(18,8)")
+    number = lambda m: F.regexp_replace(F.regexp_extract(m, VALUE, 0), ",", ".").try_cast("decimal(17,8)")
     return F.filter(F.transform(matches, number), lambda n: n.isNotNull())
 
 
@@ -46,9 +46,9 @@ def numeric_unit_regex(col: str | Column, unit: Unit, allied: list[Unit]) -> Col
         for other in allied:
             factor = ratio(unit.weight, other.weight)
             places = max(0, -factor.as_tuple().exponent)
-            scaled = number * F.lit(factor).cast(f"decimal({12 + min(places, 7)},{min(places, 12)})" if places <= 7 else "decimal(20,12)")
+            scaled = number * F.lit(format(factor, "f")).cast(f"decimal(20,{places})")
             shown = F.replace(plain_number(scaled), F.lit("."), F.lit("[.,]"))
-            before, after = other.exactly("")
+            before, after = other.exactly()
             parts.append(F.concat(F.lit(before), shown, F.lit(after)))
         return F.concat_ws("|", *parts)
 
@@ -108,7 +108,7 @@ def extract_sizes(df: DataFrame, col: str, sep: str = r"\D+", left_step: int = 1
     text = text_of(col)
     three, two = f"{number}(?:{sep}){number}(?:{sep}){number}", f"{number}(?:{sep}){number}"
     values = F.when(text.rlike(three), F.array(*[F.regexp_extract(text, three, i) for i in (1, 2, 3)])).when(text.rlike(two), F.array(*[F.regexp_extract(text, two, i) for i in (1, 2)]))
-    numbers = F.transform(values, lambda v: F.regexp_replace(v, ",", ".").cast("decimal(18,8)"))
+    numbers = F.transform(values, lambda v: F.regexp_replace(v, ",", ".").try_cast("decimal(18,8)"))
 
     def scaled(factor) -> Column:
         shown = F.transform(numbers, lambda n: plain_number(n * F.lit(factor).cast("decimal(18,10)")))

@@ -110,7 +110,7 @@ class Unit:
         """1 if the value's own group is what a search returns."""
         return 1 if self.value.startswith("(") else 0
 
-    def exactly(self, number: str) -> tuple[str, str]:
+    def exactly(self) -> tuple[str, str]:
         """What stands before and after a number in the expression that accepts it in this unit."""
         if self.search_mode == "front":
             return rf"{self.prefix}(?:{self.symbol})\s*", self.postfix
@@ -240,5 +240,5 @@ def load_similarity_rules(text: str | None = None) -> SimilarityRules:
 
 
 def ratio(own: int, other: int) -> Decimal:
-    """own / other to twenty places."""
-    return (Decimal(own) / Decimal(other)).quantize(Decimal(1).scaleb(-20)).normalize()
+    """own / other to twelve places."""
+    return (Decimal(own) / Decimal(other)).quantize(Decimal(1).scaleb(-12)).normalize()
