@@ -34,7 +34,7 @@ def plain_number(number: Column) -> Column:
 
 def matched_numbers(matches: Column) -> Column:
     """The first number of each match, as a decimal; a comma counts as a point."""
-    number = lambda m: F.regexp_replace(F.regexp_extract(m, VALUE, 0), ",", ".").try_cast("decimal(17,8)")
+    number = lambda m: F.regexp_replace(F.regexp_extract(m, VALUE, 0), ",", ".").try_cast("decimal(26,12)")
     return F.filter(F.transform(matches, number), lambda n: n.isNotNull())
 
 
@@ -45,8 +45,8 @@ def numeric_unit_regex(col: str | Column, unit: Unit, allied: list[Unit]) -> Col
         parts = []
         for other in allied:
             factor = ratio(unit.weight, other.weight)
-            places = max(0, -factor.as_tuple().exponent)
-            scaled = number * F.lit(format(factor, "f")).cast(f"decimal(20,{places})")
+            digits, places = format(factor, "f"), max(0, -factor.as_tuple().exponent)
+            scaled = number * F.lit(digits).cast(f"decimal({len(digits.replace('.', ''))},{places})")
             shown = F.replace(plain_number(scaled), F.lit("."), F.lit("[.,]"))
             before, after = other.exactly()
             parts.append(F.concat(F.lit(before), shown, F.lit(after)))
