@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wareknit.functions.scores import stem
 from wareknit.functions.words import WordRule, extract_words, filter_words, join_words, rule_tokens, simple_tokens, text_of
 from wareknit.operators.measures import strip_by_regex
-from wareknit.plans.scratch import scratch
+from wareknit.plans.scratch import written
 
 SEP = "\u0001"
 
@@ -30,9 +30,7 @@ def positions(df: DataFrame, id_col: str, order_by: str) -> DataFrame:
     part, inside = F.shiftright("n", 33), F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = numbered.select(id_col, part.cast("int").alias("part"), inside.alias("inside"))
     # Written once: the ranges of a second evaluation could differ.
-    path = scratch(df.sparkSession, "positions")
-    numbered.write.parquet(path)
-    numbered = df.sparkSession.read.schema(numbered.schema).parquet(path)
+    numbered = written(numbered, "positions")
     sizes = numbered.groupBy("part").agg(F.count("*").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     firsts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
@@ -90,7 +88,7 @@ def stemmed(df: DataFrame, id_col: str, tokens: str, language: str) -> DataFrame
     words = df.select(id_col, F.explode(tokens).alias("w"))
     stems = words.select("w").distinct().withColumn("s", stem(F.col("w"), language))
     sets = words.join(stems, "w").groupBy(id_col).agg(F.array_sort(F.collect_set("s")).alias("__stems"))
-    return df.join(sets, id_col, "left").withColumn(tokens, F.coalesce("__stems", F.array().cast("array<string>"))).drop("__stems")
+    return written(df.join(sets, id_col, "left").withColumn(tokens, F.coalesce("__stems", F.array().cast("array<string>"))).drop("__stems"), "stems")
 
 
 def cross_words(df: DataFrame, id_col: str, col: str, rules: list[WordRule] | None = None, regex_col: str | None = None, nearest: int = 0) -> DataFrame:
@@ -102,6 +100,8 @@ def cross_words(df: DataFrame, id_col: str, col: str, rules: list[WordRule] | No
     work = df.select(id_col, text_of(col).alias("__t"), *([regex_col] if regex_col else []))
     if regex_col:
         work = strip_by_regex(work, "__t", regex_col)
+    # Names, tokens and stems are each needed several times below: they are written, not computed again.
+    work = written(work.select(id_col, "__t"), "cross-names")
     if rules is None:
         work = work.withColumn("__w", simple_tokens("__t"))
     elif not any(r.stem for r in rules):
@@ -113,7 +113,7 @@ def cross_words(df: DataFrame, id_col: str, col: str, rules: list[WordRule] | No
             if r.stem:
                 work = stemmed(work, id_col, f"__w{i}", r.language)
         work = work.withColumn("__w", F.array_sort(F.array_distinct(F.concat(*[f"__w{i}" for i in range(len(rules))]))))
-    found = cross_words_of(work, id_col, "__t", "__w", nearest)
+    found = cross_words_of(written(work.select(id_col, "__t", "__w"), "cross-tokens"), id_col, "__t", "__w", nearest)
     kinds = ("cross_minus", "cross_plus", "cross_intersect")
     joined = found.select(id_col, *[join_words(F.col(k)).alias(k) for k in kinds])
     return df.join(joined, id_col, "left").withColumns({k: F.coalesce(k, F.lit("")) for k in kinds})

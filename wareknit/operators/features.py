@@ -82,8 +82,8 @@ def concentration_features(text: Column, percent: bool, name: str = "Complex Con
     def value(m: Column) -> Column:
         parts = F.split(m, OVER, 3)
         bottom = side(F.get(parts, 1), BOTTOMS)
-        quotient = side(F.get(parts, 0), TOPS).cast("decimal(24,6)") / F.nullif(bottom.cast("decimal(20,6)"), F.lit(0))
-        return F.coalesce(plain_number(F.round(quotient.cast("decimal(38,13)") * F.lit("0.1").cast("decimal(2,1)"), 12)), F.lit("0"))
+        quotient = side(F.get(parts, 0), TOPS).try_cast("decimal(24,6)") / F.nullif(bottom.try_cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)"))
+        return F.coalesce(plain_number(F.round(quotient.try_cast("decimal(36,13)") * F.lit("0.1").cast("decimal(2,1)"), 12)), F.lit("0"))
 
     return F.transform(found(text, CONCENTRATION), lambda m: feature(name, "Complex Numeric Concentration", m, value(m)))
 

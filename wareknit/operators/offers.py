@@ -82,7 +82,8 @@ def score_offers(
             hits[k] = F.col(f"__{k}_hits")
         else:
             # A word is looked for in the row as an expression; so is a body of the product's.
-            found = F.filter(F.col(f"__{k}"), lambda w, k=k: has(text_col, w) if k != "minus" else ~has(text_col, w))
+            hit = (lambda w: ~has(text_col, w)) if k == "minus" else (lambda w: has(text_col, w))
+            found = F.filter(F.col(f"__{k}"), hit)
             hits[k] = F.size(found).cast("double")
     total = sum((F.size(f"__{k}") * F.lit(float(weights[k])) for k in lists), F.lit(0.0))
     got = sum((hits[k] * F.lit(float(weights[k])) for k in lists), F.lit(0.0))

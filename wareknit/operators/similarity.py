@@ -29,17 +29,21 @@ def weighted_tokens(col: str | Column, rules: SimilarityRules) -> Column:
     digit counts as capital.
     """
     class_weight, out = dict(rules.class_weights), []
-    for key, weight in rules.language_weights:
-        low, up = LETTERS[LANGUAGES[key]], UPPER[LANGUAGES[key]]
-        words = F.filter(F.regexp_extract_all(text_of(col), F.lit(rf"(?U)\b[{up}{low}0-9]+\b"), 0), lambda w: w.rlike(f"[{up}{low}]"))
 
-        def token(w: Column, up=up, weight=weight) -> Column:
+    def token(up: str, weight: float):
+        def of(w: Column) -> Column:
             cls = F.when(w.rlike(f"^[{up}0-9]+$"), 0).when(w.rlike(f"^[{up}0-9]"), 1).otherwise(2)
             share = F.when(cls == 0, class_weight["caps"]).when(cls == 1, class_weight["capital"]).otherwise(class_weight["low"])
             return F.struct(cls.alias("cls"), F.lower(w).alias("value"), w.alias("original"), (share * F.lit(weight)).cast("double").alias("weight"))
 
-        tokens = F.transform(words, token)
-        out.append(F.concat(*[F.filter(tokens, lambda t, c=c: t["cls"] == c) for c in (0, 1, 2)]))
+        return of
+
+    for key, weight in rules.language_weights:
+        low, up = LETTERS[LANGUAGES[key]], UPPER[LANGUAGES[key]]
+        words = F.filter(F.regexp_extract_all(text_of(col), F.lit(rf"(?U)\b([{up}{low}0-9]+)\b"), 1), lambda w: w.rlike(f"[{up}{low}]"))
+        # Sorting by class keeps text order inside a class: the place goes between.
+        placed = F.transform(F.transform(words, token(up, weight)), lambda t, i: F.struct(t["cls"].alias("cls"), i.alias("at"), t.alias("t")))
+        out.append(F.transform(F.array_sort(placed), lambda p: p["t"]))
     return F.transform(F.concat(*out), lambda t: F.struct(t["value"].alias("value"), t["original"].alias("original"), t["cls"].alias("cls"), t["weight"].alias("weight")))
 
 

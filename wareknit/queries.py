@@ -285,7 +285,7 @@ def f3_dimensions(spark, sf_dir):
     return inputs.catalog(spark, sf_dir).select("p_partkey", F.array_join(F.transform(found, lambda f: f["canon"]), "|").alias("canon"))
 
 
-@query(f"SELECT p_partkey, {sql_plain('round(CAST(p_size AS DECIMAL(20,6)) * 0.1 / 5, 12)')} AS canon FROM part")
+@query(f"SELECT p_partkey, {sql_plain('CAST(CAST(p_size AS DECIMAL(20,6)) * CAST(0.02 AS DECIMAL(4,2)) AS DECIMAL(24,8))')} AS canon FROM part")
 def f4_concentrations(spark, sf_dir):
     text = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("мг/5мл "))
     found = features.concentration_features(text, False)
