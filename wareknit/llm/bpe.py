@@ -13,7 +13,7 @@ import re
 from array import array
 
 #: Entries kept by a worker: chunks between spaces, and the words in them.
-MEMO_CHUNKS, MEMO_WORDS = 300_000, 200_000
+MEMO_CHUNKS, MEMO_WORDS = 600_000, 100_000
 #: Characters outside this class send a text to the library.
 OUTSIDE = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]").search
 #: Texts without these have no white space but spaces and line feeds, and nothing that OUTSIDE finds.
@@ -79,6 +79,11 @@ class Bpe:
         return looked_up(self.chunks, MEMO_CHUNKS, chunks, make)
 
     def chunk_ids(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self.word_ids(" " + chunk)
+        head = chunk[:-1]
+        if chunk[-1] in ".,;:!?" and head.isalpha():
+            return self.joined([head], self.chunk_ids) + self.words_ids(chunk[-1])
         return self.words_ids(chunk if chunk[0] == "\n" else " " + chunk)
 
     def words_ids(self, text: str) -> bytes:
@@ -96,7 +101,7 @@ class Bpe:
         try:
             return sum([counts[w] for w in chunks])
         except KeyError:
-            if len(counts) > 2 * MEMO_CHUNKS:
+            if len(counts) > MEMO_CHUNKS:
                 counts.clear()
             for w in chunks:
                 if w not in counts:

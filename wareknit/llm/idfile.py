@@ -160,16 +160,9 @@ def part_bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
 def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, path: str, parts: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """The ids of every whole text and the end id, in the order of id_col, as blocks under path."""
     bounds = part_bounds(docs, id_col, parts)
-    part = F.lit(0)
-    if bounds:
-        known = np.array(bounds, dtype=np.int64)
-
-        @F.arrow_udf("int")
-        def ranged(ids: pa.Array) -> pa.Array:
-            at = np.searchsorted(known, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
-            return pa.array(at, pa.int32())
-
-        part = ranged(F.col(id_col).cast("long"))
+    # The number of bounds below the id; null ids lie before all.
+    below = F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(id_col).cast("long")) if bounds else None
+    part = F.lit(0) if below is None else F.greatest(F.size(below), F.lit(0))
     coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), part.alias("part"), packed_ids(whole_text(text_col), tokenizer, end_id).alias("p"))
     coded = coded.select("part", "doc_id", F.col("p.n").alias("n"), F.col("p.words").alias("words"))
     ordered = coded.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "doc_id", "words")
