@@ -18,6 +18,7 @@ count as toxic if one label says so; repeated rows are scored alike; an empty ta
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,14 +34,13 @@ SAMPLE = 10_000
 TERMS = 300
 VOTING_TERMS = 40
 LETTERS = re.compile(r"[^\W\d_]+").findall
-#: Pattern voters, name and expression; each votes toxic where it is found.
-PATTERNS = [
-    ("shouting", r"\b[^\W\d_a-zß-ÿ]{4,}\s+[^\W\d_a-zß-ÿ]{4,}\b"),
-    ("marks", r"[!?]{3,}"),
-    ("masked", r"\b\w[*#@$%]{2,}\w*\b"),
-    ("address", r"(?i)\b(?:you are|you're|shut up|du bist|tu es|eres)\b"),
-    ("hate", r"(?i)\b(?:hate|hass|haine|odio)\b"),
-]
+#: What the pattern voters look for; each votes toxic where it is found. Expressions start with a class
+#: of few characters, so that ordinary text is passed over quickly.
+SHOUTING = re.compile("[A-ZÀ-ÖØ-Þ]{4,}\\s+[A-ZÀ-ÖØ-Þ]{4,}").search
+MARKS = re.compile("[!?]{3,}").search
+MASKED = re.compile("[*#@$%]{2,}\\w").search
+ADDRESS = ("you are ", "you're ", "shut up", "du bist ", "tu es ", "eres ")
+HATE = {"hate", "hass", "haine", "odio"}
 HELD_TERMS = 400_000
 
 
@@ -101,26 +101,30 @@ class Voters:
     def __init__(self, terms: list[str], strong: int):
         self.index = {t: i for i, t in enumerate(terms)}
         self.strong = strong  # the first terms speak for toxic texts, the strongest first
-        self.patterns = [re.compile(p).search for _, p in PATTERNS]
         self.memo: dict[str, tuple[int, ...]] = {}
 
-    def found(self, text: str) -> np.ndarray:
-        memo, hits = self.memo, set()
-        for w in set(LETTERS(text.lower())):
+    def look(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the terms found, and the votes."""
+        low = text.lower()
+        words, memo, hits = set(LETTERS(low)), self.memo, set()
+        if len(memo) > 500_000:
+            memo.clear()
+        for w in words:
             own = memo.get(w)
             if own is None:
-                if len(memo) > 500_000:
-                    memo.clear()
                 own = memo[w] = tuple(self.index[t] for t in terms_of(w) if t in self.index)
-            hits.update(own)
-        return np.array(sorted(hits), dtype=np.int32)
-
-    def votes(self, text: str, found: np.ndarray) -> np.ndarray:
-        n = int((found < self.strong).sum())
+            if own:
+                hits.update(own)
+        found = np.array(sorted(hits), dtype=np.int32)
+        n = sum(1 for h in hits if h < self.strong)
         levels = [1 if n >= k else -1 for k in (1, 2, 3, 5)]
-        single = np.zeros(min(self.strong, VOTING_TERMS), np.int8)
-        single[found[found < len(single)]] = 1
-        return np.concatenate([np.array(levels + [int(bool(p(text))) for p in self.patterns], np.int8), single])
+        patterns = [SHOUTING(text) is not None, MARKS(text) is not None, MASKED(text) is not None, any(a in low for a in ADDRESS), not HATE.isdisjoint(words)]
+        votes = np.zeros(len(levels) + len(patterns) + min(self.strong, VOTING_TERMS), np.int8)
+        votes[: len(levels) + len(patterns)] = [*levels, *patterns]
+        for h in hits:
+            if h < min(self.strong, VOTING_TERMS):
+                votes[len(levels) + len(patterns) + h] = 1
+        return found, votes
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, ridge: float = 0.1) -> np.ndarray:
@@ -199,9 +203,8 @@ def votes_of(rows: DataFrame, terms: list[str], strong: int) -> tuple[list[np.nd
     def seen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = Voters(terms, strong)
         for batch in batches:
-            found = [v.found(t) for t in batch.to_pylist()]
-            votes = [v.votes(t, f).tobytes() for t, f in zip(batch.to_pylist(), found)]
-            yield pa.StructArray.from_arrays([pa.array([f.tobytes() for f in found], pa.binary()), pa.array(votes, pa.binary())], ["found", "votes"])
+            seen_ = [v.look(t.as_py()) for t in batch]
+            yield pa.StructArray.from_arrays([pa.array([x.tobytes() for x in column], pa.binary()) for column in ([f for f, _ in seen_], [v_ for _, v_ in seen_])], ["found", "votes"])
 
     got = rows.select(seen("text").alias("s"), "toxic").select("s.found", "s.votes", "toxic").orderBy("toxic", "found", "votes").toArrow()
     found = [np.frombuffer(f, np.int32) for f in got["found"].to_pylist()]
@@ -220,10 +223,9 @@ def toxicity(text: Column, model: Model) -> Column:
         for batch in batches:
             out = []
             for t in batch:
-                t = t.as_py() or ""
-                found = v.found(t)
-                z = w[found].sum() + v.votes(t, found) @ w[n:-1] + w[-1]
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                found, votes = v.look(t.as_py() or "")
+                z = min(30.0, max(-30.0, float(w[found].sum() + votes @ w[n:-1] + w[-1])))
+                out.append(1 / (1 + math.exp(-z)))
             yield pa.array(out, pa.float64())
 
     return score(text)
