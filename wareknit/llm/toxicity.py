@@ -106,19 +106,20 @@ class Voters:
     def look(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the terms found, and the votes."""
         low = text.lower()
-        words, memo, hits = set(LETTERS(low)), self.memo, set()
+        words, memo, hits, times = Counter(LETTERS(low)), self.memo, set(), 0
         if len(memo) > 500_000:
             memo.clear()
-        for w in words:
+        for w, k in words.items():
             own = memo.get(w)
             if own is None:
                 own = memo[w] = tuple(self.index[t] for t in terms_of(w) if t in self.index)
             if own:
                 hits.update(own)
+                times += k * (min(own) < self.strong)
         found = np.array(sorted(hits), dtype=np.int32)
         n = sum(1 for h in hits if h < self.strong)
-        levels = [1 if n >= k else -1 for k in (1, 2, 3, 5)]
-        patterns = [SHOUTING(text) is not None, MARKS(text) is not None, MASKED(text) is not None, any(a in low for a in ADDRESS), not HATE.isdisjoint(words)]
+        levels = [1 if n >= k else -1 for k in (1, 2, 3, 5)] + [1 if times >= k else -1 for k in (2, 4)]
+        patterns = [SHOUTING(text) is not None, MARKS(text) is not None, MASKED(text) is not None, any(a in low for a in ADDRESS), not HATE.isdisjoint(words.keys())]
         votes = np.zeros(len(levels) + len(patterns) + min(self.strong, VOTING_TERMS), np.int8)
         votes[: len(levels) + len(patterns)] = [*levels, *patterns]
         for h in hits:
@@ -148,16 +149,25 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, ridge: f
     return q
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
-    """Weights and, last, the intercept of a logistic model of soft labels (accelerated gradient steps)."""
+def fit_linear(x: np.ndarray, q: np.ndarray, falling: np.ndarray | None = None, rounds: int = 800, ridge: float = 1e-5) -> np.ndarray:
+    """Weights and, last, the intercept of a logistic model of soft labels (accelerated projected gradient steps).
+
+    falling: for each column, whether its weight may not be positive; otherwise it may not be negative, so that what
+    votes toxic never makes a text look cleaner. None: weights are free.
+    """
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1], x.dtype)
-    last, look = w, w
-    step = 4.0 / max(1e-9, float(np.linalg.norm(x, axis=1).max()) ** 2)
+    top = np.ones(x.shape[1], x.dtype)
+    for _ in range(30):  # the largest curvature bounds the step
+        top = x.T @ (x @ top)
+        top /= np.linalg.norm(top)
+    step = 3.5 * len(x) / float(np.linalg.norm(x @ top) ** 2)
+    w = last = look = np.zeros(x.shape[1], x.dtype)
     for k in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ look, -30, 30)))
         g = x.T @ (p - q) / len(x) + ridge * np.append(look[:-1], 0)
-        w = look - step * g
+        w = look - step * g.astype(x.dtype)
+        if falling is not None:
+            w[:-1] = np.where(falling, np.minimum(w[:-1], 0), np.maximum(w[:-1], 0))
         look = w + k / (k + 3) * (w - last)
         last = w
     return w
@@ -178,14 +188,16 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     odds = F.log(a / (n1 + 1)) - F.log(b / (n0 + 1))
     counts = counts.filter("term <> ''").withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    # A term speaks for toxic texts if it is many times as frequent there, and in one of a hundred of them or more.
-    strong = counts.filter((F.col("n1") >= max(3, 0.01 * n1)) & (F.col("odds") > 2)).orderBy(F.desc("z"), "term").limit(TERMS // 2).collect()
+    # A term speaks for toxic texts if it is twenty times as frequent there, and in one of a hundred of them or more.
+    strong = counts.filter((F.col("n1") >= max(3, 0.01 * n1)) & (F.col("odds") > 3)).orderBy(F.desc("z"), "term").limit(TERMS // 2).collect()
     weak = counts.filter((F.col("n0") >= max(3, 0.01 * n0)) & (F.col("odds") <= 0.5)).orderBy("z", "term").limit(TERMS // 2).collect()
     terms = [r["term"] for r in [*strong, *weak]]
     found, votes, toxic = votes_of(rows, terms, len(strong))
-    posterior = label_model(votes, toxic)
+    # The given label votes too: the model finds how far it can be trusted against all other voters.
+    posterior = label_model(np.column_stack([votes, 2 * toxic - 1]), toxic)
     x = features(found, votes, len(terms))
-    return Model(terms, len(strong), fit_linear(x, posterior.astype(np.float32)).tolist())
+    falling = (np.arange(x.shape[1]) >= len(strong)) & (np.arange(x.shape[1]) < len(terms))
+    return Model(terms, len(strong), fit_linear(x, posterior.astype(np.float32), falling).tolist())
 
 
 def features(found: list[np.ndarray], votes: np.ndarray, n: int) -> np.ndarray:
