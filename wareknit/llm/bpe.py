@@ -116,10 +116,13 @@ def looked_up(memo: dict[str, bytes], most: int, keys: list[str], make) -> bytes
     except KeyError:
         if len(memo) > most:
             memo.clear()
-        for k in keys:
-            if k not in memo:
-                memo[k] = make(k)
-        return b"".join([memo[k] for k in keys])
+        out = []
+        for k in keys:  # make may look up, and so clear, the same memo
+            found = memo.get(k)
+            if found is None:
+                found = memo[k] = make(k)
+            out.append(found)
+        return b"".join(out)
 
 
 _loaded: dict[str, Bpe] = {}
