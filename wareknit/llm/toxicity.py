@@ -132,7 +132,8 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, ridge: f
     """Posterior label of each row.
 
     Given the label, votes have a mean for each voter (its accuracy) and a covariance common to both labels (the
-    voters' correlations); both and the label's share are estimated anew from the posteriors in each round.
+    voters' correlations); both and the label's share are estimated anew from the posteriors in each round. Which
+    hidden label is found depends on the start: the operator starts from the given labels.
     """
     v, q = votes.astype(np.float64), start.astype(np.float64)
     for _ in range(rounds):
