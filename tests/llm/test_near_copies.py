@@ -1,0 +1,94 @@
+"""Near copies against brute force."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from wareknit.llm import nearcopies
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_pairs(texts):
+    sets, ids = {i: shingles(t) for i, t in texts}, sorted(i for i, _ in texts)
+    return {(a, b) for a in ids for b in ids if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def roots(ids, pairs):
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {find(i) for i in ids}
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Texts of 40 to 400 words, and copies of them with 0 to 10 words in a hundred changed."""
+    rng, rows = random.Random(12), []
+    for k in range(60):
+        base = [f"w{rng.randrange(2000)}" for _ in range(rng.choice([40, 120, 400]))]
+        rows.append((10 * k, " ".join(base)))
+        for c in range(1, rng.randint(2, 9)):
+            rate = rng.choice([0.01, 0.02, 0.03, 0.1])
+            rows.append((10 * k + c, " ".join(w if rng.random() >= rate else f"x{rng.randrange(10**6)}" for w in base)))
+    return rows
+
+
+def test_stages_leave_no_near_copy(spark, sf_dir, copies):
+    """Fails without the stage: op5's groups hold few of these pairs."""
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in copies], DOCS)
+    pairs = brute_pairs(copies)
+    assert len(pairs) > 150
+    stages = dict(corpus_pipeline.STAGES)
+    after = stages["near_duplicates"](spark, docs, sf_dir).cache()
+    left = [(r.doc_id, r.text) for r in after.collect()]
+    print("pairs", len(pairs), "after near_duplicates", len(brute_pairs(left)))
+    assert len(brute_pairs(left)) > 0.2 * len(pairs)
+    kept = [(r.doc_id, r.text) for r in stages["near_copies"](spark, after, sf_dir).collect()]
+    assert {i for i, _ in kept} == roots([i for i, _ in left], brute_pairs(left))
+
+
+def test_recall_of_links(spark, copies):
+    classes = spark.createDataFrame(copies, "doc_id long, text string").select("doc_id", nearcopies.signature(F.col("text")).alias("s")).select("doc_id", "s.*").cache()
+    class_of = {r.doc_id: r["class"] for r in classes.select("doc_id", "class").collect()}
+    want = {tuple(sorted((class_of[a], class_of[b]))) for a, b in brute_pairs(copies) if class_of[a] != class_of[b]}
+    got = {tuple(sorted(r)) for r in nearcopies.links(classes.dropDuplicates(["class"])).collect()}
+    print("links", len(got), "of", len(want))
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_a_large_group_makes_few_pairs(spark):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(w if k != i % 200 else f"y{i}" for k, w in enumerate(base))) for i in range(600)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = docs.select(nearcopies.signature(F.col("text")).alias("s")).select("s.*").cache()
+    assert nearcopies.candidates(classes).count() <= 3 * nearcopies.BANDS * 600
+    assert [r.doc_id for r in nearcopies.one_of_each_group(docs).collect()] == [0]
+
+
+def test_odd_rows(spark):
+    long_text = " ".join(f"v{k}" for k in range(5000))
+    rows = [(1, None), (2, ""), (2, " "), (3, "a b c"), (4, "A  B c"), (4, "a b c"), (None, "x y z"), (None, "x y z"), (None, "a b c"), (7, long_text), (7, "other words here"), (8, long_text + " more"), (9, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("sign", "best", "class", "least", "keys", "hashes", "root")})
+    got = nearcopies.one_of_each_group(docs)
+    assert got.columns == docs.columns
+    want = [(1, None), (2, ""), (2, " "), (3, "a b c"), (None, "x y z"), (7, long_text), (7, "other words here"), (9, "a b")]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+    assert nearcopies.one_of_each_group(docs.limit(0)).count() == 0

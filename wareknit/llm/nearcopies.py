@@ -1,0 +1,121 @@
+"""Near copies by the similarity of their word shingles: texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more are linked, and links are followed to groups.
+
+Words are read as in simhash (between ASCII white space, A-Z lower-cased); a text of fewer than five words is one
+shingle. Texts with the same shingles are one class. A class has BANDS keys of BAND_ROWS minimum hashes each: two classes
+of similarity 0.8 share one or more keys with chance 0.99995. Among the classes that share a key, each is held against
+the first and the two before it, in an order of the key's own, so that pairs grow with the classes and not with
+their square; a pair is linked only if its shingle sets, compared whole, are similar enough. Where many classes share a
+key, a pair is left to the other keys and to the links of others.
+
+Edge cases: a text without words is like no other, and stays; of each group one row stays, with the smallest id, an id
+before none; rows without an id, or with a repeated one, are rows like any other; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import free_name, saved, whole_text
+from .simhash import groups
+
+SHINGLE = 5
+SIMILAR = 0.8
+BANDS = 25
+BAND_ROWS = 5
+SEED = 42
+#: Odd factors of the minimum hashes.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str, length: int = SHINGLE) -> np.ndarray:
+    """The sorted hashes of the text's shingles, each once."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(length)))) if len(words) >= length else [b" ".join(words)] if words else []
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """BANDS keys of the set."""
+    import xxhash
+
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), 1024):  # a very long text is looked at in pieces
+        x = hashes[a : a + 1024, None] * FACTORS[0]
+        x ^= x >> np.uint64(32)
+        x *= FACTORS[1]
+        least = np.minimum(least, x.min(axis=0))
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def signature(text: Column) -> Column:
+    """struct<class long, keys array<long>, hashes binary>; class is null without words."""
+
+    @F.arrow_udf("struct<class: long, keys: array<long>, hashes: binary>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import xxhash
+
+        kind = pa.struct([("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("hashes", pa.binary())])
+        for batch in batches:
+            out = []
+            for t in batch:
+                h = shingle_set(t.as_py() or "")
+                out.append({"class": xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), "keys": band_keys(h), "hashes": h.tobytes()} if len(h) else {"class": None, "keys": [], "hashes": b""})
+            yield pa.array(out, kind)
+
+    return made(text)
+
+
+def similarity(a: str, b: str) -> Column:
+    """Jaccard similarity of two sets of hashes."""
+
+    @F.arrow_udf("double")
+    def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for p, q in zip(x, y):
+            p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both / (len(p) + len(q) - both))
+        return pa.array(out, pa.float64())
+
+    return jaccard(F.col(a), F.col(b))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """a < b: the pairs of classes (class, keys) to be compared."""
+    rows = classes.select("class", F.posexplode("keys").alias("band", "key"))
+    order = Window.partitionBy("band", "key").orderBy(F.xxhash64("class", "band"), "class")
+    others = F.array(F.first("class").over(order), F.lag("class", 1).over(order), F.lag("class", 2).over(order))
+    pairs = rows.select(F.col("class").alias("u"), others.alias("others")).select("u", F.explode("others").alias("v")).filter("u <> v")
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def links(classes: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """a, b: the candidates (of class, keys, hashes) that are similar enough."""
+    sets = classes.select("class", "hashes")
+    pairs = saved(candidates(classes), "copy-candidates")
+    pairs = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
+    return pairs.filter(similarity("x", "y") >= similar).select("a", "b")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The rows that stay, with their columns."""
+    sign, best = free_name(docs, "sign"), free_name(docs, "best")
+    marked = saved(docs.withColumn(sign, signature(whole_text(text_col))), "shingle-sets")
+    rows = marked.select(F.col(f"{sign}.class").alias("class"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("least"), F.col(f"{sign}.keys").alias("keys"), F.col(f"{sign}.hashes").alias("hashes")).filter("class is not null")
+    least = saved(rows.groupBy("class").agg(F.min("least").alias("least")), "classes")
+    classes = saved(rows.select("class", "keys", "hashes").dropDuplicates(["class"]), "class-sets")
+    rooted = least.join(groups(links(classes, similar)), F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("least", "class")).alias(best)).select(F.col(f"{best}.class").alias("class"), F.col(f"{best}.least.id").alias("id"))
+    named = stays.select(F.struct("class", "id").alias(best))
+    kept = marked.join(named, (F.col(f"{sign}.class") == F.col(f"{best}.class")) & F.col(id_col).eqNullSafe(F.col(f"{best}.id")))
+    once = kept.withColumn(best, F.col(f"{best}.class")).dropDuplicates([best])
+    return once.select(docs.columns).unionByName(marked.filter(F.col(f"{sign}.class").isNull()).select(docs.columns))
