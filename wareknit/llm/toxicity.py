@@ -5,7 +5,8 @@ and clean rows make the lexicons. Many voters look at a text: one for each stron
 levels, and patterns of letter case, punctuation, masked letters and address. A generative label model (expectation
 maximisation over the hidden label) estimates each voter's behaviour under either label and the correlations of the
 voters' votes, so that voters that say the same thing twice don't count twice, and gives each sampled row a posterior
-label. A logistic classifier over the lexicon terms and votes is trained on the posterior labels, and scores texts.
+label. The given labels choose the terms and start the estimation, but don't vote, so that a wrong one can be outvoted.
+A logistic classifier over the lexicon terms and votes is trained on the posterior labels, and scores texts.
 
 The model is fitted on a bounded sample of the labelled rows that may be learned from: at most SAMPLE rows of each
 label, those with the smallest hash of their id, exact copies once. Terms are counted by Spark over that sample, and
@@ -194,8 +195,8 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     weak = counts.filter((F.col("n0") >= max(3, 0.01 * n0)) & (F.col("odds") <= 0.5)).orderBy("z", "term").limit(TERMS // 2).collect()
     terms = [r["term"] for r in [*strong, *weak]]
     found, votes, toxic = votes_of(rows, terms, len(strong))
-    # The given label votes too: the model finds how far it can be trusted against all other voters.
-    posterior = label_model(np.column_stack([votes, 2 * toxic - 1]), toxic)
+    # The given labels are the start only: as a voter they would be their own proof, and outvote all others.
+    posterior = label_model(votes, toxic)
     x = features(found, votes, len(terms))
     falling = (np.arange(x.shape[1]) >= len(strong)) & (np.arange(x.shape[1]) < len(terms))
     return Model(terms, len(strong), fit_linear(x, posterior.astype(np.float32), falling).tolist())
