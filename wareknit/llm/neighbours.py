@@ -4,10 +4,11 @@ Equal vectors are one node. The graph starts from neighbours inside runs of node
 directions, and is improved by NN-descent: each node meets its neighbours and the nodes that have it as a neighbour,
 their vectors are joined in, all pairs of them with a newcomer are scored, and each keeps the best found so far. For
 the graph, vectors get one more component that makes their lengths equal, so that largest inner product and nearest
-agree. Lists are bounded by DEGREE in both directions; a hub's reverse list keeps those with the smallest hash.
+agree; it is kept, and pairs are scored, as differences, so that a very long vector takes no digits from the others.
+Lists are bounded by DEGREE in both directions; a hub's reverse list keeps those with the smallest hash.
 
 A search walks the graph in rounds: all queries' unexpanded candidates are joined to their neighbour lists, whose
-vectors (in eight-bit steps) stand beside them, and scored; each query keeps its BEAM best candidates, until none of
+vectors (in eight-bit steps, each vector with its own step) stand beside them, and scored; each query keeps its BEAM best candidates, until none of
 them is unexpanded. The best are scored anew on the original vectors in double precision, and nodes are replaced by
 their members, the smallest ids first.
 
@@ -52,17 +53,24 @@ def rows_of(column: pa.Array, dtype) -> np.ndarray:
 
 
 def with_length(v: Column, dim: int, longest: float) -> Column:
-    """The vector as 32-bit floats, with the component that brings its length to the longest one's."""
+    """The vector as 32-bit floats, with the longest length less the component that brings its own length to that."""
 
     @F.arrow_udf("binary")
     def extended(lists: pa.Array) -> pa.Array:
         x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        rest = np.sqrt(np.maximum(0, longest - (x * x).sum(axis=1)))
-        return pa.array([r.tobytes() for r in np.hstack([x, rest[:, None]]).astype(np.float32)], pa.binary())
+        square = (x * x).sum(axis=1)
+        depth = square / (np.sqrt(longest) + np.sqrt(np.maximum(0, longest - square)))
+        return pa.array([r.tobytes() for r in np.hstack([x, depth[:, None]]).astype(np.float32)], pa.binary())
 
     return extended(v)
 
 
+def closeness(x: np.ndarray) -> np.ndarray:
+    """Less half the squared distance of all pairs: the inner product of equally long vectors, but for a constant."""
+    half = np.einsum("ij,ij->i", x, x) / 2
+    return x @ x.T - half[:, None] - half[None, :]
+
+
 def along(v: Column, direction: np.ndarray) -> Column:
     @F.arrow_udf("float")
     def product(x: pa.Array) -> pa.Array:
@@ -90,7 +98,7 @@ def runs_best(degree: int):
             ids, x = batch.column(0).to_numpy(), rows_of(batch.column(1), np.float32)
             for a in range(0, len(ids), RUN):
                 own, y = ids[a : a + RUN], x[a : a + RUN]
-                sims = y @ y.T
+                sims = closeness(y)
                 np.fill_diagonal(sims, -np.inf)
                 k = min(degree, len(own) - 1)
                 if k < 1:
@@ -131,7 +139,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = b - a
             if n < 2 or not new[a:b].any():
                 continue
-            sims = x[a:b] @ x[a:b].T
+            sims = closeness(x[a:b])
             fresh = new[a:b]
             sims[~(fresh[:, None] | fresh[None, :])] = -np.inf
             np.fill_diagonal(sims, -np.inf)
@@ -166,13 +174,15 @@ def build_graph(nodes: DataFrame, dim: int, count: int, degree: int = DEGREE, ro
     return graph
 
 
-def neighbour_lists(graph: DataFrame, nodes: DataFrame, dim: int, step: float, degree: int) -> DataFrame:
-    """node, others array<long>, vs binary: each node's neighbours both ways and their vectors in eight-bit steps."""
+def neighbour_lists(graph: DataFrame, nodes: DataFrame, dim: int, degree: int) -> DataFrame:
+    """node, others array<long>, vs binary: each node's neighbours both ways, their vectors in eight-bit steps and, after each, its step."""
 
     @F.arrow_udf("binary")
     def small(v: pa.Array) -> pa.Array:
         x = rows_of(v, np.float32)[:, :dim] if len(v) else np.empty((0, dim), np.float32)
-        return pa.array([r.tobytes() for r in np.clip(np.rint(x / step), -127, 127).astype(np.int8)], pa.binary())
+        step = np.abs(x).max(axis=1, initial=0) / 127
+        codes = np.clip(np.rint(x / np.where(step > 0, step, 1)[:, None]), -127, 127).astype(np.int8)
+        return pa.array([c.tobytes() + w.tobytes() for c, w in zip(codes, step.astype(np.float32))], pa.binary())
 
     pairs = both_ways(graph, degree).select("node", "other")
     vectors = nodes.select(F.col("node").alias("other"), small("v").alias("v"))
@@ -180,7 +190,7 @@ def neighbour_lists(graph: DataFrame, nodes: DataFrame, dim: int, step: float, d
     return lists.select("node", F.transform("l", lambda x: x["other"]).alias("others"), F.expr("aggregate(l, X'', (a, x) -> a || x.v)").alias("vs"))
 
 
-def scored(dim: int, step: float):
+def scored(dim: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -189,19 +199,19 @@ def scored(dim: int, step: float):
             q = rows_of(batch.column(2), np.float32)[:, :dim]
             others, vs = batch.column(3), batch.column(4)
             ids = others.flatten().to_numpy()
-            x = np.frombuffer(b"".join(vs.to_pylist()), np.int8).reshape(-1, dim)
+            own = np.frombuffer(b"".join(vs.to_pylist()), np.dtype([("x", np.int8, (dim,)), ("step", np.float32)]))
             sizes = np.diff(np.cumsum([0, *(len(o) for o in others)]))
             row = np.repeat(np.arange(len(query)), sizes)
             sims = np.empty(len(ids), np.float32)
             for a in range(0, len(ids), 100_000):
-                sims[a : a + 100_000] = np.einsum("ij,ij->i", x[a : a + 100_000].astype(np.float32), q[row[a : a + 100_000]]) * step
+                sims[a : a + 100_000] = np.einsum("ij,ij->i", own["x"][a : a + 100_000].astype(np.float32), q[row[a : a + 100_000]]) * own["step"][a : a + 100_000]
             keep = sims > worst[row]
             yield pa.RecordBatch.from_arrays([pa.array(query[row[keep]]), pa.array(ids[keep]), pa.array(sims[keep])], ["query", "node", "sim"])
 
     return score
 
 
-def search(lists: DataFrame, queries: DataFrame, dim: int, step: float, beam: int = BEAM, rounds: int = 40) -> DataFrame:
+def search(lists: DataFrame, queries: DataFrame, dim: int, beam: int = BEAM, rounds: int = 40) -> DataFrame:
     """query, node, sim: the beam best nodes found for each query (query long, v binary), which is a node itself."""
     beams = queries.select("query", F.col("query").alias("node"), F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("expanded"))
     beams = saved(beams, "beam")
@@ -211,7 +221,7 @@ def search(lists: DataFrame, queries: DataFrame, dim: int, step: float, beam: in
         worst = beams.groupBy("query").agg(F.when(F.count("*") >= beam, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
         asked = open_.join(queries.join(worst, "query"), "query")
         pairs = asked.join(lists, "node").select("query", "worst", "v", "others", "vs")
-        found = pairs.mapInArrow(scored(dim, step), "query long, node long, sim float").withColumn("expanded", F.lit(False))
+        found = pairs.mapInArrow(scored(dim), "query long, node long, sim float").withColumn("expanded", F.lit(False))
         merged = beams.withColumn("expanded", F.lit(True)).unionByName(found).repartition("query").groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("expanded").alias("expanded"))
         beams = saved(merged.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= beam).drop("rank"), "beam")
         if beams.filter("not expanded").isEmpty():
@@ -243,14 +253,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     members = saved(members.withColumn("node", F.min("id").over(Window.partitionBy("vec"))), "members")
     heads = members.filter("place = 1").select("node", "vec")
     square = F.aggregate(F.transform("vec", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    facts = heads.agg(F.count("*").alias("n"), F.max(square).alias("longest"), F.max(F.array_max(F.transform("vec", lambda x: F.abs(x).cast("double")))).alias("largest")).head()
-    count, longest, step = facts["n"], facts["longest"] or 1.0, (facts["largest"] or 1.0) / 127
+    facts = heads.agg(F.count("*").alias("n"), F.max(square).alias("longest")).head()
+    count, longest = facts["n"], facts["longest"] or 1.0
     nodes = saved(heads.select("node", with_length(F.col("vec"), dim, longest).alias("v")), "nodes")
     graph = build_graph(nodes, dim, count, degree)
-    lists = saved(neighbour_lists(graph, nodes, dim, step, degree), "lists")
+    lists = saved(neighbour_lists(graph, nodes, dim, degree), "lists")
     asks = saved(rows.filter("asks").select("id", "vec").join(heads, "vec").select(F.col("id").alias("query_id"), "node"), "queries")
     queries = saved(asks.select(F.col("node").alias("query")).distinct().join(nodes.withColumnRenamed("node", "query"), "query"), "query-nodes")
-    found = search(lists, queries, dim, step, beam)
+    found = search(lists, queries, dim, beam)
     # A query's own node counts as found, with its members but the query itself.
     found = found.unionByName(queries.select("query", F.col("query").alias("node"), F.lit(float("inf")).cast("float").alias("sim"))).groupBy("query", "node").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
