@@ -57,19 +57,26 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def signature(text: Column) -> Column:
-    """struct<class long, keys array<long>, hashes binary>; class is null without words."""
+    """struct<class long, keys array<long>>; class is null without words."""
 
-    @F.arrow_udf("struct<class: long, keys: array<long>, hashes: binary>")
+    @F.arrow_udf("struct<class: long, keys: array<long>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
-        kind = pa.struct([("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("hashes", pa.binary())])
+        kind = pa.struct([("class", pa.int64()), ("keys", pa.list_(pa.int64()))])
         for batch in batches:
-            out = []
-            for t in batch:
-                h = shingle_set(t.as_py() or "")
-                out.append({"class": xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), "keys": band_keys(h), "hashes": h.tobytes()} if len(h) else {"class": None, "keys": [], "hashes": b""})
-            yield pa.array(out, kind)
+            sets = (shingle_set(t.as_py() or "") for t in batch)
+            yield pa.array([{"class": xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), "keys": band_keys(h)} if len(h) else {"class": None, "keys": []} for h in sets], kind)
+
+    return made(text)
+
+
+def hashes(text: Column) -> Column:
+    """The shingle set as binary."""
+
+    @F.arrow_udf("binary")
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py() or "").tobytes() for t in texts], pa.binary())
 
     return made(text)
 
@@ -98,24 +105,26 @@ def candidates(classes: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def links(classes: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """a, b: the candidates (of class, keys, hashes) that are similar enough."""
-    sets = classes.select("class", "hashes")
-    pairs = saved(candidates(classes), "copy-candidates")
+def links(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """a, b: the candidates among rows (class, keys, text) that are similar enough."""
+    pairs = saved(candidates(rows.select("class", "keys").dropDuplicates(["class"])), "copy-candidates")
+    # Only classes with a candidate have their sets made.
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    texts = rows.select("class", "text").join(asked, "class", "left_semi").dropDuplicates(["class"])
+    sets = saved(texts.select("class", hashes(F.col("text")).alias("hashes")), "shingle-sets")
     pairs = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
     return pairs.filter(similarity("x", "y") >= similar).select("a", "b")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows that stay, with their columns."""
-    sign, best = free_name(docs, "sign"), free_name(docs, "best")
-    marked = saved(docs.withColumn(sign, signature(whole_text(text_col))), "shingle-sets")
-    rows = marked.select(F.col(f"{sign}.class").alias("class"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("least"), F.col(f"{sign}.keys").alias("keys"), F.col(f"{sign}.hashes").alias("hashes")).filter("class is not null")
-    least = saved(rows.groupBy("class").agg(F.min("least").alias("least")), "classes")
-    classes = saved(rows.select("class", "keys", "hashes").dropDuplicates(["class"]), "class-sets")
-    rooted = least.join(groups(links(classes, similar)), F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("least", "class")).alias(best)).select(F.col(f"{best}.class").alias("class"), F.col(f"{best}.least.id").alias("id"))
-    named = stays.select(F.struct("class", "id").alias(best))
-    kept = marked.join(named, (F.col(f"{sign}.class") == F.col(f"{best}.class")) & F.col(id_col).eqNullSafe(F.col(f"{best}.id")))
-    once = kept.withColumn(best, F.col(f"{best}.class")).dropDuplicates([best])
-    return once.select(docs.columns).unionByName(marked.filter(F.col(f"{sign}.class").isNull()).select(docs.columns))
+    sign, own, best = free_name(docs, "sign"), free_name(docs, "own_class"), free_name(docs, "best")
+    marked = saved(docs.withColumn(sign, signature(whole_text(text_col))).withColumn(own, F.col(f"{sign}.class")), "signatures")
+    worded = marked.filter(F.col(own).isNotNull())
+    least = worded.groupBy(F.col(own).alias("class")).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))).alias("least"))
+    linked = links(worded.select(F.col(own).alias("class"), F.col(f"{sign}.keys").alias("keys"), whole_text(text_col).alias("text")), similar)
+    rooted = least.join(groups(linked), F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    stays = saved(rooted.groupBy("root").agg(F.min(F.struct("least", "class")).alias("best")).select(F.col("best.class").alias(own), F.col("best.least.id").alias(best)), "staying")
+    same_id = F.coalesce(F.col(id_col) == F.col(best), F.col(id_col).isNull() & F.col(best).isNull())
+    once = marked.join(stays, own).filter(same_id).dropDuplicates([own])
+    return once.select(docs.columns).unionByName(marked.filter(F.col(own).isNull()).select(docs.columns))
