@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wareknit.llm import chat, counts, decontam, idfile, langid, neighbours, pieces, shards, simhash, toxicity
 from wareknit.llm.bpe import Bpe
 from wareknit.llm.common import default_tokenizer
+from wareknit.llm.memo import Memo
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and red blue cup jar one two three café naïve 12 3.5 don't we'll été".split()
@@ -346,9 +347,46 @@ def test_digest_of_known_text(spark, odd):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_bpe_with_tiny_memos(name, monkeypatch):
-    monkeypatch.setattr("wareknit.llm.bpe.MEMO_CHUNKS", 20)
-    monkeypatch.setattr("wareknit.llm.bpe.MEMO_WORDS", 10)
+    monkeypatch.setattr("wareknit.llm.memo.MEMO_BYTES", 4000)
     b, rng = Bpe(default_tokenizer(name)), random.Random(4)
     for _ in range(60):
         t = " ".join("".join(rng.choice("abcdé.,") for _ in range(rng.randint(1, 6))) for _ in range(60))
         assert np.frombuffer(b.ids(t), np.uint32).tolist() == b.whole(t) and b.count(t) == len(b.whole(t))
+    assert b.counts.held < 5000
+
+
+def test_memo_is_bounded():
+    calls = []
+    m = Memo(lambda w: calls.append(w) or w.encode(), 2000)
+    keys = [f"w{k}" for k in range(400)]
+    for _ in range(5):
+        assert m.joined(keys) == "".join(keys).encode() and m.held < 2000 + 300
+    assert m.one("x" * 1_000_000) == b"x" * 1_000_000 and "x" * 1_000_000 not in m.known
+    calls.clear()
+    once = Memo(lambda w: calls.append(w) or b"-")
+    assert once.all(["a", "b", "a"]) == [b"-"] * 3 and calls == ["a", "b"] and len(once.known) == 2
+
+
+def test_long_runs_of_blanks():
+    import sentencepiece
+
+    path = default_tokenizer("piece_bpe_32k.model")
+    lib, m = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    for t in (" " * 100_000, "a" + " " * 30_001 + "b", "x" * 100_000, "▁" * 5000 + "the", "!" * 20_000, " \n" * 5000):
+        assert np.frombuffer(m.encode(t), np.int32).tolist() == lib.encode(t, add_eos=True)
+
+
+def test_coded_in_slices(spark, odd, monkeypatch):
+    """Batches go through in slices; the environment of forked workers doesn't see the patch, so the function is called here."""
+    from wareknit.llm import common
+
+    monkeypatch.setattr(common, "SLICE_ROWS", 7)
+    import pyarrow as pa
+
+    got = list(common.slices([(pa.array(range(20)), pa.array(range(20))), (pa.array([], pa.int64()), pa.array([], pa.int64()))]))
+    assert [len(a) for a, _ in got] == [7, 7, 6, 0] and [x for a, _ in got for x in a.to_pylist()] == list(range(20))
+    many = spark.range(4500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).coalesce(1)
+    path = default_tokenizer("piece_bpe_32k.model")
+    m = pieces.PieceModel(path)
+    for r in pieces.encode_documents(many, path).collect():
+        assert r.decoded == f"text {r.doc_id}" and r.ids == np.frombuffer(m.encode(r.decoded), np.int32).tolist()

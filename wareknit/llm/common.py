@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir.
+
+    Only a local session, whose executors are threads of the driver, may go without: it gets a temporary folder. On a
+    cluster that would be a folder of each machine's own, so that it is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "wareknit-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Rows that a worker turns into Python objects at a time.
+SLICE_ROWS = 2_000
+
+
+def slices(batches: Iterable[tuple[pa.Array, ...]]) -> Iterator[tuple[pa.Array, ...]]:
+    """The batches in parts of SLICE_ROWS rows, an empty one as it is."""
+    for columns in batches:
+        for k in range(0, max(1, len(columns[0])), SLICE_ROWS):
+            yield tuple(c[k : k + SLICE_ROWS] for c in columns)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import bpe
-from .common import scratch, whole_text
+from .common import scratch, slices, whole_text
 
 #: How many ids a word of each selector holds, and of how many bits; 15 is the escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -38,6 +38,8 @@ ESCAPE = 15
 BLOCK_WORDS = 32_768
 #: Ids are packed so many at a time.
 IDS_AT_ONCE = 200_000
+#: Bounds of parts go to every task: more parts than these are not made, larger ones are.
+MOST_PARTS = 4_000
 
 
 def pack(ids: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -50,40 +52,21 @@ def pack(ids: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, n
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(ends) + 1, np.int64)
     left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
-    choice = np.full(n, ESCAPE, dtype=np.int8)
-    step = np.ones(n, dtype=np.int64)
-    top = int(ids.max())
-    some = None  # where the selector before fits; only there the next, of more and narrower ids, can
+    # The bits that each id needs and, from there, the most that any of so many ids in a row needs.
+    widest, reach = np.frexp(ids.astype(np.float64))[1].astype(np.uint8), 1
+    if int(ids.max()) >> 53:
+        widest = np.array([int(x).bit_length() for x in ids.tolist()], np.uint8)
+    choice, step = np.full(n, ESCAPE, dtype=np.int8), np.ones(n, dtype=np.int64)
     for s in range(len(COUNTS) - 1, -1, -1):
         count, width = int(COUNTS[s]), int(WIDTHS[s])
-        if some is None:
-            room = left >= count
-            if top >> width:
-                small, reach = ids < (1 << width), 1
-                while reach < count:  # small[i]: so do the next ids, reach of them in all
-                    more = min(reach, count - reach)
-                    small[:-more] &= small[more:]
-                    small[-more:] = False
-                    reach += more
-                room &= small
-            fits = np.flatnonzero(room)
-        else:
-            fits = some[left[some] >= count]
-            for k in range(count):
-                if not len(fits):
-                    break
-                fits = fits[ids[fits + k] < (1 << width)]
-        if not len(fits):
-            break
+        while reach < count:
+            more = min(reach, count - reach)
+            np.maximum(widest[:-more], widest[more:], out=widest[:-more])
+            reach += more
+        fits = np.flatnonzero((widest <= width) & (left >= count))
         choice[fits], step[fits] = s, count
-        if len(fits) * 4 < n:
-            some = fits
-    jump, firsts, i = (np.arange(n) + step).tolist(), [], 0
-    while i < n:
-        firsts.append(i)
-        i = jump[i]
+    firsts = followed(np.arange(n) + step, ends)
     ids = ids.astype(np.uint64)
-    firsts = np.array(firsts)
     chosen = choice[firsts]
     size = 1 + (chosen == ESCAPE)
     place = np.cumsum(size) - size
@@ -100,6 +83,25 @@ def pack(ids: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, n
     return words, np.append(0, np.append(place, len(words))[np.searchsorted(firsts, ends)])
 
 
+def followed(after: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where words begin, if each begins where the one before, in after, says: all lists at once, the last few by themselves."""
+    firsts, at = [], np.append(0, ends[:-1])
+    at, end = at[at < ends], ends[at < ends]
+    while len(at) > 16:
+        firsts.append(at)
+        at = after[at]
+        live = at < end
+        if not live.all():
+            at, end = at[live], end[live]
+    for i, stop in zip(at.tolist(), end.tolist()):
+        start, rest, own = i, after[i:stop].tolist(), []
+        while i < stop:
+            own.append(i)
+            i = rest[i - start]
+        firsts.append(np.array(own, np.int64))
+    return np.sort(np.concatenate(firsts))
+
+
 def unpack(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids, and the number of ids before each word."""
     words = np.asarray(words, dtype=np.uint64)
@@ -127,45 +129,57 @@ def unpack(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, before
 
 
-def packed_ids(text: Column, path: str, end_id: int) -> Column:
-    """struct<n long, words binary>: the packed ids of the text and the end id."""
+def packed_ids(doc_id: Column, text: Column, bounds: list[int], path: str, end_id: int) -> Column:
+    """struct<part int, n long, words binary>: the part of the id, and the packed ids of the text and the end id."""
+    upper = np.array(bounds, np.int64)
 
-    @F.arrow_udf("struct<n: bigint, words: binary>")
-    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<part: int, n: bigint, words: binary>")
+    def packed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         b, end = bpe(path), np.uint32(end_id).tobytes()
-        for batch in batches:
+        for doc_ids, batch in slices(batches):
+            # The number of bounds below the id; null ids lie before all.
+            part = np.where(np.array(doc_ids.is_valid()), np.searchsorted(upper, doc_ids.fill_null(0).to_numpy(zero_copy_only=False)), 0)
+            # Copies inside a slice are coded once.
+            place: dict[str, int] = {}
+            own = [place.setdefault(t.as_py() or "", len(place)) for t in batch]
             n, words = [], []
             rows, held = [], 0
-            for i, t in enumerate(batch):
-                rows.append(b.ids(t.as_py() or "") + end)
+            for i, t in enumerate(place):
+                rows.append(b.ids(t) + end)
                 held += len(rows[-1]) // 4
-                if held >= IDS_AT_ONCE or i + 1 == len(batch):
+                if held >= IDS_AT_ONCE or i + 1 == len(place):
                     sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
                     flat, at = pack(np.frombuffer(b"".join(rows), np.uint32), np.cumsum(sizes))
-                    n.append(sizes)
+                    n += sizes.tolist()
                     words += [flat[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
                     rows, held = [], 0
-            n, binary = np.concatenate(n) if n else np.empty(0, np.int64), pa.array(words, pa.binary())
-            yield pa.StructArray.from_arrays([pa.array(n), binary], ["n", "words"])
+            n, binary = np.array([n[k] for k in own], np.int64), pa.array([words[k] for k in own], pa.binary())
+            yield pa.StructArray.from_arrays([pa.array(part, pa.int32()), pa.array(n), binary], ["part", "n", "words"])
+
+    return packed(doc_id, text)
 
-    return packed(text)
 
+def part_bounds(docs: DataFrame, id_col: str, parts: int | None) -> list[int]:
+    """Upper bounds of the id ranges, from the id column alone; at most one for each part.
 
-def part_bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
-    """Upper bounds of the id ranges, from the id column alone; at most one for each part."""
-    cut = docs.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)] or [0.5], 10_000)).head()
+    parts: None for as many as the scan has, which follows from the table's bytes, and the session's shuffle partitions
+    at least.
+    """
+    if parts is None:
+        scanned = docs.select(F.spark_partition_id().alias("scanned")).agg(F.max("scanned")).head()[0] or 0
+        parts = min(MOST_PARTS, max(scanned + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cut = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / parts for i in range(1, parts)] or [0.5], 10_000)).head()
     return sorted(set(cut[0] or []))
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, path: str, parts: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, path: str, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """The ids of every whole text and the end id, in the order of id_col, as blocks under path."""
     bounds = part_bounds(docs, id_col, parts)
-    # The number of bounds below the id; null ids lie before all.
-    below = F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(id_col).cast("long")) if bounds else None
-    part = F.lit(0) if below is None else F.greatest(F.size(below), F.lit(0))
-    coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), part.alias("part"), packed_ids(whole_text(text_col), tokenizer, end_id).alias("p"))
-    coded = coded.select("part", "doc_id", F.col("p.n").alias("n"), F.col("p.words").alias("words"))
-    ordered = coded.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "doc_id", "words")
+    doc_id = F.col(id_col).cast("long")
+    coded = docs.select(doc_id.alias("doc_id"), packed_ids(doc_id, whole_text(text_col), bounds, tokenizer, end_id).alias("p"))
+    coded = coded.select("p.part", "doc_id", "p.n", "p.words")
+    # A part is a partition by its number, not by a hash of it, so that each task has one.
+    ordered = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "words")
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
 
 
@@ -209,7 +223,7 @@ def read_blocks(spark, path: str, ids: bool = True, crc: bool = False) -> DataFr
         part_starts[p] = total
         total += before[p]
     starts = F.create_map(*[F.lit(x) for pair in part_starts.items() for x in pair]) if part_starts else F.create_map(F.lit(0), F.lit(0))
-    placed = stored.select((F.col("ids_before") + starts[F.col("part")]).alias("block_start"), "doc_ids", "lengths", "words")
+    placed = stored.select((F.col("ids_before") + starts[F.col("part")]).alias("block_start"), "doc_ids", "lengths", "offsets", "words")
     schema = "doc_id long, start long, n_tokens long" + ", ids array<bigint>" * ids + ", ids_crc32 long" * crc
     return placed.mapInArrow(documents(ids, crc), schema)
 
@@ -220,22 +234,24 @@ def documents(with_ids: bool, with_crc: bool):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                start, doc_ids, lengths, words = (c[i] for c in batch.columns)
-                ids, _ = unpack(np.frombuffer(words.as_buffer(), "<u8"))
+                start, doc_ids, lengths, offsets, words = (c[i] for c in batch.columns)
+                ids, before = unpack(np.frombuffer(words.as_buffer(), "<u8"))
                 lengths = np.frombuffer(lengths.as_buffer(), "<u4").astype(np.int64)
-                ends = np.cumsum(lengths)
-                columns = {"doc_id": pa.array(doc_ids.as_py(), pa.int64()), "start": pa.array(start.as_py() + ends - lengths), "n_tokens": pa.array(lengths)}
+                # A document's ids begin with the word at its offset.
+                firsts = before[np.frombuffer(offsets.as_buffer(), "<u4")]
+                ends = firsts + lengths
+                columns = {"doc_id": pa.array(doc_ids.as_py(), pa.int64()), "start": pa.array(start.as_py() + firsts), "n_tokens": pa.array(lengths)}
                 if with_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64)))
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(firsts, ends[-1:]), pa.int32()), pa.array(ids.astype(np.int64)))
                 if with_crc:
                     flat = ids.astype("<u4")
-                    columns["ids_crc32"] = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends - lengths, ends)], pa.int64())
+                    columns["ids_crc32"] = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(firsts, ends)], pa.int64())
                 yield pa.RecordBatch.from_pydict(columns)
 
     return decoded
 
 
-def store_ids(docs: DataFrame, tokenizer: str, end_id: int, parts: int, path: str | None = None, ids: bool = True, crc: bool = False) -> DataFrame:
+def store_ids(docs: DataFrame, tokenizer: str, end_id: int, parts: int | None = None, path: str | None = None, ids: bool = True, crc: bool = False) -> DataFrame:
     """Writes the ids of docs and reads them back."""
     path = path or scratch(docs.sparkSession, "token-ids")
     write_blocks(docs, tokenizer, end_id, path, parts)

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from .common import default_tokenizer, table, whole_text
 
 
-def parts_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, loss_text, read_turns
 
@@ -80,7 +76,7 @@ def op7_id_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .idfile import store_ids
 
     docs, tokenizer = table(spark, sf_dir, "documents"), default_tokenizer("byte_bpe_50k.json")
-    return store_ids(docs, tokenizer, 2, parts_for(spark), ids=False, crc=True)
+    return store_ids(docs, tokenizer, 2, ids=False, crc=True)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
