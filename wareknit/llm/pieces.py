@@ -6,7 +6,8 @@ before it is that position's entry. Reading the entries backwards from the end g
 text and without a merge queue.
 
 Pieces hold no word mark after another character, so that each run of word marks with what follows is encoded by
-itself and kept in a bounded memo of the worker.
+itself and, if short, kept in a bounded memo of the worker. Two or more word marks in a row have pieces of one score
+only, which are merged leftmost first (with a heap, as pieces themselves are once, in time n log n).
 
 Edge cases: a null or empty text has the end id alone and decodes to an empty text; characters without a piece
 become byte pieces; repeated rows give repeated results; an empty table gives an empty result; other columns of the
@@ -15,6 +16,7 @@ input are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import slices, whole_text
+from .memo import Memo
 
 MARK = "▁"
-MEMO_ENTRIES = 500_000
+#: Compatibility tests of two tokens that a worker remembers.
+PAIRS = 400_000
 
 
 class PieceModel:
@@ -62,35 +66,45 @@ class PieceModel:
         self.rank = {p: (-score[p] if len(p) > 1 else float("-inf")) for p in self.id_of}
         self.single = {p for p in self.id_of if len(p) == 1}
         self.halves: dict[str, tuple[str, str]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}  # whether two tokens stay apart, by both their ids
+        self.words, self.units, self.tails = Memo(self.word_ids), Memo(self.unit_ids), Memo(lambda t: array("i", self.plain_ids(t)).tobytes())
+        self.inside = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
+        self.piece_of = {i: p for p, i in self.id_of.items()}
+        self.length = [len(p) for p in self.surface]
         self.automaton = ahocorasick.Automaton()
         for p in self.id_of:
             if len(p) == 1 or self.merged(p, keep_halves=True) == [p]:
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, (len(p), self.id_of[p]))
         self.automaton.make_automaton()
 
     def merged(self, text: str, keep_halves: bool = False) -> list[str]:
-        """Merges step by step, the best pair first and the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min(((self.rank.get(parts[i] + parts[i + 1], float("inf")), i) for i in range(len(parts) - 1)))
-            if best[0] == float("inf"):
-                break
-            i = best[1]
-            if keep_halves and len(parts) == 2:
-                self.halves[text] = (parts[0], parts[1])
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def compatible(self, left: str, right: str) -> bool:
+        """Merges step by step, the best pair first and the leftmost of equals; a heap holds the pairs there are."""
+        parts: list[str | None] = list(text)
+        after, before, rank = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1)), self.rank
+        heap = [(rank[parts[i] + parts[i + 1]], i, parts[i] + parts[i + 1]) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in rank]
+        heapq.heapify(heap)
+        while heap:
+            _, i, joined = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != joined:
+                continue  # one of the two has been merged since
+            if keep_halves and len(joined) == len(text):
+                self.halves[text] = (parts[i], parts[j])
+            parts[i], parts[j], after[i] = joined, None, after[j]
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < len(parts):
+                    before[y] = x
+                    if (pair := parts[x] + parts[y]) in rank:
+                        heapq.heappush(heap, (rank[pair], x, pair))
+        return [p for p in parts if p is not None]
+
+    def compatible(self, left_id: int, right_id: int) -> bool:
         """Do the two tokens stay apart when their texts stand side by side?
 
         Undoes the later merge of the two at the border, again and again: at each step the tokens at the border
         must not form a token that would have been merged before.
         """
-        key = (left, right)
+        left, right = self.piece_of[left_id], self.piece_of[right_id]
         rank, limit, from_right, ok = self.rank, float("inf"), False, True
         while True:
             joined = rank.get(left + right)
@@ -104,30 +118,28 @@ class PieceModel:
                 limit, from_right, left = a, False, self.halves[left][1]
             else:
                 limit, from_right, right = b, True, self.halves[right][0]
-        if len(self.pairs) >= 2 * MEMO_ENTRIES:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[key] = ok
+        self.pairs[left_id << 20 | right_id] = ok
         return ok
 
     def known_run(self, run: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
-        last: list[str | None] = [None] * (len(run) + 1)
-        pairs, compatible = self.pairs, self.compatible
-        for at, token in self.automaton.iter(run):
+        last = [-1] * (len(run) + 1)
+        known, compatible = self.pairs.get, self.compatible
+        for at, (size, token) in self.automaton.iter(run):
             at += 1
-            if last[at] is None:  # a prefix has one last token
-                start = at - len(token)
-                if start == 0:
+            if last[at] < 0:  # a prefix has one last token
+                if at == size:
                     last[at] = token
-                elif (before := last[start]) is not None:
-                    ok = pairs.get((before, token))
-                    if compatible(before, token) if ok is None else ok:
+                elif (before := last[at - size]) >= 0:
+                    ok = known(before << 20 | token)
+                    if ok or (ok is None and compatible(before, token)):
                         last[at] = token
-        ids, at = [], len(run)
+        ids, at, length = [], len(run), self.length
         while at:
-            token = last[at]
-            ids.append(self.id_of[token])
-            at -= len(token)
+            ids.append(token := last[at])
+            at -= length[token]
         return ids[::-1]
 
     def unit_ids(self, unit: str) -> bytes:
@@ -165,21 +177,15 @@ class PieceModel:
             # A word goes by itself, marked; what follows a line feed, never part of a piece, goes with it, unmarked.
             words = text.replace("\n", " \n").split(" ")
             if "" not in words:
-                return self.looked_up(self.words, words, self.word_ids) + end
-        return self.looked_up(self.units, UNITS(self.normal(text)), self.unit_ids) + end
-
-    def looked_up(self, memo: dict[str, bytes], keys: list[str], make) -> bytes:
-        try:
-            return b"".join([memo[k] for k in keys])
-        except KeyError:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            for k in keys:
-                if k not in memo:
-                    memo[k] = make(k)
-            return b"".join([memo[k] for k in keys])
+                return self.words.joined(words) + end
+        return self.units.joined(UNITS(self.normal(text))) + end
 
     def word_ids(self, word: str) -> bytes:
+        if not word.isalpha():
+            # No piece goes over two characters that stand side by side in none.
+            for k in range(len(word) - 1, 0, -1):
+                if word[k - 1 : k + 1] not in self.inside and word[k - 1 : k] != "\n":
+                    return self.words.one(word[:k]) + self.tails.one(word[k:])
         return array("i", self.plain_ids(word if word[0] == "\n" else MARK + word)).tobytes()
 
     def decode(self, ids: list[int]) -> str:
@@ -238,7 +244,26 @@ def piece_text(ids: Column, path: str) -> Column:
     return text(ids)
 
 
+def coded(text: Column, path: str) -> Column:
+    """struct<ids array<int>, decoded string>: the ids of the whole text with the end id, and the text of the ids."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = model(path)
+        for (batch,) in slices((b,) for b in batches):
+            # Copies inside a slice are coded once.
+            place: dict[str, int] = {}
+            own = [place.setdefault(t.as_py() or "", len(place)) for t in batch]
+            rows = [m.encode(t) for t in place]
+            texts = [m.decode(np.frombuffer(r, np.int32).tolist()) for r in rows]
+            rows = [rows[k] for k in own]
+            ends = np.cumsum([0] + [len(r) // 4 for r in rows])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+            yield pa.StructArray.from_arrays([ids, pa.array([texts[k] for k in own], pa.string())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids array<int>, decoded string. Narrow: one pass, no shuffle."""
-    coded = docs.select(F.col(id_col), piece_ids(whole_text(text_col), path).alias("ids"))
-    return coded.select(id_col, "ids", piece_text(F.col("ids"), path).alias("decoded"))
+    """id_col, ids array<int>, decoded string. Narrow: one pass, no shuffle, one Python worker for each task."""
+    return docs.select(F.col(id_col), coded(whole_text(text_col), path).alias("c")).select(id_col, "c.ids", "c.decoded")
