@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "wareknit-scratch")
+    """A new path. Only a local session may go without spark.checkpoint.dir: its executors share the driver's machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "wareknit-scratch")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
