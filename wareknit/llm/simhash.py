@@ -1,21 +1,32 @@
-"""Near duplicates by SimHash fingerprints, found with a pivot distance table.
+"""Near duplicates by SimHash fingerprints, found with pivot distance tables.
 
-Texts are fingerprinted in 64 bits (words between ASCII white space, A-Z lower-cased; XXH64 of three-word shingles;
-a bit is set if over half the shingles' hashes have it). Fingerprints, each kept once, are linked at 3 or fewer
-differing bits, and links are followed to groups.
+Texts are fingerprinted in 64 bits (words between ASCII white space, A-Z lower-cased; XXH64 of shingles; a bit is set if
+over half the shingles' hashes have it), and two kinds of links are followed to groups.
 
-The pivot table holds each fingerprint's Hamming distances to many reference fingerprints, eight to a long. By the
-triangle inequality, two fingerprints within 3 bits differ by at most 3 in every coordinate, so that a pair whose
-coordinates differ by more is discarded; survivors are verified bit by bit. Pairs are only looked for where whole
-blocks of bits agree: 3 bits that differ leave at least two of five blocks whole (with more fingerprints: three of
+fingerprint_groups: three-word shingles, repeats included; fingerprints, each kept once, are linked at 3 or fewer
+differing bits. The pivot table holds each fingerprint's Hamming distances to many reference fingerprints, eight to a
+long. By the triangle inequality, two fingerprints within 3 bits differ by at most 3 in every coordinate, so that a
+pair whose coordinates differ by more is discarded; survivors are verified bit by bit. Pairs are only looked for where
+whole blocks of bits agree: 3 bits that differ leave at least two of five blocks whole (with more fingerprints: three of
 six, or four of seven), so that no link is lost, and the join's condition discards and verifies before a pair is made.
 
-Groups: labels go along links by alternating large-star and small-star steps over the links of distinct fingerprints,
-each step written to the shared folder, until nothing changes.
+similar_groups: sets of five-word shingles, linked at a Jaccard similarity of 0.8 or more. Such pairs differ in about ten
+bits, up to twenty, which no blocks of 64 bits leave whole; so they are looked for by BANDS keys of BAND_ROWS minimum
+hashes each (a pair of similarity 0.8 shares none with chance 0.00005). Fingerprints of more than FAR differing bits are
+discarded, and survivors are verified on the whole shingle sets.
 
-Edge cases: a null or word-less text has fingerprint zero, linked like any other; a text of one or two words is one
-shingle; equal fingerprints are one group; null ids are ignored by the smallest id unless a group has no other;
-repeated rows each have a row; an empty table gives an empty result; other columns are not read.
+Both look at a key's members twice, so that a group of many copies doesn't make all its pairs. First each is held
+against the key's head (its smallest member). Then those that didn't get into the head's group are held against all
+members that aren't in their own group: all pairs whose link could still join two groups. The head is a pivot there: its
+distance to each member is known, and pairs whose distances to it differ by more than the limit are discarded.
+
+Groups: labels go along links by alternating large-star and small-star steps, each step written to the shared folder,
+until nothing changes.
+
+Edge cases: null and word-less texts are one group (fingerprint zero, linked like any other); a text of fewer words than
+a shingle is one shingle; equal fingerprints are one group; null ids are ignored by the smallest id unless a group has
+no other; repeated rows each have a row, and are rows like any other where one of a group stays; an empty table gives an
+empty result; other columns are not read, or kept as they are.
 """
 
 from __future__ import annotations
@@ -28,29 +39,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import free_name, saved, slices, whole_text
 
 NEAR = 3
 PIVOTS = 16
 SEED = 42
+SHINGLE, SIMILAR = 5, 0.8
+#: Sets of similarity 0.8 differ in 10 bits on average, with a deviation of 3.
+FAR = 22
+BANDS, BAND_ROWS = 25, 5
+#: Odd factors of the minimum hashes.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint_of(text: str) -> int:
+def shingle_hashes(text: str, length: int) -> np.ndarray:
+    """XXH64 of the text's shingles, as big-endian integers."""
     import xxhash
 
     words = text.encode().lower().split()
-    if len(words) < 3:
-        shingles = [b" ".join(words)] if words else []
-    else:
-        shingles = list(map(b" ".join, zip(words, words[1:], words[2:])))
-    if not shingles:
-        return 0
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(length)))) if len(words) >= length else [b" ".join(words)] if words else []
     digest, seed = xxhash.xxh64_digest, SEED
+    return np.frombuffer(b"".join([digest(s, seed) for s in shingles]), ">u8")
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint (as a signed integer): the bits that over half the hashes have."""
     ones = np.zeros(64, np.int64)
-    for a in range(0, len(shingles), 65_536):  # a very long text is summed in pieces
-        hashes = b"".join([digest(s, seed) for s in shingles[a : a + 65_536]])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big", signed=True)
+    for a in range(0, len(hashes), 65_536):  # a very long text is summed in pieces
+        ones += np.unpackbits(hashes[a : a + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
+def fingerprint_of(text: str) -> int:
+    return bits_of(shingle_hashes(text, 3))
 
 
 def fingerprint(text: Column) -> Column:
@@ -91,20 +112,52 @@ def block_masks(blocks: int, whole: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def within(a: str, b: str, limit: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit
+
+
+def with_heads(rows: DataFrame) -> DataFrame:
+    """Of rows (band, key, node, fp, …) those that share band and key with another, with that key's smallest node as head and its head_fp."""
+    heads = rows.groupBy("band", "key").agg(F.min(F.struct("node", "fp")).alias("head"), F.count("*").alias("n")).filter("n > 1")
+    heads = saved(heads.select("band", "key", F.col("head.node").alias("head"), F.col("head.fp").alias("head_fp")), "heads")
+    return saved(rows.join(heads, ["band", "key"]), "met")
+
+
+def still_apart(met: DataFrame, edges: DataFrame, limit: Column, more: list[str]) -> DataFrame:
+    """a, b: pairs that share a key, aren't in one group by edges, and may be linked by what limit says of the sides a and b.
+
+    met: rows of with_heads, with d, their distance to the head, or null.
+    """
+    roots = groups(edges)
+    named = met.join(roots.select("node", F.col("root").alias("label")), "node", "left")
+    named = named.join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_label")), "head", "left")
+    named = named.select("band", "key", "node", "fp", "d", "head", *more, F.coalesce("label", "node").alias("label"), F.coalesce("head_label", "head").alias("head_label"))
+    named = saved(named, "labelled")
+    apart = saved(named.filter("label <> head_label"), "apart")
+    members = named.filter("node <> head").join(apart.select("band", "key").distinct(), ["band", "key"], "left_semi")
+    own_key = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
+    once = (F.col("b.label") == F.col("b.head_label")) | (F.col("a.node") < F.col("b.node"))
+    pairs = apart.filter("node <> head").alias("a").join(members.alias("b"), own_key & (F.col("a.label") != F.col("b.label")) & once & limit)
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def links(fps: DataFrame, count: int, near: int = NEAR) -> DataFrame:
-    """a < b: all pairs of distinct fingerprints fp with near or fewer differing bits."""
+    """a, b: pairs of distinct fingerprints fp with near or fewer differing bits, enough to join all that are linked."""
     whole = 2 if count < 1 << 25 else 3 if count < 1 << 31 else 4
     masks = block_masks(near + whole, whole)
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
-    rows = pivot_table(fps).withColumn("key", F.explode(keys)).select("key.choice", "key.bits", "fp", *[f"d{k}" for k in range(PIVOTS // 8)])
-    a, b = rows.alias("a"), rows.alias("b")
-    cond = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp"))
-    for k in range(PIVOTS // 8):
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+    distances = [f"d{k}" for k in range(PIVOTS // 8)]
+    rows = pivot_table(fps).withColumn("k", F.explode(keys)).select("k.band", "k.key", "fp", F.col("fp").alias("node"), *distances)
+    met = with_heads(rows)
+    first = saved(met.filter((F.col("node") != F.col("head")) & within("fp", "head_fp", near)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "first-links")
+    limit = F.abs(F.col("a.d") - F.col("b.d")) <= near
+    for k in distances:
         for i in range(8):
-            x, y = (F.shiftrightunsigned(F.col(f"{side}.d{k}"), 8 * i).bitwiseAND(F.lit(255)) for side in "ab")
-            cond &= F.abs(x - y) <= near
-    cond &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= near
-    return a.join(b, cond).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+            x, y = (F.shiftrightunsigned(F.col(f"{side}.{k}"), 8 * i).bitwiseAND(F.lit(255)) for side in "ab")
+            limit &= F.abs(x - y) <= near
+    limit &= within("a.fp", "b.fp", near)
+    more = still_apart(met.withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp")))), first, limit, distances)
+    return first.unionByName(more)
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -114,11 +167,12 @@ def groups(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: every greater neighbour of u goes to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Least neighbours are written, so that the join is one of two plain tables, whose frequent keys Spark can split.
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = saved(large, "large-star")
         # Small star: u and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         now = saved(small, "small-star")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
@@ -140,3 +194,100 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """BANDS keys of a set of hashes."""
+    import xxhash
+
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), 1024):  # a very long text is looked at in pieces
+        x = hashes[a : a + 1024, None] * FACTORS[0]
+        x ^= x >> np.uint64(32)
+        x *= FACTORS[1]
+        least = np.minimum(least, x.min(axis=0))
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def signature(text: Column) -> Column:
+    """struct<node long, fp long, keys array<long>>: a number for the set of shingles, its fingerprint, its band keys."""
+
+    @F.arrow_udf("struct<node: long, fp: long, keys: array<long>>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import xxhash
+
+        for (batch,) in slices((b,) for b in batches):
+            nodes, fps, keys = [], [], []
+            for t in batch:
+                own = np.unique(shingle_hashes(t.as_py() or "", SHINGLE))
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
+                fps.append(bits_of(own))
+                keys.append(band_keys(own.astype(np.uint64)))
+            yield pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
+
+    return made(text)
+
+
+def jaccard(a: str, b: str) -> Column:
+    """Similarity of the shingle sets of two texts."""
+
+    @F.arrow_udf("double")
+    def similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in slices(batches):
+            sets: dict[str, np.ndarray] = {}
+            out = []
+            for pair in zip(*columns):
+                x, y = (sets[t] if t in sets else sets.setdefault(t, np.unique(shingle_hashes(t, SHINGLE))) for t in (c.as_py() for c in pair))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
+            yield pa.array(out, pa.float64())
+
+    return similarity(F.col(a), F.col(b))
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, similarity of pairs (a, b); texts: node, text."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = saved(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "compared-texts")
+    sides = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return saved(sides.select("a", "b", jaccard("x", "y").alias("similarity")), "compared")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """a, b: pairs of nodes (node, fp, keys) of that similarity or more, enough to join all that are linked; texts: node, text."""
+    met = with_heads(nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")))
+    pairs = met.filter((F.col("node") != F.col("head")) & within("fp", "head_fp", FAR)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    first = compared(saved(pairs, "pairs-with-heads"), texts)
+    linked = first.filter(F.col("similarity") >= similar).select("a", "b")
+    # Where the head was discarded by its bits, the distance to it is not known.
+    d = F.when(F.col("node") == F.col("head"), 0.0).otherwise(1 - F.col("similarity"))
+    met = met.join(first.withColumnsRenamed({"a": "head", "b": "node"}), ["head", "node"], "left").withColumn("d", d)
+    limit = within("a.fp", "b.fp", FAR) & F.coalesce(F.abs(F.col("a.d") - F.col("b.d")) <= 1 - similar + 1e-9, F.lit(True))
+    pairs = still_apart(met, linked, limit, []).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = compared(saved(pairs, "pairs-apart"), texts)
+    return linked.unionByName(second.filter(F.col("similarity") >= similar).select("a", "b"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """docs with one row of each group of similar texts: the one with the smallest id, an id before none, then by the text's hash."""
+    digest, gone_id, gone_digest = (free_name(docs, n) for n in ("text_digest", "gone_id", "gone_digest"))
+    text = whole_text(text_col)
+    keyed = docs.withColumn(digest, F.xxhash64(text))
+    rows = keyed.select(F.col(id_col).alias("id"), F.col(digest).alias("digest"), signature(text).alias("s"))
+    marked = saved(rows.select("id", "digest", "s.node", "s.fp", "s.keys"), "signatures")
+    row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("digest").alias("digest"))
+    nodes = saved(marked.groupBy("node").agg(F.min(row).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    heads = nodes.select("node", F.col("least.id").alias(gone_id), F.col("least.digest").alias(gone_digest))
+    same_row = keyed[id_col].eqNullSafe(F.col(gone_id)) & (keyed[digest] == F.col(gone_digest))
+    found = similar_links(nodes.select("node", "fp", "keys"), keyed.select(id_col, digest, text.alias("whole_text")).join(heads, same_row).select("node", F.col("whole_text").alias("text")), similar)
+    roots = groups(found)
+    rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    stays = saved(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.digest"), "staying")
+    same = marked["id"].eqNullSafe(stays["id"]) & (marked["digest"] == stays["digest"])
+    gone = saved(marked.join(stays, same, "left_anti").select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct(), "gone")
+    kept = keyed.join(gone, same_row, "left_anti")
+    # Rows of one id and one text are told apart by nothing; where there are any, one of them is taken.
+    again = saved(marked.groupBy("id", "digest").count().filter("count > 1").select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest)), "repeated")
+    if not again.isEmpty():
+        kept = kept.join(again, same_row, "left_anti").unionByName(kept.join(again, same_row, "left_semi").dropDuplicates([id_col, digest]))
+    return kept.select(docs.columns)
