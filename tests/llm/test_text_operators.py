@@ -258,26 +258,79 @@ def test_shards(spark, odd, nothing):
     assert shards.read_shards(nothing, shards.write_shards(nothing, 5)).count() == 0
 
 
+def brute_grams(text):
+    out = defaultdict(int)
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        padded = f" {w} "
+        for g in [*w, *(padded[k : k + m] for m in (2, 3) for k in range(len(padded) - m + 1))]:
+            out[g] += 1
+    return out
+
+
+def ranked(sums):
+    return [g for g, _ in sorted(sums.items(), key=lambda x: (-x[1], x[0].encode()))][: langid.PROFILE]
+
+
+def brute_profiles(rows):
+    sums = defaultdict(lambda: defaultdict(int))
+    for _, text, lang in rows:
+        for g, n in brute_grams(text).items():
+            sums[lang][g] += n
+    return {lang: ranked(s) for lang, s in sums.items()}
+
+
+def brute_language(text, profiles):
+    """Out-of-place distance by its definition."""
+    own = ranked(brute_grams(text or ""))
+    if not own or not profiles:
+        return "und", 0.0
+    far = langid.PROFILE
+    distance = {lang: sum(min(far, abs(p.index(g) - k)) if g in p else far for k, g in enumerate(own)) for lang, p in profiles.items()}
+    best = min(sorted(distance), key=lambda lang: distance[lang])
+    return best, 1 - distance[best] / (far * len(own))
+
+
+def test_language_query_by_brute_force(spark, sf_dir):
+    """The registered query's rows, on the smallest tables."""
+    import __spark_entry__ as entry
+
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    out = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in docs}
+    profiles = brute_profiles([d for d in docs if not out[d[0]] and d[1] is not None and d[2] is not None])
+    got = entry.queries()["op3_language"](spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    text_of_id = {i: t for i, t, _ in docs}
+    for r in got:
+        lang, score = brute_language(text_of_id[r.doc_id], profiles)
+        assert (r.held_out, r.lang_pred) == (out[r.doc_id], lang) and abs(r.score - score) < 1e-12
+
+
+def test_letters_only(spark):
+    """Fractions, powers and Roman numerals are no letters."""
+    rows = [(0, "½ ² Ⅷ 12", "en"), (1, "a½b", "en"), (2, "", "en"), (3, None, "en"), (4, "ß", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.learn_profiles(docs)
+    assert profiles == brute_profiles([r for r in rows if r[1]]) or profiles == {k: v for k, v in brute_profiles([r for r in rows if r[1]]).items() if v}
+    got = {r.doc_id: r.g for r in docs.select("doc_id", langid.predicted(F.col("text"), profiles).alias("g")).collect()}
+    assert [got[i].lang for i in range(5)] == ["und", "en", "und", "und", "de"]
+
+
 def test_language(spark, odd, nothing):
     words = {"en": "the thing that other", "de": "der die nicht schein", "fr": "le que être ç"}
     rng = random.Random(8)
     rows = [(k, " ".join(rng.choice(words[lang].split()) for _ in range(20)), lang, "s", 1) for k in range(90) for lang in [["en", "de", "fr"][k % 3]]]
     docs = spark.createDataFrame([*rows, (500, None, "en", "s", 1), (501, "12 !!", None, "s", 1), (502, "日本語", None, "s", 1)], DOCS)
+    docs_text = {r.doc_id: r.text for r in docs.collect()}
     profiles = langid.learn_from_documents(docs)
     assert sorted(profiles) == ["de", "en", "fr"] and all(len(p) <= langid.PROFILE for p in profiles.values())
     got = {r.doc_id: r for r in docs.select("doc_id", "lang", langid.predicted(F.col("text"), profiles).alias("g"), langid.held_out().alias("h")).collect()}
     assert all(r.g.lang == r.lang and 0 < r.g.score <= 1 for i, r in got.items() if i < 500)
     assert got[500].g.lang == got[501].g.lang == "und" and got[502].g.score == 0
     assert all(r.h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
-    # Profiles are the brute-force counts of the rows that may be learned from.
-    sums = defaultdict(lambda: defaultdict(int))
-    for i, t, lang, *_ in rows:
-        if zlib.crc32(str(i).encode()) % 3 != 1:
-            for w in langid.LETTERS(t.lower()):
-                for g in langid.grams(w):
-                    sums[lang][g] += 1
-    for lang, p in profiles.items():
-        assert p == [g for g, _ in sorted(sums[lang].items(), key=lambda x: (-x[1], x[0].encode()))][: langid.PROFILE]
+    assert profiles == brute_profiles([(i, t, lang) for i, t, lang, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1])
+    for i, r in got.items():
+        lang, score = brute_language(docs_text[i], profiles)
+        assert r.g.lang == lang and abs(r.g.score - score) < 1e-12
     assert langid.learn_from_documents(nothing) == {}
     assert {r.g.lang for r in odd.select(langid.predicted(F.col("text"), {}).alias("g")).collect()} == {"und"}
     assert odd.select(langid.predicted(F.col("text"), profiles).alias("g")).count() == odd.count()
@@ -390,3 +443,38 @@ def test_coded_in_slices(spark, odd, monkeypatch):
     m = pieces.PieceModel(path)
     for r in pieces.encode_documents(many, path).collect():
         assert r.decoded == f"text {r.doc_id}" and r.ids == np.frombuffer(m.encode(r.decoded), np.int32).tolist()
+
+
+def test_sample_is_bounded(spark):
+    """However often an id or a text is repeated."""
+    rows = [(k % 50, f"text {k % 700}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    got = toxicity.sampled(docs, labels, 10).collect()
+    assert len(got) == 20 and len({(r.text, r.toxic) for r in got}) == 20
+    again = toxicity.sampled(docs.repartition(3), labels, 10).collect()
+    assert sorted(got) == sorted(again)
+
+
+def test_scores_by_brute_force(spark):
+    """Votes, features and the score of a model, restated."""
+    import math
+
+    terms, weights = ["schuft", "lump-", "gut", "schu-"], None
+    v = toxicity.Voters(terms, 2)
+    rng = np.random.default_rng(4)
+    texts = ["", "Schuft!!! LUMPEN GESINDEL ***x", "gut gut schuld", "lumpi lumpig schuft Schuft", None]
+    n_votes = len(v.look("")[1])
+    weights = rng.standard_normal(len(terms) + n_votes + 1).tolist()
+    model = toxicity.Model(terms, 2, weights)
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(toxicity.toxicity(F.col("text"), model).alias("s")).collect()]
+    for t, s in zip(texts, got):
+        t = t or ""
+        words = [w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+        has = [any(term == w or (term.endswith("-") and len(w) > len(term) - 1 and w.startswith(term[:-1])) for w in words) for term in terms]
+        strong = sum(has[:2])
+        times = sum(1 for w in words if any(term == w or (term.endswith("-") and len(w) > len(term) - 1 and w.startswith(term[:-1])) for term in terms[:2]))
+        votes = [1 if strong >= k else -1 for k in (1, 2, 3, 5)] + [1 if times >= k else -1 for k in (2, 4)]
+        votes += ["LUMPEN GESINDEL" in t, "!!!" in t, "***x" in t] + [int(h) for h in has[:2]]
+        z = sum(w for w, h in zip(weights, has) if h) + sum(w * x for w, x in zip(weights[4:-1], votes)) + weights[-1]
+        assert len(votes) == n_votes and abs(s - 1 / (1 + math.exp(-z))) < 1e-9

@@ -9,94 +9,103 @@ is 1 - distance / largest possible distance.
 N-grams are counted in each input partition and summed by Spark; only profiles (PROFILE n-grams for each language)
 come to the driver.
 
-Edge cases: a null text and one without letters is `und` with score 0, as is every text if there are no profiles;
-training rows with null text or language are left out; ties in frequency are ordered by the n-gram; repeated rows
-count each time; an empty table gives an empty result; other columns are kept or ignored.
+Edge cases: a null text and one without letters (characters of the letter categories; digits, fractions and the like
+are none) is `und` with score 0, as is every text if there are no profiles; training rows with null text or language
+are left out; ties in frequency are ordered by the n-gram, character by character; repeated rows count each time; an
+empty table gives an empty result; other columns are kept or ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 PROFILE = 400
-#: A partition hands on its sums once it holds so many n-grams.
-HELD_GRAMS = 500_000
-MEMO_WORDS, MEMO_GRAMS = 300_000, 300_000
-LETTERS = re.compile(r"[^\W\d_]+").findall
-
-
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [*word, *(padded[i : i + 2] for i in range(len(padded) - 1)), *(padded[i : i + 3] for i in range(len(padded) - 2))]
-
-
-class GramIds:
-    """Numbers for n-grams and, in a bounded memo, the numbers of each word's n-grams."""
-
-    def __init__(self):
-        self.reset()
-
-    def reset(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.names: list[str] = []
-        self.words: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > MEMO_WORDS:
-                self.words.clear()
-            ids, names = self.ids, self.names
-            for g in (own := grams(word)):
-                if g not in ids:
-                    ids[g] = len(names)
-                    names.append(g)
-            found = self.words[word] = np.array([ids[g] for g in own], dtype=np.int32)
-        return found
-
-    def counts(self, text: str) -> np.ndarray:
-        """How often each n-gram known so far stands in the text."""
-        words = Counter(LETTERS(text.lower()))
-        if not words:
-            return np.empty(0)
-        arrays = [self.word(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(a) for a in arrays])
-        return np.bincount(np.concatenate(arrays), weights=times)
+#: N-grams that a worker holds before it sums them, and different ones before it hands on its sums.
+SUMMED, HELD = 2_000_000, 500_000
+BLANK = 32
+
+
+@cache
+def letters() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def gram_codes(text: str) -> np.ndarray:
+    """All n-grams of the text, sorted: 21 bits for each character, so that the order of numbers is that of n-grams."""
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = letters()[x]
+    if not letter.any():
+        return np.empty(0, np.uint64)
+    # Words with one blank on either side: a blank stands for what follows a word, and one goes in front of all.
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    ends = [BLANK] if letter[-1] else []
+    y = np.concatenate([[BLANK], np.where(letter, x, BLANK)[kept], ends]).astype(np.uint64)
+    first, second = y << np.uint64(42), y << np.uint64(21)
+    three = (first[:-2] | second[1:-1] | y[2:])[y[1:-1] != BLANK]
+    return np.sort(np.concatenate([first[y != BLANK], first[:-1] | second[1:], three]))
+
+
+def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted numbers, and how often each is there."""
+    firsts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    return codes[firsts], np.diff(np.append(firsts, len(codes)))
+
+
+def gram_of(code: int) -> str:
+    return "".join(chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
+
+
+def code_of(gram: str) -> int:
+    return sum(ord(c) << s for c, s in zip(gram, (42, 21, 0)))
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
     """lang, gram, n over all rows of (lang, text)."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = GramIds(), {}
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        parts: dict[str, list[np.ndarray]] = {}
+
+        def summed() -> None:
+            for lang, own in parts.items():
+                codes, n = counted(np.sort(np.concatenate(own)))
+                if lang in sums:
+                    codes, n = (np.concatenate(p) for p in zip(sums[lang], (codes, n)))
+                    order = np.argsort(codes, kind="stable")
+                    codes, n = codes[order], n[order]
+                    firsts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+                    codes, n = codes[firsts], np.add.reduceat(n, firsts)
+                if len(codes):
+                    sums[lang] = codes, n
+            parts.clear()
 
         def taken() -> Iterator[pa.RecordBatch]:
-            for lang, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([known.names[i] for i in at], pa.string()), pa.array(n[at].astype(np.int64))], ["lang", "gram", "n"])
+            for lang, (codes, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array([gram_of(c) for c in codes.tolist()], pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+            sums.clear()
 
+        held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
-                n, lang = known.counts(text.as_py()), lang.as_py()
-                old = sums.get(lang, np.empty(0))
-                if len(n) > len(old):
-                    n[: len(old)] += old
-                    sums[lang] = n
-                else:
-                    old[: len(n)] += n
-                    sums[lang] = old
-                if len(known.names) * max(1, len(sums)) > 4 * HELD_GRAMS:
-                    yield from taken()
-                    known.reset()
-                    sums.clear()
+                own = gram_codes(text.as_py())
+                parts.setdefault(lang.as_py(), []).append(own)
+                held += len(own)
+                if held > SUMMED:
+                    summed()
+                    held = 0
+                    if sum(len(codes) for codes, _ in sums.values()) > HELD:
+                        yield from taken()
+        summed()
         yield from taken()
 
     return rows.select("lang", "text").mapInArrow(partial, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -115,39 +124,26 @@ def learn_profiles(rows: DataFrame, size: int = PROFILE) -> dict[str, list[str]]
 
 class Ranker:
     def __init__(self, profiles: dict[str, list[str]], size: int):
-        self.langs, self.profiles, self.size = sorted(profiles), profiles, size
-        self.start()
-
-    def start(self) -> None:
-        self.known, self.done = GramIds(), 0
-        self.order = np.empty(0, np.uint32)
-        self.places = np.empty((len(self.langs), 0), np.int32)
-        self.ranks = [{g: k for k, g in enumerate(self.profiles[lang])} for lang in self.langs]
-
-    def grow(self) -> None:
-        new = self.known.names[self.done :]
-        if new:
-            self.order = np.append(self.order, np.array([crc32(g.encode()) for g in new], np.uint32))
-            self.places = np.hstack([self.places, np.array([[r.get(g, -1) for g in new] for r in self.ranks], np.int32).reshape(len(self.langs), len(new))])
-            self.done += len(new)
+        self.langs, self.size = sorted(profiles), size
+        self.codes = np.array(sorted({code_of(g) for p in profiles.values() for g in p}), np.uint64)
+        # The place of each of these n-grams in each profile; far beyond all for one that isn't there, as in the last column.
+        self.places = np.full((len(self.langs), len(self.codes) + 1), 3 * size)
+        for row, lang in zip(self.places, self.langs):
+            row[np.searchsorted(self.codes, np.array([code_of(g) for g in profiles[lang]], np.uint64))] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if len(self.known.names) > MEMO_GRAMS:
-            self.start()
-        n = self.known.counts(text or "")
-        if not len(n) or not self.langs:
+        codes, n = counted(gram_codes(text or ""))
+        if not len(codes) or not self.langs:
             return "und", 0.0
-        self.grow()
-        at = np.flatnonzero(n)
-        if len(at) > self.size:
-            least = np.partition(n[at], len(at) - self.size)[len(at) - self.size]
-            at = at[n[at] >= least]
-        at = at[np.lexsort((self.order[at], -n[at]))][: self.size]
-        places = self.places[:, at]
-        off = np.where(places < 0, self.size, np.abs(places - np.arange(len(at))))
-        distance = np.minimum(off, self.size).sum(axis=1)
+        if len(codes) > self.size:
+            least = np.partition(n, len(n) - self.size)[len(n) - self.size]
+            codes, n = codes[n >= least], n[n >= least]
+        codes = codes[np.argsort(-n, kind="stable")][: self.size]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        at[self.codes[at] != codes] = len(self.codes)
+        distance = np.minimum(np.abs(self.places[:, at] - np.arange(len(codes))), self.size).sum(axis=1)
         best = int(np.argmin(distance))
-        return self.langs[best], 1 - float(distance[best]) / (self.size * len(at))
+        return self.langs[best], 1 - float(distance[best]) / (self.size * len(codes))
 
 
 def predicted(text: Column, profiles: dict[str, list[str]], size: int = PROFILE) -> Column:
@@ -156,7 +152,7 @@ def predicted(text: Column, profiles: dict[str, list[str]], size: int = PROFILE)
     @F.arrow_udf("struct<lang: string, score: double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranker = Ranker(profiles, size)
-        for batch in batches:
+        for (batch,) in slices((b,) for b in batches):
             rows = [ranker.predict(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang", "score"])
 

@@ -2,15 +2,15 @@
 
 Terms (words, and word beginnings of four to six letters) whose document frequency differs most between labelled toxic
 and clean rows make the lexicons. Many voters look at a text: one for each strong term, lexicon counts at several
-levels, and patterns of letter case, punctuation, masked letters and address. A generative label model (expectation
+levels, and patterns of letter case, punctuation and masked letters. A generative label model (expectation
 maximisation over the hidden label) estimates each voter's behaviour under either label and the correlations of the
 voters' votes, so that voters that say the same thing twice don't count twice, and gives each sampled row a posterior
 label. The given labels choose the terms and start the estimation, but don't vote, so that a wrong one can be outvoted.
 A logistic classifier over the lexicon terms and votes is trained on the posterior labels, and scores texts.
 
-The model is fitted on a bounded sample of the labelled rows that may be learned from: at most SAMPLE rows of each
-label, those with the smallest hash of their id, exact copies once. Terms are counted by Spark over that sample, and
-at most TERMS of them and the sample's votes come to the driver.
+The model is fitted on a bounded sample of the labelled rows that may be learned from: at most SAMPLE different texts of
+each label, of the ids with the smallest hash. Terms are counted by Spark over that sample, and at most TERMS of them and
+the sample's votes come to the driver.
 
 Edge cases: a null text is an empty one, which has a score too; without labelled rows, or with rows of one label only,
 every score is the share of that label (0 without any); labels other than 0 and 1 are left out; rows labelled twice
@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices, whole_text
+from .memo import Memo
 
 SAMPLE = 10_000
 TERMS = 300
@@ -40,8 +41,6 @@ LETTERS = re.compile(r"[^\W\d_]+").findall
 SHOUTING = re.compile("[A-ZÀ-ÖØ-Þ]{4,}\\s+[A-ZÀ-ÖØ-Þ]{4,}").search
 MARKS = re.compile("[!?]{3,}").search
 MASKED = re.compile("[*#@$%]{2,}\\w").search
-ADDRESS = ("you are ", "you're ", "shut up", "du bist ", "tu es ", "eres ")
-HATE = {"hate", "hass", "haine", "odio"}
 HELD_TERMS = 400_000
 
 
@@ -58,22 +57,28 @@ def learnable(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
 
 
+def least(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """key and toxic of at most size rows of each label, those with the smallest hash of key."""
+    both = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key).limit(size) for k in (0, 1)]
+    return both[0].unionByName(both[1])
+
+
 def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """text, toxic of the labelled rows to learn from; at most size rows of each label."""
-    marks = labels.filter(learnable() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = None
-    for k in (0, 1):
-        own = marks.filter(F.col("toxic") == k).orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id")), "doc_id").limit(size)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    # 2 * size ids and labels at most: the bound of the broadcast.
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int"))
+    """text, toxic of the labelled rows to learn from: at most size different texts of each label."""
+    marks = labels.filter(learnable() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # 2 * size ids or digests, and labels, at most: the bound of either broadcast.
+    rows = docs.select("doc_id", whole_text("text").alias("text")).join(F.broadcast(least(marks, "doc_id", size)), "doc_id")
+    rows = saved(rows.select(F.sha2("text", 256).alias("digest"), "text", "toxic"), "labelled-rows")
+    # Ids may be repeated, and texts be copies: each text counts once for a label, and so many at most.
+    chosen = least(rows.select("digest", "toxic").distinct(), "digest", size)
+    return rows.join(F.broadcast(chosen), ["digest", "toxic"]).dropDuplicates(["digest", "toxic"]).select("text", "toxic")
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
     """term, n0, n1: documents of either label with the term."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen = (Counter(), Counter()), set()
+        sums = (Counter(), Counter())
 
         def taken() -> pa.RecordBatch:
             terms = list(sums[0].keys() | sums[1].keys())
@@ -81,12 +86,9 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1)):
-                text, toxic = text.as_py(), toxic.as_py()
-                if (h := hash((text, toxic))) in seen:
-                    continue
-                seen.add(h)
-                sums[toxic].update(text_terms(text))
-                sums[toxic][""] += 1
+                own = sums[toxic.as_py()]
+                own.update(text_terms(text.as_py()))
+                own[""] += 1
                 if len(sums[0]) + len(sums[1]) > HELD_TERMS:
                     yield taken()
                     sums[0].clear()
@@ -102,25 +104,19 @@ class Voters:
     def __init__(self, terms: list[str], strong: int):
         self.index = {t: i for i, t in enumerate(terms)}
         self.strong = strong  # the first terms speak for toxic texts, the strongest first
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(lambda w: tuple(self.index[t] for t in terms_of(w) if t in self.index))
 
     def look(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the terms found, and the votes."""
-        low = text.lower()
-        words, memo, hits, times = Counter(LETTERS(low)), self.memo, set(), 0
-        if len(memo) > 500_000:
-            memo.clear()
-        for w, k in words.items():
-            own = memo.get(w)
-            if own is None:
-                own = memo[w] = tuple(self.index[t] for t in terms_of(w) if t in self.index)
+        words, hits, times = Counter(LETTERS(text.lower())), set(), 0
+        for k, own in zip(words.values(), self.memo.all(list(words))):
             if own:
                 hits.update(own)
                 times += k * (min(own) < self.strong)
         found = np.array(sorted(hits), dtype=np.int32)
         n = sum(1 for h in hits if h < self.strong)
         levels = [1 if n >= k else -1 for k in (1, 2, 3, 5)] + [1 if times >= k else -1 for k in (2, 4)]
-        patterns = [SHOUTING(text) is not None, MARKS(text) is not None, MASKED(text) is not None, any(a in low for a in ADDRESS), not HATE.isdisjoint(words.keys())]
+        patterns = [SHOUTING(text) is not None, MARKS(text) is not None, MASKED(text) is not None]
         votes = np.zeros(len(levels) + len(patterns) + min(self.strong, VOTING_TERMS), np.int8)
         votes[: len(levels) + len(patterns)] = [*levels, *patterns]
         for h in hits:
@@ -220,10 +216,11 @@ def votes_of(rows: DataFrame, terms: list[str], strong: int) -> tuple[list[np.nd
             seen_ = [v.look(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([x.tobytes() for x in column], pa.binary()) for column in ([f for f, _ in seen_], [v_ for _, v_ in seen_])], ["found", "votes"])
 
-    got = rows.select(seen("text").alias("s"), "toxic").select("s.found", "s.votes", "toxic").orderBy("toxic", "found", "votes").toArrow()
-    found = [np.frombuffer(f, np.int32) for f in got["found"].to_pylist()]
-    votes = np.array([np.frombuffer(v, np.int8) for v in got["votes"].to_pylist()])
-    return found, votes, np.array(got["toxic"].to_pylist(), dtype=np.float64)
+    got = rows.select(seen("text").alias("s"), "toxic").select("s.found", "s.votes", "toxic").toArrow()
+    # In an order of their own, so that sums don't depend on how rows came.
+    got = sorted(zip(got["toxic"].to_pylist(), got["found"].to_pylist(), got["votes"].to_pylist()))
+    found = [np.frombuffer(f, np.int32) for _, f, _ in got]
+    return found, np.array([np.frombuffer(v, np.int8) for _, _, v in got]), np.array([t for t, _, _ in got], dtype=np.float64)
 
 
 def toxicity(text: Column, model: Model) -> Column:
@@ -234,7 +231,7 @@ def toxicity(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v, w, n = Voters(model.terms, model.strong), np.array(model.weights), len(model.terms)
-        for batch in batches:
+        for (batch,) in slices((b,) for b in batches):
             out = []
             for t in batch:
                 found, votes = v.look(t.as_py() or "")
