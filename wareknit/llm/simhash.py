@@ -123,21 +123,24 @@ def with_heads(rows: DataFrame) -> DataFrame:
     return saved(rows.join(heads, ["band", "key"]), "met")
 
 
-def still_apart(met: DataFrame, edges: DataFrame, limit: Column, more: list[str]) -> DataFrame:
-    """a, b: pairs that share a key, aren't in one group by edges, and may be linked by what limit says of the sides a and b.
-
-    met: rows of with_heads, with d, their distance to the head, or null.
-    """
+def with_labels(met: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of with_heads with the group, by edges, of the node (label) and of the head (head_label)."""
     roots = groups(edges)
     named = met.join(roots.select("node", F.col("root").alias("label")), "node", "left")
     named = named.join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_label")), "head", "left")
-    named = named.select("band", "key", "node", "fp", "d", "head", *more, F.coalesce("label", "node").alias("label"), F.coalesce("head_label", "head").alias("head_label"))
-    named = saved(named, "labelled")
+    return saved(named.withColumn("label", F.coalesce("label", "node")).withColumn("head_label", F.coalesce("head_label", "head")), "labelled")
+
+
+def still_apart(named: DataFrame, limit: Column) -> DataFrame:
+    """a, b: pairs that share a key, have different labels, and may be linked by what limit says of the sides a and b.
+
+    named: rows of with_labels, with d, their distance to the head, or null. Pairs with heads are left out.
+    """
     apart = saved(named.filter("label <> head_label"), "apart")
     members = named.filter("node <> head").join(apart.select("band", "key").distinct(), ["band", "key"], "left_semi")
     own_key = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
     once = (F.col("b.label") == F.col("b.head_label")) | (F.col("a.node") < F.col("b.node"))
-    pairs = apart.filter("node <> head").alias("a").join(members.alias("b"), own_key & (F.col("a.label") != F.col("b.label")) & once & limit)
+    pairs = apart.alias("a").join(members.alias("b"), own_key & (F.col("a.label") != F.col("b.label")) & once & limit)
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
@@ -156,8 +159,8 @@ def links(fps: DataFrame, count: int, near: int = NEAR) -> DataFrame:
             x, y = (F.shiftrightunsigned(F.col(f"{side}.{k}"), 8 * i).bitwiseAND(F.lit(255)) for side in "ab")
             limit &= F.abs(x - y) <= near
     limit &= within("a.fp", "b.fp", near)
-    more = still_apart(met.withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp")))), first, limit, distances)
-    return first.unionByName(more)
+    named = with_labels(met.withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp")))), first)
+    return first.unionByName(still_apart(named, limit))
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -256,15 +259,19 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """a, b: pairs of nodes (node, fp, keys) of that similarity or more, enough to join all that are linked; texts: node, text."""
     met = with_heads(nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")))
-    pairs = met.filter((F.col("node") != F.col("head")) & within("fp", "head_fp", FAR)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    first = compared(saved(pairs, "pairs-with-heads"), texts)
+    # One head for each node joins nearly all of a large group; other heads are looked at where the group is still another.
+    near_head = met.filter((F.col("node") != F.col("head")) & within("fp", "head_fp", FAR))
+    one = compared(saved(near_head.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")), "pairs-with-a-head"), texts)
+    linked = one.filter(F.col("similarity") >= similar).select("a", "b")
+    other = with_labels(met, linked).filter((F.col("label") != F.col("head_label")) & within("fp", "head_fp", FAR)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    rest = compared(saved(other.join(one.select("a", "b"), ["a", "b"], "left_anti"), "pairs-with-heads"), texts)
+    first = one.unionByName(rest)
     linked = first.filter(F.col("similarity") >= similar).select("a", "b")
-    # Where the head was discarded by its bits, the distance to it is not known.
+    # Where the head was discarded by its bits, or not asked, the distance to it is not known.
     d = F.when(F.col("node") == F.col("head"), 0.0).otherwise(1 - F.col("similarity"))
-    met = met.join(first.withColumnsRenamed({"a": "head", "b": "node"}), ["head", "node"], "left").withColumn("d", d)
+    known = met.join(first.withColumnsRenamed({"a": "head", "b": "node"}), ["head", "node"], "left").withColumn("d", d).drop("similarity")
     limit = within("a.fp", "b.fp", FAR) & F.coalesce(F.abs(F.col("a.d") - F.col("b.d")) <= 1 - similar + 1e-9, F.lit(True))
-    pairs = still_apart(met, linked, limit, []).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = compared(saved(pairs, "pairs-apart"), texts)
+    second = compared(saved(still_apart(with_labels(known, linked), limit), "pairs-apart"), texts)
     return linked.unionByName(second.filter(F.col("similarity") >= similar).select("a", "b"))
 
 
