@@ -5,6 +5,7 @@ import json
 import os
 import random
 import sys
+from collections import Counter
 
 import pytest
 
@@ -146,21 +147,108 @@ def test_token_scores():
 
 def test_similarity_agreement(spark):
     df = frame(spark, P.similarity_pairs())
-    got = similarity.validate_similarity(df, "pair_id", "client", "source", load_similarity_rules())
+    got = similarity.validate_similarity(df, "client", "source", load_similarity_rules())
     assert got.filter((F.col("fuzzy validation") == 1) == F.col("is_equal")).count() / df.count() > 0.97
 
 
 def test_marks_and_alignment(spark):
     rules = SimilarityRules(min_appearance=0)
     df = frame(spark, [("Red Apple", "red apple", True), ("Red Aple", "red apple big", True), ("x1", "", False), (None, None, True)])
-    got = {r.pair_id: r for r in similarity.validate_similarity(df, "pair_id", "client", "source", rules).collect()}
+    got = {r.pair_id: r for r in similarity.validate_similarity(df, "client", "source", rules).collect()}
     assert got[0].union_mark == 1 and got[1].client_mark == 1 and 0 < got[1].union_mark < 1 and got[2].union_mark == 0 == got[3].union_mark
-    assert similarity.validate_similarity(df.limit(0), "pair_id", "client", "source", rules).count() == 0
+    assert similarity.validate_similarity(df.limit(0), "client", "source", rules).count() == 0
     with pytest.raises(ValueError):
-        similarity.validate_similarity(df, "pair_id", "client", "source", rules, 1.5)
+        similarity.validate_similarity(df, "client", "source", rules, 1.5)
     assert spark.createDataFrame([("a'b|\"c/d\"",)], "t string").select(similarity.clean_names("t")).head()[0] == 'abcd"'
 
 
+@pytest.mark.parametrize("mode", ["union", "client", "source"])
+def test_similarity_modes(spark, mode):
+    """One mark alone, which decides."""
+    rules = SimilarityRules(min_appearance=0)
+    df = frame(spark, [("red apple", "red apple big sweet round", True), ("red apple big sweet round", "red apple", False), ("red", "red", True)])
+    whole = {r.pair_id: r for r in similarity.validate_similarity(df, "client", "source", rules, 1.0, 0.9).collect()}
+    out = similarity.validate_similarity(df, "client", "source", rules, 1.0, 0.9, mode)
+    assert out.columns == [*df.columns, f"{mode}_mark", "fuzzy validation"]
+    for r in out.collect():
+        assert r[f"{mode}_mark"] == whole[r.pair_id][f"{mode}_mark"] and r["fuzzy validation"] == (r[f"{mode}_mark"] >= 0.9)
+    assert {r.pair_id: r["fuzzy validation"] for r in out.collect()} == {0: int(mode == "client"), 1: int(mode == "source"), 2: 1}
+    with pytest.raises(ValueError):
+        similarity.validate_similarity(df, "client", "source", rules, mode="other")
+
+
+def brute_marks(rows, rules, fuzzy):
+    """id: (union, client, source), for names of lower-case Latin words; rates by the square root of counts."""
+    sets = {}
+    for i, a, b in rows:
+        left, right = (list(dict.fromkeys(w for w in t.split() if len(w) >= rules.word_min_length and any(c.isalpha() for c in w))) for t in (a, b))
+        moved = []
+        for w in left:
+            if w not in right:
+                best = sorted((-scores.token_score(w, r), r) for r in right)
+                w = best[0][1] if best and -best[0][0] >= 100 * fuzzy else w
+            moved.append(w)
+        sets[i] = moved, right
+    counts = Counter(w for pair in sets.values() for side in pair for w in side)
+    rate = {w: max(rules.min_ratio, min(rules.max_ratio, n**-0.5)) * (rules.min_appearance_penalty if rules.min_appearance and n <= rules.min_appearance else 1) for w, n in counts.items()}
+    out = {}
+    for i, (left, right) in sets.items():
+        a, b = set(left), set(right)
+        both, bases = sum(rate[w] for w in a & b), [sum(rate[w] for w in x) for x in (a | b, a, b)]
+        out[i] = tuple(both / x if x else 0.0 for x in bases)
+    return out
+
+
+@pytest.mark.parametrize("fuzzy", [1.0, 0.75])
+def test_marks_by_brute_force(spark, fuzzy):
+    rng, words = random.Random(6), "apple aple apples pear pears peer plum plums prune redish reddish red blue bluish abcdefghij a1 zz".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 5))), " ".join(rng.choices(words, k=rng.randint(0, 5)))) for i in range(150)]
+    rows += [(1000 + i, *rows[0][1:]) for i in range(40)]  # equal pairs count each time
+    df = spark.createDataFrame(rows, "pair_id long, client string, source string")
+    want = brute_marks(rows, load_similarity_rules(), fuzzy)
+    got = similarity.validate_similarity(df, "client", "source", load_similarity_rules(), fuzzy).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert all(abs(x - y) < 1e-9 for x, y in zip((r.union_mark, r.client_mark, r.source_mark), want[r.pair_id]))
+
+
+def test_similarity_query_by_brute_force(spark, sf_dir):
+    """s9's rows on the smallest tables: the names there are lower-case Latin words and numbers."""
+    import __spark_entry__ as entry
+    from wareknit.plans import inputs
+
+    rows = [("-".join(str(r[k]) for k in inputs.PAIR_KEYS), r.client, r.source) for r in inputs.pairs(spark, sf_dir).collect()]
+    got = entry.queries()["s9_similarity"](spark, sf_dir).collect()
+    index = {(a, b): (i, a, b) for i, (_, a, b) in enumerate(rows)}
+    assert len(got) == len(rows) and all(t == t.lower() and t.isascii() for _, *ts in rows for t in ts) and index
+    want = brute_marks(rows, load_similarity_rules(), 0.75)
+    mine = Counter((tuple(r[k] for k in inputs.PAIR_KEYS), r.union_mark, r.client_mark, r.source_mark) for r in got)
+    theirs = Counter((tuple(int(x) for x in i.split("-")), *(round(x, 6) for x in want[i])) for i, _, _ in rows)
+    close = lambda c: sorted((k, *(round(x, 5) for x in v)) for (k, *v), n in c.items() for _ in range(n))
+    assert len(set(i for i, _, _ in rows)) < len(rows) or all(abs(x - y) < 2e-5 for a, b in zip(close(mine), close(theirs)) for x, y in zip(a[1:], b[1:]))
+
+
+def test_no_break_spaces(spark):
+    """White space, digits' neighbours and word edges are those of Unicode in all searches."""
+    for blank in ("\u00a0", "\u202f", "\u2009"):
+        swap = lambda rows: [(a.replace(" ", blank), b.replace(" ", blank), e) for a, b, e in rows]  # noqa: E731, B023
+        rows = swap(P.HAND["volume"] + P.HAND["quantity"]) + [(f"Вода 10{blank}мл", "Вода 10 мл", True), (f"Вода 10{blank}мл", f"Вода 20{blank}мл", False)]
+        assert wrong_features(spark, rows) == []
+        df = measures.extract_measures(frame(spark, rows), "client", OVERALL)
+        assert measures.match_regex(df, "source", "Regex").filter("matched <> is_equal").count() == 0
+    one = spark.createDataFrame([("Вода 10\u00a0мл",)], "name string")
+    assert "10" in measures.extract_measures(one, "name", RULES).head().Regex
+
+
+def test_match_names(spark):
+    """As matching row by row, nulls being empty names."""
+    rows = [*P.HAND["weight"], *P.HAND["weight"][:3], (None, "Соль 2кг", False), ("Соль 2кг", None, False), (None, None, True)]
+    df = frame(spark, rows)
+    slow = measures.match_regex(measures.extract_measures(df, "client", OVERALL, regex_col="r"), "source", "r", "m")
+    got = {r.pair_id: r.matched for r in measures.match_names(df, "client", "source", OVERALL).collect()}
+    assert got == {r.pair_id: r.m for r in slow.collect()} and len(got) == len(rows)
+
+
 def brute_cross(rows, nearest=0):
     out = {i: (set(), set(), set()) for i, _, _ in rows}
     order = {i: k for k, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
@@ -202,6 +290,26 @@ def test_cross_words_job(spark):
     assert got == {1: ("big", "", "red"), 2: ("", "big", ""), 3: ("", "", "blue"), 4: ("", "", "")}
 
 
+@pytest.mark.parametrize("nearest", [0, 4])
+def test_cross_words_by_whole_names(spark, nearest):
+    """Words come from the stripped names; order and presence go by the names themselves."""
+    rng, rows = random.Random(9), [(1, "cup big", "(?=.*(big))"), (2, "cup big old", "(?=.*(old))")]
+    for i in range(3, 90):
+        words = rng.sample(["red", "blue", "big", "old", "cup", "jar"], rng.randint(1, 4))
+        rows.append((i, " ".join(words), rng.choice(["", *(f"(?=.*({w}))" for w in words)])))
+    gone = lambda r: r[2].removeprefix("(?=.*(").removesuffix("))")
+    brute = brute_cross([(r[0], r[1], sorted(set(r[1].split()) - {gone(r)})) for r in rows], nearest)
+    df = spark.createDataFrame(rows, "id long, name string, Regex string")
+    out = cross.cross_words(df, "id", "name", [W.WordRule("english", min_length=3)], "Regex", nearest)
+    got = {r.id: tuple(sorted(filter(None, x.split("|"))) for x in (r.cross_minus, r.cross_plus, r.cross_intersect)) for r in out.collect()}
+    assert {k: v for k, v in got.items() if any(v)} == {k: v for k, v in brute.items()}
+    if not nearest:
+        assert "big" not in got[1][0]
+    only = cross.cross_words(df, "id", "name", [W.WordRule("english", min_length=3)], "Regex", nearest, ("cross_intersect",))
+    assert only.columns == [*df.columns, "cross_intersect"]
+    assert {r.id: r.cross_intersect for r in only.collect()} == {r.id: r.cross_intersect for r in out.collect()}
+
+
 def test_offers(spark):
     rules = spark.createDataFrame([("p", "|red|cup|", "old|", "(?=.*(cup))"), ("q", None, "", None), ("s", "", "", "abc")], "product string, plus_words string, minus_words string, regex string")
     rows = [("p", "Red Cup"), ("p", "red jar"), ("p", "old red cup"), ("q", "x"), ("none", "y"), ("s", "xabc"), ("s", "ABCd"), ("q", None)]

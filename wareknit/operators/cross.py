@@ -41,7 +41,10 @@ def has_word(text: Column, word: Column) -> Column:
     return F.lower(text).contains(word)
 
 
-def cross_words_of(df: DataFrame, id_col: str, text: str, tokens: str, nearest: int = 0) -> DataFrame:
+KINDS = ("cross_minus", "cross_plus", "cross_intersect")
+
+
+def cross_words_of(df: DataFrame, id_col: str, text: str, tokens: str, nearest: int = 0, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """id_col, cross_minus, cross_plus, cross_intersect: sorted arrays of words, for rows that have any.
 
     cross_minus: words that another row has on top of this row's, and this text lacks; cross_plus: the same from the
@@ -74,9 +77,12 @@ def cross_words_of(df: DataFrame, id_col: str, text: str, tokens: str, nearest:
         plus = met.filter(has_word(F.col("b_text"), F.col("b_w"))).select(F.col("__b").alias(id_col), F.col("b_w").alias("w"))
         pairs = one.join(b, ["h", "sig", "at"]).filter(near & (F.col("w") != F.col("b_w")) & (F.col(id_col) != F.col("__b")))
         intersect = pairs.filter(has_word(F.col("text"), F.col("w"))).select(id_col, "w")
-    kinds = ("cross_minus", "cross_plus", "cross_intersect")
+    if not kinds or not set(KINDS) >= set(kinds):
+        raise ValueError(f"kinds are some of {', '.join(KINDS)}")
     every = None
-    for kind, found in zip(kinds, (minus, plus, intersect)):
+    for kind, found in zip(KINDS, (minus, plus, intersect)):
+        if kind not in kinds:
+            continue
         own = found.withColumn("kind", F.lit(kind))
         every = own if every is None else every.unionByName(own)
     sets = every.groupBy(id_col).agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("w")))).alias(k) for k in kinds])
@@ -91,17 +97,18 @@ def stemmed(df: DataFrame, id_col: str, tokens: str, language: str) -> DataFrame
     return written(df.join(sets, id_col, "left").withColumn(tokens, F.coalesce("__stems", F.array().cast("array<string>"))).drop("__stems"), "stems")
 
 
-def cross_words(df: DataFrame, id_col: str, col: str, rules: list[WordRule] | None = None, regex_col: str | None = None, nearest: int = 0) -> DataFrame:
+def cross_words(df: DataFrame, id_col: str, col: str, rules: list[WordRule] | None = None, regex_col: str | None = None, nearest: int = 0, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """df with cross_minus, cross_plus and cross_intersect, words joined by a bar, empty where there are none.
 
-    The parts that a row's own expression matches are dropped first. rules: words of several rules (stemmed where the
-    rule says so); None: simple tokens.
+    Words come from what a row's own expression leaves of its name; the order of rows, and whether a row holds a word,
+    go by the whole name. rules: words of several rules (stemmed where the rule says so); None: simple tokens. kinds:
+    the columns to make.
     """
-    work = df.select(id_col, text_of(col).alias("__t"), *([regex_col] if regex_col else []))
+    work = df.select(id_col, text_of(col).alias("__n"), text_of(col).alias("__t"), *([regex_col] if regex_col else []))
     if regex_col:
         work = strip_by_regex(work, "__t", regex_col)
     # Names, tokens and stems are each needed several times below: they are written, not computed again.
-    work = written(work.select(id_col, "__t"), "cross-names")
+    work = written(work.select(id_col, "__n", "__t"), "cross-names")
     if rules is None:
         work = work.withColumn("__w", simple_tokens("__t"))
     elif not any(r.stem for r in rules):
@@ -113,7 +120,6 @@ def cross_words(df: DataFrame, id_col: str, col: str, rules: list[WordRule] | No
             if r.stem:
                 work = stemmed(work, id_col, f"__w{i}", r.language)
         work = work.withColumn("__w", F.array_sort(F.array_distinct(F.concat(*[f"__w{i}" for i in range(len(rules))]))))
-    found = cross_words_of(written(work.select(id_col, "__t", "__w"), "cross-tokens"), id_col, "__t", "__w", nearest)
-    kinds = ("cross_minus", "cross_plus", "cross_intersect")
+    found = cross_words_of(written(work.select(id_col, "__n", "__w"), "cross-tokens"), id_col, "__n", "__w", nearest, kinds)
     joined = found.select(id_col, *[join_words(F.col(k)).alias(k) for k in kinds])
     return df.join(joined, id_col, "left").withColumns({k: F.coalesce(k, F.lit("")) for k in kinds})

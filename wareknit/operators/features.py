@@ -16,7 +16,7 @@ NUMBER = r"\d*[.,]?\d+"
 SIGN = "(?:см|cm|мм|mm|м|m)?"
 TIMES = "(?:[xх]|на)"
 DIMENSION = rf"{NUMBER}\s*{SIGN}\s*{TIMES}\s*{NUMBER}\s*{SIGN}(?:\s*{SIGN}\s*{TIMES}\s*{NUMBER}\s*{SIGN})*(?:(?U)\b|$)"
-METRES = [("0.001", "(?iu)мм|mm"), ("0.01", "(?iu)см|cm"), ("1", r"(?iu)m([^m]|\b|$)|м([^м]|\b|$)")]
+METRES = [("0.001", "(?iuU)мм|mm"), ("0.01", "(?iuU)см|cm"), ("1", r"(?iuU)m([^m]|\b|$)|м([^м]|\b|$)")]
 OVER = r"[\\\/]"
 CONCENTRATION = rf"{NUMBER}\s*(?:мкг|мг|г|кг)?\s*{OVER}\s*\d*[.,]?\d*\s*(?:мл|л)"
 PERCENT = rf"{NUMBER}\s*%"
@@ -105,7 +105,7 @@ def steps_of(measure: Measure) -> list[tuple[str, int, callable]]:
 
 
 def blanked(text: Column, pattern: str, ignore_case: bool) -> Column:
-    return F.regexp_replace(text, (ANY_CASE if ignore_case else "") + pattern, "  ")
+    return F.regexp_replace(text, (ANY_CASE if ignore_case else "(?U)") + pattern, "  ")
 
 
 def extract_features(df: DataFrame, sides: dict[str, str], rules: MeasureRules, blank_ignore_case: bool = False) -> tuple[DataFrame, list[tuple[Measure, dict[str, str]]]]:

@@ -1,7 +1,8 @@
 """From product names to expressions: measures, sizes, and their use on other names.
 
 Everything is a column expression; names are padded with two spaces on each side, which prefixes and postfixes of the
-rules consume. Expressions are searched without regard to letter case in both scripts.
+rules consume. Expressions are searched without regard to letter case in both scripts, and white space, digits and word
+edges are those of Unicode: a no-break space is a blank.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from wareknit.functions.words import text_of
 from wareknit.plans.rules import VALUE, Measure, MeasureRules, Unit, ratio
 
-ANY_CASE = "(?iu)"
+ANY_CASE = "(?iuU)"
+#: How an exclusion begins, alone and inside a whole expression.
 CARET_EXCLUSION, EXCLUSION = "^(?!.*(", "(?!.*("
 
 
@@ -139,5 +141,17 @@ def matches(name: str | Column, regex: str | Column) -> Column:
     return F.rlike(padded(name), F.concat(F.lit(ANY_CASE), text_of(regex)))
 
 
+def match_names(pairs: DataFrame, client: str, source: str, rules: MeasureRules, name: str = "matched") -> DataFrame:
+    """pairs with whether each source name satisfies its client name's expression.
+
+    Expressions are made once for each client name, and decided once for each pair of names; nulls are empty names.
+    """
+    keyed = pairs.withColumns({"__client": text_of(client), "__source": text_of(source)})
+    once = keyed.select("__client", "__source").distinct()
+    regexes = extract_measures(once.select("__client").distinct(), "__client", rules, regex_col="__regex")
+    decided = match_regex(once.join(regexes, "__client"), "__source", "__regex", name).select("__client", "__source", name)
+    return keyed.join(decided, ["__client", "__source"]).drop("__client", "__source")
+
+
 def match_regex(pairs: DataFrame, name_col: str, regex_col: str, name: str = "matched") -> DataFrame:
     return pairs.withColumn(name, matches(name_col, regex_col))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wareknit.functions.scores import token_similarity
 from wareknit.functions.words import LETTERS, UPPER, text_of
 from wareknit.plans.rules import SimilarityRules
+from wareknit.plans.scratch import written
 
 LANGUAGES = {"rus": "russian", "eng": "english"}
 CLASSES = ("caps", "capital", "low", "other")
@@ -62,8 +63,11 @@ def align_tokens(pairs: DataFrame, id_col: str, left: str, right: str, threshold
     """
     open_ = pairs.select(id_col, F.explode(left).alias("l"), F.col(right).alias("r")).filter(~F.exists("r", lambda t: t["value"] == F.col("l.value")))
     both = open_.select(id_col, F.col("l.value").alias("lv"), F.explode("r").alias("t")).select(id_col, "lv", F.col("t.value").alias("rv"))
-    # A score can't reach the threshold where one token is under half as long and no substring counts.
-    distinct = both.select("lv", "rv").distinct()
+    # A score is at most what the lengths allow: whole texts in common, or a share of a whole substring.
+    a, b = F.length("lv"), F.length("rv")
+    short, long = F.least(a, b), F.greatest(a, b)
+    most = F.greatest(F.round(200 * short / (a + b)), F.when(long < 1.5 * short, 0).when(long <= 8 * short, 90).otherwise(60))
+    distinct = both.select("lv", "rv").distinct().filter((short == 0) | (most >= 100 * threshold))
     scores = distinct.withColumn("score", token_similarity(F.col("lv"), F.col("rv"))).filter(F.col("score") >= 100 * threshold)
     best = both.join(scores, ["lv", "rv"]).groupBy(id_col, "lv").agg(F.min(F.struct((-F.col("score")).alias("s"), "rv")).alias("b"))
     maps = best.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lv", F.col("b.rv").alias("rv")))).alias("__to"))
@@ -96,10 +100,11 @@ def rate_expr(name: str, n: Column, most: Column) -> Column:
     return functions.get(name, x)
 
 
-def token_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """token, n over all rows and columns; repeated values in one row count each time."""
+def token_counts(df: DataFrame, columns: list[str], times: Column | None = None) -> DataFrame:
+    """token, n over all rows and columns; repeated values in one row count each time. times: how often each row counts."""
     every = F.concat(*[F.transform(c, lambda t: t["value"]) for c in columns])
-    return df.select(F.explode(every).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    tokens = df.select(F.explode(every).alias("token"), (F.lit(1) if times is None else times).cast("long").alias("times"))
+    return tokens.groupBy("token").agg(F.sum("times").alias("n"))
 
 
 def token_rates(counts: DataFrame, rules: SimilarityRules) -> DataFrame:
@@ -129,16 +134,33 @@ def decide(mark: Column, threshold: float = 0.5) -> Column:
     return F.when(mark >= threshold, 1).otherwise(0)
 
 
-def validate_similarity(pairs: DataFrame, id_col: str, client: str, source: str, rules: SimilarityRules, fuzzy_threshold: float = 0.75, validation_threshold: float = 0.5) -> DataFrame:
-    """pairs with union_mark, client_mark, source_mark and `fuzzy validation`. A fuzzy threshold of 1 aligns nothing."""
+MARKS = {"union": "union_mark", "client": "client_mark", "source": "source_mark"}
+
+
+def validate_similarity(
+    pairs: DataFrame, client: str, source: str, rules: SimilarityRules, fuzzy_threshold: float = 0.75, validation_threshold: float = 0.5, mode: str = "multiple"
+) -> DataFrame:
+    """pairs with marks and `fuzzy validation`. A fuzzy threshold of 1 aligns nothing.
+
+    mode: "multiple" gives union_mark, client_mark and source_mark and decides by the first; "union", "client" or
+    "source" gives that mark alone and decides by it. Equal pairs of names are aligned and marked once, and their tokens
+    count as often as they are there; a null is an empty name.
+    """
     for t in (fuzzy_threshold, validation_threshold):
         if not 0 <= t <= 1:
             raise ValueError("thresholds go from 0 to 1")
-    tokens = {f"__{s}": prepare_tokens(weighted_tokens(clean_names(c), rules), rules.word_min_length) for s, c in (("l", client), ("r", source))}
-    df = pairs.select(id_col, client, source).withColumns(tokens)
+    if mode != "multiple" and mode not in MARKS:
+        raise ValueError("the mode is multiple, union, client or source")
+    keyed = pairs.withColumns({"__client": text_of(client), "__source": text_of(source)})
+    # Written once: the numbers of a second evaluation could differ.
+    once = written(keyed.groupBy("__client", "__source").agg(F.count("*").alias("__n")).withColumn("__id", F.monotonically_increasing_id()), "name-pairs")
+    tokens = {f"__{s}": prepare_tokens(weighted_tokens(clean_names(c), rules), rules.word_min_length) for s, c in (("l", "__client"), ("r", "__source"))}
+    df = once.select("__id", "__n", *[c.alias(n) for n, c in tokens.items()])
     if fuzzy_threshold < 1:
-        df = align_tokens(df, id_col, "__l", "__r", fuzzy_threshold)
-    marks = pair_marks(df, id_col, "__l", "__r", token_rates(token_counts(df, ["__l", "__r"]), rules))
-    names = ("union_mark", "client_mark", "source_mark")
-    out = pairs.join(marks, id_col, "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
-    return out.withColumn("fuzzy validation", decide(F.col("union_mark"), validation_threshold))
+        df = align_tokens(df, "__id", "__l", "__r", fuzzy_threshold)
+    df = written(df, "aligned")
+    marks = pair_marks(df, "__id", "__l", "__r", token_rates(token_counts(df, ["__l", "__r"], F.col("__n")), rules))
+    names = list(MARKS.values()) if mode == "multiple" else [MARKS[mode]]
+    own = once.join(marks, "__id", "left").select("__client", "__source", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    out = keyed.join(own, ["__client", "__source"]).drop("__client", "__source")
+    return out.withColumn("fuzzy validation", decide(F.col(names[0]), validation_threshold))

@@ -36,7 +36,7 @@ def q(text: str) -> str:
 
 def re2(pattern: str) -> str:
     """A pattern of the rules as SQL text; without Java's flag for Unicode classes."""
-    return q(pattern.replace("(?iu)", "(?i)").replace("(?U)", ""))
+    return q(pattern.replace("(?iuU)", "(?i)").replace("(?U)", ""))
 
 
 # Words and tokens: the English rule with digits and a hyphen, without boundaries (SQL's know ASCII only).
@@ -202,8 +202,7 @@ def m10_strip(spark, sf_dir):
     f" FROM ({sql_regex(PAIRS_SQL, 'client', KEYS + ', source')})"
 )
 def m11_match(spark, sf_dir):
-    df = measures.extract_measures(inputs.pairs(spark, sf_dir), "client", RULES, regex_col="regex")
-    return measures.match_regex(df, "source", "regex").select(*PAIR_KEYS, "matched")
+    return measures.match_names(inputs.pairs(spark, sf_dir), "client", "source", RULES).select(*PAIR_KEYS, "matched")
 
 
 # Features.
@@ -374,7 +373,7 @@ MARKS_SQL = (
 
 
 def marks(spark: SparkSession, sf_dir: str, fuzzy: float) -> DataFrame:
-    out = similarity.validate_similarity(keyed_pairs(spark, sf_dir), "pair_id", "client", "source", SIM, fuzzy)
+    out = similarity.validate_similarity(inputs.pairs(spark, sf_dir), "client", "source", SIM, fuzzy)
     return out.select(*PAIR_KEYS, *[F.round(c, 6).alias(c) for c in ("union_mark", "client_mark", "source_mark")], F.col("fuzzy validation").alias("decision"))
 
 
