@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph, searched greedily.
 
-Equal vectors are one node. The graph starts from neighbours inside runs of nodes ordered along a few random
-directions, and is improved by NN-descent: each node meets its neighbours and the nodes that have it as a neighbour,
+Equal vectors are one node. The graph starts from neighbours inside runs of nodes ordered along several random
+directions, and is improved by NN-descent, until less than a tenth of its entries is new: each node meets its neighbours and the nodes that have it as a neighbour,
 their vectors are joined in, all pairs of them with a newcomer are scored, and each keeps the best found so far. For
 the graph, vectors get one more component that makes their lengths equal, so that largest inner product and nearest
 agree; it is kept, and pairs are scored, as differences, so that a very long vector takes no digits from the others.
@@ -30,13 +30,16 @@ from .common import saved
 
 DEGREE = 24
 BEAM = 256
+#: NN-descent ends after so many rounds, settled or not: what it finds is measured as recall, not promised.
 ROUNDS = 8
-DIRECTIONS = 3
-RUN = 400
+DIRECTIONS = 10
+RUN = 1000
+#: Best others that one run hands to each of its nodes.
+HANDED_BY_RUN = 12
 #: Best candidates that one meeting hands to each of its nodes.
 HANDED = 8
 #: NN-descent stops when fewer than this share of list entries is new.
-SETTLED = 0.01
+SETTLED = 0.1
 RESCORED = 48
 
 
@@ -87,7 +90,7 @@ def first_graph(nodes: DataFrame, dim: int, count: int, degree: int) -> DataFram
         direction = np.random.default_rng(k).standard_normal(dim + 1).astype(np.float32)
 
         ordered = nodes.withColumn("at", along(F.col("v"), direction)).repartitionByRange(parts, "at").sortWithinPartitions("at", "node")
-        own = ordered.select("node", "v").mapInArrow(runs_best(degree), "node long, other long, sim float")
+        own = ordered.select("node", "v").mapInArrow(runs_best(min(degree, HANDED_BY_RUN)), "node long, other long, sim float")
         found = own if found is None else found.unionByName(own)
     return found
 
@@ -211,12 +214,15 @@ def scored(dim: int):
     return score
 
 
-def search(lists: DataFrame, queries: DataFrame, dim: int, beam: int = BEAM, rounds: int = 40) -> DataFrame:
-    """query, node, sim: the beam best nodes found for each query (query long, v binary), which is a node itself."""
+def search(lists: DataFrame, queries: DataFrame, dim: int, beam: int = BEAM) -> DataFrame:
+    """query, node, sim: the beam best nodes found for each query (query long, v binary), which is a node itself.
+
+    Ends when all of each query's best nodes are expanded; each round expands some that never were, so that it ends.
+    """
     beams = queries.select("query", F.col("query").alias("node"), F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("expanded"))
     beams = saved(beams, "beam")
     rank = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    for _ in range(rounds):
+    while True:
         open_ = beams.filter("not expanded").select("query", "node")
         worst = beams.groupBy("query").agg(F.when(F.count("*") >= beam, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
         asked = open_.join(queries.join(worst, "query"), "query")
