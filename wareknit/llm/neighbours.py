@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph, searched greedily.
 
 Equal vectors are one node. The graph starts from neighbours inside runs of nodes ordered along several random
-directions, and is improved by NN-descent, until less than a tenth of its entries is new: each node meets its neighbours and the nodes that have it as a neighbour,
-their vectors are joined in, all pairs of them with a newcomer are scored, and each keeps the best found so far. For
+directions, and is improved by NN-descent, until fewer than one in a hundred of its entries are new: each node meets
+its neighbours and the nodes that have it as a neighbour, their vectors are joined in, all pairs of them with a newcomer are scored, and each keeps the best found so far. For
 the graph, vectors get one more component that makes their lengths equal, so that largest inner product and nearest
 agree; it is kept, and pairs are scored, as differences, so that a very long vector takes no digits from the others.
 Lists are bounded by DEGREE in both directions; a hub's reverse list keeps those with the smallest hash.
@@ -32,14 +32,12 @@ DEGREE = 24
 BEAM = 256
 #: NN-descent ends after so many rounds, settled or not: what it finds is measured as recall, not promised.
 ROUNDS = 8
-DIRECTIONS = 10
-RUN = 1000
-#: Best others that one run hands to each of its nodes.
-HANDED_BY_RUN = 12
+DIRECTIONS = 3
+RUN = 400
 #: Best candidates that one meeting hands to each of its nodes.
 HANDED = 8
 #: NN-descent stops when fewer than this share of list entries is new.
-SETTLED = 0.1
+SETTLED = 0.01
 RESCORED = 48
 
 
@@ -90,7 +88,7 @@ def first_graph(nodes: DataFrame, dim: int, count: int, degree: int) -> DataFram
         direction = np.random.default_rng(k).standard_normal(dim + 1).astype(np.float32)
 
         ordered = nodes.withColumn("at", along(F.col("v"), direction)).repartitionByRange(parts, "at").sortWithinPartitions("at", "node")
-        own = ordered.select("node", "v").mapInArrow(runs_best(min(degree, HANDED_BY_RUN)), "node long, other long, sim float")
+        own = ordered.select("node", "v").mapInArrow(runs_best(degree), "node long, other long, sim float")
         found = own if found is None else found.unionByName(own)
     return found
 
