@@ -308,6 +308,14 @@ def brute_language(text, profiles):
     return best, 1 - distance[best] / (far * len(own))
 
 
+def test_shards_keep_other_columns(spark):
+    """Names of internals stay as they are; names of results, in any case, are the results'."""
+    docs = spark.createDataFrame([(i, f"t{i}", "b", "f", "s", "n") for i in range(50)], "doc_id long, text string, bucket string, first_slot string, SLOT string, n string")
+    rows = shards.read_shards(docs, shards.write_shards(docs, 3)).collect()
+    assert len(rows) == 50 and {(r.bucket, r.first_slot, r.n) for r in rows} == {("b", "f", "n")}
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((s, k) for s in range(3) for k in range(sum(x.shard == s for x in rows)))
+
+
 def test_language_query_by_brute_force(spark, sf_dir):
     """The registered query's rows, on the smallest tables."""
     import __spark_entry__ as entry

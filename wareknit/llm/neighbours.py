@@ -2,8 +2,8 @@
 
 Equal vectors are one node. The graph starts from neighbours inside runs of nodes ordered along several random
 directions, and is improved by NN-descent, until fewer than one in a hundred of its entries are new: each node meets
-its neighbours and the nodes that have it as a neighbour, their vectors are joined in, all pairs of them with a newcomer are scored, and each keeps the best found so far. For
-the graph, vectors get one more component that makes their lengths equal, so that largest inner product and nearest
+its neighbours and the nodes that have it as a neighbour, their vectors are joined in, all pairs of them with a newcomer
+are scored, and each keeps the best found so far. For the graph, vectors get one more component that makes their lengths equal, so that largest inner product and nearest
 agree; it is kept, and pairs are scored, as differences, so that a very long vector takes no digits from the others.
 Lists are bounded by DEGREE in both directions; a hub's reverse list keeps those with the smallest hash.
 

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, whole_text
+from .common import free_name, scratch, whole_text
 
 ROWS_PER_BUCKET = 4_000
+#: Result columns: an input column of one of these names, in whatever case, is left out.
+RESULTS = ("shard", "slot", "grown_shard")
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -49,23 +51,24 @@ def shard_of(key: Column, shards: int) -> Column:
 def write_shards(docs: DataFrame, shards: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """docs with shard, slot and grown_shard, under path/shard=k. Returns the path."""
     path = path or scratch(docs.sparkSession, "shards")
-    docs = docs.drop(*[c for c in ("shard", "slot", "grown_shard", "bucket") if c in docs.columns])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS])
+    own_bucket, first_slot = free_name(docs, "bucket"), free_name(docs, "first_slot")
     buckets = max(1, -(-docs.count() // (shards * ROWS_PER_BUCKET)))
     key = F.col(id_col)
     bucket = F.pmod(F.xxhash64(F.lit("bucket"), key.cast("string")), F.lit(buckets)).cast("int")
-    placed = lambda df: df.withColumns({"shard": shard_of(key, shards), "bucket": bucket})
-    sizes = placed(docs.select(id_col)).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
-    inside = Window.partitionBy("shard", "bucket").orderBy(key, F.crc32(whole_text(text_col)), F.octet_length(whole_text(text_col)))
+    placed = lambda df: df.withColumns({"shard": shard_of(key, shards), own_bucket: bucket})
+    sizes = placed(docs.select(id_col)).groupBy("shard", own_bucket).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy(own_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("shard", own_bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first_slot))
+    inside = Window.partitionBy("shard", own_bucket).orderBy(key, F.crc32(whole_text(text_col)), F.octet_length(whole_text(text_col)))
     rows = placed(docs).withColumn("grown_shard", shard_of(key, shards + 1)).withColumn("slot", F.row_number().over(inside))
-    rows = rows.join(firsts, ["shard", "bucket"]).withColumn("slot", F.col("slot") - 1 + F.col("first_slot"))
-    rows.drop("bucket", "first_slot").write.partitionBy("shard").parquet(path)
+    rows = rows.join(firsts, ["shard", own_bucket]).withColumn("slot", F.col("slot") - 1 + F.col(first_slot))
+    rows.drop(own_bucket, first_slot).write.partitionBy("shard").parquet(path)
     return path
 
 
 def read_shards(docs: DataFrame, path: str) -> DataFrame:
     """The rows of all shards, with their shard as an int."""
-    kept = [f for f in docs.schema.fields if f.name not in ("shard", "slot", "grown_shard", "bucket")]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in RESULTS]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["grown_shard int", "slot long", "shard int"])
     return docs.sparkSession.read.schema(schema).parquet(path)
