@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe
-from .common import scratch, whole_text
+from .common import saved, scratch, whole_text
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: A partition remembers so many digests when it drops its own copies; those beyond are dropped after the shuffle.
@@ -97,4 +97,6 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, collapse_
     misses.select("digest", version.alias("version"), token_count(F.col("content"), path).alias("n_tokens")).write.mode("append").parquet(cache)
     # A run that another one overtook may have appended a digest twice, with the same count.
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join is one of plain tables, in which Spark can split a frequent digest.
+    counts = saved(counts, "digest-counts")
     return rows.select(id_col, "n_bytes", "digest").join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
