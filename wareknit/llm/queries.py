@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import CONTROL, END, JOIN, START
 from .common import default_tokenizer, table, whole_text
 
 
@@ -119,4 +120,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_neighbours, op3_language, op4_token_counts, op5_simhash, op6_pieces, op7_id_file, op8_decontamination, op9_shards, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+
+# The template's lengths follow from its control strings; an escape adds one character.
+CHAT_SQL = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)({CONTROL})', '\1\\\2\3', 'g')) AS text_chars,
+  length(regexp_replace(replace(replace(role, '\', '\s'), chr(10), '\n'), '([<\[])(\\*)({CONTROL})', '\1\\\2\3', 'g')) AS role_chars,
+  coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) <> role, true) AS starts FROM t)
+ SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(text_chars + CASE WHEN starts THEN {len(START)} + role_chars + 1 + {len(END)} + 1 ELSE {len(JOIN)} END) AS BIGINT) AS formatted_chars
+ FROM e GROUP BY conv_id"""
+
+
+def words_sql(table_name: str, key: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"(SELECT {key}, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table_name})"
+
+
+DECONTAMINATION_SQL = f"""WITH d AS {words_sql('documents', 'doc_id')},
+ b AS (SELECT item_id, w, least(len(w), 13) AS k FROM {words_sql('benchmark', 'item_id')} WHERE len(w) > 0),
+ bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+ dw AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k)),
+ h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, win)),
+ p AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+ f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN f USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL}
