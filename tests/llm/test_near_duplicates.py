@@ -99,6 +99,28 @@ def test_members_far_from_the_head(spark, monkeypatch):
     assert len(components(set(node_of.values()), got)) == 1
 
 
+def test_versions_changed_too_much_make_few_pairs(spark, monkeypatch):
+    """Hundreds of versions of one text, most of them no near duplicates of any other, share keys but hardly meet."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(w if rng.random() > rng.choice([0.01, 0.05, 0.08]) else f"y{rng.randrange(10**6)}" for w in base)) for i in range(1, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, own = [], simhash.compared
+    monkeypatch.setattr(simhash, "compared", lambda pairs, texts: seen.append(pairs.count()) or own(pairs, texts))
+    assert {r.doc_id for r in simhash.one_of_each_group(docs).collect()} == roots(range(500), brute_pairs(rows))
+    assert seen[2] < 2_000 and sum(seen) < 500 * simhash.BANDS
+
+
+def test_rare_shingles_lose_no_pair(spark, copies):
+    """Where all texts are apart and share one key, every pair of brute force meets, and few others."""
+    marked, node_of = classes_of(spark.createDataFrame(copies, "doc_id long, text string"))
+    nodes = marked.dropDuplicates(["node"]).select("node", "fp", F.lit(0).alias("band"), F.lit(0).alias("key"), F.col("node").alias("label"), F.lit(-1).cast("long").alias("head_label"))
+    none = spark.createDataFrame([], "a long, b long, similarity double")
+    got = {(r.a, r.b) for r in simhash.similar_apart(nodes, none, marked.select("node", "text"), 0.8).collect()}
+    want = {tuple(sorted((node_of[a], node_of[b]))) for a, b in brute_pairs(copies) if node_of[a] != node_of[b]}
+    assert want <= got and len(got) < 4 * len(want)
+
+
 def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{k}" for k in range(200)]

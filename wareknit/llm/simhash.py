@@ -18,7 +18,9 @@ discarded, and survivors are verified on the whole shingle sets.
 Both look at a key's members twice, so that a group of many copies doesn't make all its pairs. First each is held
 against the key's head (its smallest member). Then those that didn't get into the head's group are held against all
 members that aren't in their own group: all pairs whose link could still join two groups. The head is a pivot there: its
-distance to each member is known, and pairs whose distances to it differ by more than the limit are discarded.
+distance to each member is known, and pairs whose distances to it differ by more than the limit are discarded. Texts
+meet on shingles the second time, each on its rarest ones only, as many as two texts of similarity 0.8 need to share
+one. So versions of one text that were changed too much to be near duplicates don't meet each other.
 
 Groups: labels go along links by alternating large-star and small-star steps, each step written to the shared folder,
 until nothing changes.
@@ -134,7 +136,7 @@ def with_labels(met: DataFrame, edges: DataFrame) -> DataFrame:
 def still_apart(named: DataFrame, limit: Column) -> DataFrame:
     """a, b: pairs that share a key, have different labels, and may be linked by what limit says of the sides a and b.
 
-    named: rows of with_labels, with d, their distance to the head, or null. Pairs with heads are left out.
+    named: rows of with_labels, with d, their distance to the head. Pairs with heads are left out.
     """
     apart = saved(named.filter("label <> head_label"), "apart")
     members = named.filter("node <> head").join(apart.select("band", "key").distinct(), ["band", "key"], "left_semi")
@@ -256,6 +258,55 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return saved(sides.select("a", "b", jaccard("x", "y").alias("similarity")), "compared")
 
 
+def shingle_set(text: Column) -> Column:
+    """The hashes of the set of shingles, as longs."""
+
+    @F.arrow_udf("array<long>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for (batch,) in slices((b,) for b in batches):
+            sets = [np.unique(shingle_hashes(t.as_py() or "", SHINGLE)).astype(np.uint64).view(np.int64) for t in batch]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+
+    return made(text)
+
+
+def rare_shingles(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """node, n, shingle, place: of each text's n shingles, in the order of how few of the texts have them, those among
+    which two texts of that similarity share one. Shingles of one text alone are counted in the places, but left out."""
+    own = saved(texts.select("node", shingle_set(F.col("text")).alias("set")), "shingle-sets").select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    often = saved(own.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared-shingles")
+    shared = own.join(often, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("l"))
+    lone = F.col("n") - F.size("l")
+    length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1 - lone).cast("int")
+    first = shared.select("node", "n", lone.alias("lone"), F.posexplode(F.slice("l", F.lit(1), length)).alias("k", "s"))
+    return saved(first.select("node", "n", "s.shingle", (F.col("lone") + F.col("k") + 1).alias("place")), "rare-shingles")
+
+
+def similar_apart(named: DataFrame, first: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """a, b: pairs of nodes with different labels that may have that similarity, one of them apart from a head of its keys.
+
+    named: rows of with_labels; first: a, b, similarity of pairs with heads. All nodes in a key with one that is apart
+    take part. They meet on their rare shingles: of two sets of similarity t, the first shingle that both have, rare ones
+    first, leaves at least t / (1 + t) of the sum of their sizes in either, itself included, so that no pair is lost.
+    """
+    rows = saved(named.select("node", "fp", "label", "band", "key", (F.col("label") != F.col("head_label")).alias("apart")), "apart")
+    taking = rows.join(rows.filter("apart").select("band", "key").distinct(), ["band", "key"], "left_semi").select("node").distinct()
+    facts = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("label").alias("label"), F.max("apart").alias("apart"))
+    # One head that the node was held against is its pivot.
+    pivot = first.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("head"), "similarity")).alias("pivot"))
+    facts = saved(facts.join(taking, "node", "left_semi").join(pivot, "node", "left").select("node", "fp", "label", "apart", "pivot.head", (1 - F.col("pivot.similarity")).alias("d")), "taking-part")
+    rare = rare_shingles(texts.join(facts, "node", "left_semi").dropDuplicates(["node"]), similar)
+    rare = saved(rare.join(facts, "node"), "meeting")
+    least = F.ceil((F.col("a.n") + F.col("b.n")) * (similar / (1 + similar)) - 1e-9)
+    enough = (F.col("a.n") - F.col("a.place") + 1 >= least) & (F.col("b.n") - F.col("b.place") + 1 >= least)
+    once = ~F.col("b.apart") | (F.col("a.node") < F.col("b.node"))
+    pivots_agree = F.coalesce((F.col("a.head") != F.col("b.head")) | (F.abs(F.col("a.d") - F.col("b.d")) <= 1 - similar + 1e-9), F.lit(True))
+    limit = enough & once & (F.col("a.label") != F.col("b.label")) & within("a.fp", "b.fp", FAR) & pivots_agree
+    pairs = rare.filter("apart").alias("a").join(rare.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & limit)
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """a, b: pairs of nodes (node, fp, keys) of that similarity or more, enough to join all that are linked; texts: node, text."""
     met = with_heads(nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")))
@@ -267,11 +318,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR)
     rest = compared(saved(other.join(one.select("a", "b"), ["a", "b"], "left_anti"), "pairs-with-heads"), texts)
     first = one.unionByName(rest)
     linked = first.filter(F.col("similarity") >= similar).select("a", "b")
-    # Where the head was discarded by its bits, or not asked, the distance to it is not known.
-    d = F.when(F.col("node") == F.col("head"), 0.0).otherwise(1 - F.col("similarity"))
-    known = met.join(first.withColumnsRenamed({"a": "head", "b": "node"}), ["head", "node"], "left").withColumn("d", d).drop("similarity")
-    limit = within("a.fp", "b.fp", FAR) & F.coalesce(F.abs(F.col("a.d") - F.col("b.d")) <= 1 - similar + 1e-9, F.lit(True))
-    second = compared(saved(still_apart(with_labels(known, linked), limit), "pairs-apart"), texts)
+    second = compared(saved(similar_apart(with_labels(met, linked), first, texts, similar), "pairs-apart"), texts)
     return linked.unionByName(second.filter(F.col("similarity") >= similar).select("a", "b"))
 
 
