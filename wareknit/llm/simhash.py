@@ -50,6 +50,8 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Sets of similarity 0.8 differ in 10 bits on average, with a deviation of 3.
 FAR = 22
 BANDS, BAND_ROWS = 25, 5
+#: Rare shingles that a text carries to its meetings; only what is discarded there depends on it.
+START = 64
 #: Odd factors of the minimum hashes.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -272,15 +274,18 @@ def shingle_set(text: Column) -> Column:
 
 
 def rare_shingles(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """node, n, shingle, place: of each text's n shingles, in the order of how few of the texts have them, those among
-    which two texts of that similarity share one. Shingles of one text alone are counted in the places, but left out."""
+    """node, n, shingle, place, start, after: of each text's n shingles, in the order of how few of the texts have them, those
+    among which two texts of that similarity share one, with up to START of them as an array (after: how many places come later). Shingles of
+    one text alone are counted in the places, but left out."""
     own = saved(texts.select("node", shingle_set(F.col("text")).alias("set")), "shingle-sets").select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
     often = saved(own.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared-shingles")
     shared = own.join(often, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("l"))
     lone = F.col("n") - F.size("l")
     length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1 - lone).cast("int")
-    first = shared.select("node", "n", lone.alias("lone"), F.posexplode(F.slice("l", F.lit(1), length)).alias("k", "s"))
-    return saved(first.select("node", "n", "s.shingle", (F.col("lone") + F.col("k") + 1).alias("place")), "rare-shingles")
+    kept = shared.select("node", "n", lone.alias("lone"), F.slice("l", F.lit(1), length).alias("l"))
+    start = F.transform(F.slice("l", 1, START), lambda s: s["shingle"])
+    first = kept.select("node", "n", "lone", start.alias("start"), F.posexplode("l").alias("k", "s"))
+    return saved(first.select("node", "n", "s.shingle", (F.col("lone") + F.col("k") + 1).alias("place"), "start", (F.col("n") - F.col("lone") - F.size("start")).alias("after")), "rare-shingles")
 
 
 def similar_apart(named: DataFrame, first: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -302,7 +307,11 @@ def similar_apart(named: DataFrame, first: DataFrame, texts: DataFrame, similar:
     enough = (F.col("a.n") - F.col("a.place") + 1 >= least) & (F.col("b.n") - F.col("b.place") + 1 >= least)
     once = ~F.col("b.apart") | (F.col("a.node") < F.col("b.node"))
     pivots_agree = F.coalesce((F.col("a.head") != F.col("b.head")) | (F.abs(F.col("a.d") - F.col("b.d")) <= 1 - similar + 1e-9), F.lit(True))
-    limit = enough & once & (F.col("a.label") != F.col("b.label")) & within("a.fp", "b.fp", FAR) & pivots_agree
+    # What both starts hold, and all that comes after the start that ends first, is the most that two sets can share.
+    both = F.array_intersect("a.start", "b.start")
+    at_first = (F.size(both) == 0) | (F.get(both, F.lit(0)) == F.col("a.shingle"))
+    starts_agree = F.size(both) + F.greatest("a.after", "b.after") >= least
+    limit = enough & once & (F.col("a.label") != F.col("b.label")) & within("a.fp", "b.fp", FAR) & pivots_agree & starts_agree & at_first
     pairs = rare.filter("apart").alias("a").join(rare.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & limit)
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
