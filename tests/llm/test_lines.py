@@ -1,0 +1,63 @@
+"""Line dedup against plain Python, on random, odd and empty tables."""
+
+import random
+import re
+from collections import defaultdict
+
+import pytest
+
+from wareknit.llm.lines import drop_frequent_lines
+
+DOCS = "doc_id long, text string, id string, lines string"
+
+
+def key(line):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+
+
+def brute(rows, least):
+    where = defaultdict(set)
+    for i, text, *_ in rows:
+        for line in (text or "").split("\n"):
+            if key(line):
+                where[key(line)].add(i)
+    out = []
+    for i, text, *_ in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(where[key(x)]) < least]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+def rows():
+    rng = random.Random(4)
+    parts = ["Share us", " share US\t", "SHARE us\r", "\x0b", "", " ", "É", "é", "x ", "x", " x", "İ", "Straße", "one\x0cline"]
+    made = [(i, "\n".join(rng.choice(parts) if rng.random() < 0.5 else f"line {rng.randint(0, 60)}" for _ in range(rng.randint(1, 12))), "clash", None) for i in range(120)]
+    made += [(500, "Share us\nown words\n", "a", "b")] * 4 + [(None, "null id\nshare us", None, None), (None, "null id too", None, None), (600, None, None, None), (601, "", None, None), (602, "\n\n", None, None)]
+    return [*made, (603, "\n".join(f"line {i % 70}" if i % 3 else f"only here {i}" for i in range(60_000)), None, None)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_lines_by_brute_force(spark, partitions):
+    made = rows()
+    df = spark.createDataFrame(made, DOCS).repartition(partitions)
+    got = drop_frequent_lines(df, "cut")
+    assert got.columns == [*df.columns, "cut"]
+    found = sorted([(r.doc_id, r.cut.n_lines, r.cut.n_dropped, r.cut.kept) for r in got.collect()], key=repr)
+    assert found == brute(made, 10) and any(n for _, _, n, _ in found)
+
+
+def test_one_line_in_all_rows(spark):
+    made = [(i, f"Everywhere\nnumber {i}", None, None) for i in range(3_000)]
+    found = drop_frequent_lines(spark.createDataFrame(made, DOCS), "cut", least=10).select("doc_id", "cut.*").collect()
+    assert sorted(map(tuple, found)) == [(i, 2, 1, f"number {i}") for i in range(3_000)]
+
+
+def test_repeated_rows_are_one_document(spark):
+    made = [(1, "often\nmine", None, None)] * 50 + [(2, "often", None, None)]
+    got = {tuple(r) for r in drop_frequent_lines(spark.createDataFrame(made, DOCS), "cut", least=3).select("doc_id", "cut.n_dropped", "cut.kept").collect()}
+    assert got == {(1, 0, "often\nmine"), (2, 0, "often")}
+
+
+def test_empty_table(spark):
+    assert drop_frequent_lines(spark.createDataFrame([], DOCS), "cut").collect() == []

@@ -119,7 +119,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_neighbours, op3_language, op4_token_counts, op5_simhash, op6_pieces, op7_id_file, op8_decontamination, op9_shards, op10_toxicity)}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_frequent_lines
+
+    cut = drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "cut")
+    return cut.select("doc_id", "cut.n_lines", "cut.n_dropped", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_chat, op2_neighbours, op3_language, op4_token_counts, op5_simhash, op6_pieces, op7_id_file, op8_decontamination, op9_shards, op10_toxicity, op11_lines)
+}
 
 # The template's lengths follow from its control strings; an escape adds one character.
 CHAT_SQL = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -135,8 +145,11 @@ CHAT_SQL = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coa
  FROM e GROUP BY conv_id"""
 
 
+LOWERED_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def words_sql(table_name: str, key: str) -> str:
-    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    lowered = LOWERED_SQL.format("coalesce(text, '')")
     return f"(SELECT {key}, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table_name})"
 
 
@@ -150,4 +163,11 @@ DECONTAMINATION_SQL = f"""WITH d AS {words_sql('documents', 'doc_id')},
  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
  FROM d LEFT JOIN p USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL}
+BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINES_SQL = f"""WITH l AS (SELECT doc_id, i, lines[i] AS line, {LOWERED_SQL.format(f'trim(lines[i], {BLANKS_SQL})')} AS key
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+ f AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+ k AS (SELECT doc_id, i, line, key IN (SELECT key FROM f) AS gone FROM l)
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op11_lines": LINES_SQL}
