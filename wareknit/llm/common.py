@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -42,6 +43,18 @@ def slices(batches: Iterable[tuple[pa.Array, ...]]) -> Iterator[tuple[pa.Array,
             yield tuple(c[k : k + SLICE_ROWS] for c in columns)
 
 
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def pieces_of(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A very long text in pieces of about size bytes, cut where a blank stands, so that no word is cut."""
+    at = 0
+    while len(data) - at > size and (blank := BLANK.search(data, at + size)):
+        yield data[at : blank.start()]
+        at = blank.start()
+    yield data[at:]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -126,9 +126,15 @@ def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "cut.n_lines", "cut.n_dropped", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat, op2_neighbours, op3_language, op4_token_counts, op5_simhash, op6_pieces, op7_id_file, op8_decontamination, op9_shards, op10_toxicity, op11_lines)
+    for f in (op1_chat, op2_neighbours, op3_language, op4_token_counts, op5_simhash, op6_pieces, op7_id_file, op8_decontamination, op9_shards, op10_toxicity, op11_lines, op12_lexical)
 }
 
 # The template's lengths follow from its control strings; an escape adds one character.
@@ -170,4 +176,13 @@ LINES_SQL = f"""WITH l AS (SELECT doc_id, i, lines[i] AS line, {LOWERED_SQL.form
  k AS (SELECT doc_id, i, line, key IN (SELECT key FROM f) AS gone FROM l)
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op11_lines": LINES_SQL}
+TERMS_SQL = f"regexp_extract_all({LOWERED_SQL.format('coalesce(text, chr(0))')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL_SQL = f"""WITH d AS (SELECT doc_id, t, len(t) AS n FROM (SELECT doc_id, {TERMS_SQL} AS t FROM documents) WHERE len(t) > 0),
+ s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+ q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+ p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+ w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+ r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total))))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
+ SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op11_lines": LINES_SQL, "op12_lexical": LEXICAL_SQL}
