@@ -34,7 +34,7 @@ def sha(text):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_by_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cur = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in cur.description]

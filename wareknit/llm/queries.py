@@ -132,9 +132,15 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat, op2_neighbours, op3_language, op4_token_counts, op5_simhash, op6_pieces, op7_id_file, op8_decontamination, op9_shards, op10_toxicity, op11_lines, op12_lexical)
+    for f in (op1_chat, op2_neighbours, op3_language, op4_token_counts, op5_simhash, op6_pieces, op7_id_file, op8_decontamination, op9_shards, op10_toxicity, op11_lines, op12_lexical, op13_filters)
 }
 
 # The template's lengths follow from its control strings; an escape adds one character.
@@ -185,4 +191,24 @@ LEXICAL_SQL = f"""WITH d AS (SELECT doc_id, t, len(t) AS n FROM (SELECT doc_id,
  r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total))))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
  SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10"""
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op11_lines": LINES_SQL, "op12_lexical": LEXICAL_SQL}
+FAILS_SQL = " UNION ALL ".join(f"SELECT '{f}' AS f" for f in "ABCDE")
+AUDIT_SQL = f"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+ d AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+  CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN labels USING (doc_id)),
+ c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY part, fails),
+ l AS ({FAILS_SQL}),
+ o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+ s AS (SELECT filter_order, k AS step, filter_order[k] AS f, filter_order[1 : k - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS k)),
+ r AS (SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS own, fails = f AS only_own,
+  before <> '' AND len(list_intersect(string_split(before, ''), string_split(fails, ''))) > 0 AND fails <> '' AS gone FROM s, c),
+ x AS (SELECT part, filter_order, step, f, sum(n) FILTER (NOT own AND NOT gone) AS kept, sum(n) FILTER (own AND NOT gone) AS removed, sum(n) FILTER (own AND gone) AS redundant,
+  sum(n) FILTER (only_own) AS unique_fails, sum(good) FILTER (own AND NOT gone) AS good_lost, sum(toxic) FILTER (own AND NOT gone) AS toxic_lost FROM r GROUP BY ALL)
+ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM x"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op11_lines": LINES_SQL, "op12_lexical": LEXICAL_SQL, "op13_filters": AUDIT_SQL}
