@@ -40,16 +40,20 @@ def matched_numbers(matches: Column) -> Column:
     return F.filter(F.transform(matches, number), lambda n: n.isNotNull())
 
 
+def in_unit(number: Column, unit: Unit, other: Unit) -> Column:
+    """A unit's value as a plain number of another unit."""
+    factor = ratio(unit.weight, other.weight)
+    digits, places = format(factor, "f"), max(0, -factor.as_tuple().exponent)
+    return plain_number(number * F.lit(digits).cast(f"decimal({len(digits.replace('.', ''))},{places})"))
+
+
 def numeric_unit_regex(col: str | Column, unit: Unit, allied: list[Unit]) -> Column:
     """A lookahead for each value, which accepts it in every allied unit."""
 
     def accepts(number: Column) -> Column:
         parts = []
         for other in allied:
-            factor = ratio(unit.weight, other.weight)
-            digits, places = format(factor, "f"), max(0, -factor.as_tuple().exponent)
-            scaled = number * F.lit(digits).cast(f"decimal({len(digits.replace('.', ''))},{places})")
-            shown = F.replace(plain_number(scaled), F.lit("."), F.lit("[.,]"))
+            shown = F.replace(in_unit(number, unit, other), F.lit("."), F.lit("[.,]"))
             before, after = other.exactly()
             parts.append(F.concat(F.lit(before), shown, F.lit(after)))
         return F.concat_ws("|", *parts)
@@ -123,10 +127,14 @@ def extract_sizes(df: DataFrame, col: str, sep: str = r"\D+", left_step: int = 1
     return df.withColumn(name, F.when(values.isNotNull(), whole).otherwise(""))
 
 
+#: A lookahead inside a whole expression, and what stands before and after its body.
+LOOKAHEAD, BODY_START, BODY_END = r"\(\?=\.\*.*?\)\)+", r"^\(\?=\.\*\(", r"\)\)$"
+
+
 def parse_regex(col: str | Column) -> Column:
     """The bodies of an expression's lookaheads."""
-    found = F.regexp_extract_all(text_of(col), F.lit(r"\(\?=\.\*.*?\)\)+"), 0)
-    return F.transform(found, lambda b: F.regexp_replace(F.regexp_replace(b, r"^\(\?=\.\*\(", ""), r"\)\)$", ""))
+    found = F.regexp_extract_all(text_of(col), F.lit(LOOKAHEAD), 0)
+    return F.transform(found, lambda b: F.regexp_replace(F.regexp_replace(b, BODY_START, ""), BODY_END, ""))
 
 
 def strip_by_regex(df: DataFrame, col: str, regex_col: str = "Regex", name: str | None = None) -> DataFrame:

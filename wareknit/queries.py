@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareknit.functions import words as W
-from wareknit.operators import cross, features, measures, offers, similarity
+from wareknit.operators import cross, features, match, measures, offers, similarity
 from wareknit.plans import inputs
 from wareknit.plans.inputs import CATALOG_SQL, PAIR_KEYS, PAIRS_SQL, RULES_SQL
 from wareknit.plans.rules import Measure, SimilarityRules, load_similarity_rules, shipped_rules
@@ -205,6 +205,29 @@ def m11_match(spark, sf_dir):
     return measures.match_names(inputs.pairs(spark, sf_dir), "client", "source", RULES).select(*PAIR_KEYS, "matched")
 
 
+# All names against all expressions: SQL tries each body on each name.
+MATCH_SQL = f"""WITH c AS (SELECT p_partkey, name, regex FROM ({sql_regex(CATALOG_SQL, 'name', 'p_partkey, name')})),
+ r AS (SELECT DISTINCT regex, list_distinct({BODIES_SQL}) AS bodies, starts_with(regex, '^') AS excludes FROM c),
+ n AS (SELECT name, count(*) AS k, sum(p_partkey) AS s, regexp_matches('  ' || name || '  ', {re2('(?i)' + measures.exclusion_pattern(QUANTITY)[len(measures.CARET_EXCLUSION) : -2])}) AS excluded FROM c GROUP BY name),
+ b AS (SELECT DISTINCT unnest(bodies) AS body FROM r),
+ t AS (SELECT body, name FROM b, n WHERE regexp_matches('  ' || name || '  ', '(?i)' || body)),
+ m AS (SELECT regex, name FROM (SELECT regex, unnest(bodies) AS body, len(bodies) AS k FROM r) JOIN t USING (body) GROUP BY regex, name, k HAVING count(*) = k
+  UNION ALL SELECT regex, name FROM r, n WHERE len(bodies) = 0),
+ f AS (SELECT regex, sum(k) AS n_matched, sum(s) AS matched_sum FROM m JOIN n USING (name) JOIN r USING (regex) WHERE NOT (excludes AND excluded) GROUP BY regex)
+ SELECT p_partkey, CAST(coalesce(n_matched, 0) AS BIGINT) AS n_matched, CAST(coalesce(matched_sum, 0) AS BIGINT) AS matched_sum FROM c LEFT JOIN f USING (regex)"""
+
+
+@query(MATCH_SQL)
+def m11_match_catalogue(spark, sf_dir):
+    """For each part the parts whose names satisfy its expression: how many, and the sum of their keys."""
+    parts = inputs.catalog(spark, sf_dir)
+    found = match.match_catalogue(parts, "name", parts, "name", RULES)
+    sources = parts.groupBy(F.col("name").alias("source")).agg(F.count("*").alias("n"), F.sum("p_partkey").alias("s"))
+    totals = found.pairs.join(sources, "source").groupBy("regex").agg(F.sum("n").alias("n_matched"), F.sum("s").alias("matched_sum"))
+    own = found.members.join(totals, "regex", "left").select(F.col("client").alias("name"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_matched", "matched_sum")])
+    return parts.join(own, "name").select("p_partkey", "n_matched", "matched_sum")
+
+
 # Features.
 def sql_features(side: str, key: str) -> str:
     """A chain of selects: each step finds a unit's values and blanks what it matched."""
