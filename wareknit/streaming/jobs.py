@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wareknit.operators.features import validate_features
 from wareknit.operators.measures import extract_measures
-from wareknit.operators.offers import validate_offers
+from wareknit.operators.offers import validate_each
 from wareknit.plans.rules import MeasureRules
 
 
@@ -26,7 +26,7 @@ def stream_measures(names: DataFrame, col: str, rules: MeasureRules) -> DataFram
 
 def stream_offers(offers: DataFrame, catalog: DataFrame, text_col: str = "row_text") -> DataFrame:
     """Offers of a stream against a fixed catalogue."""
-    return validate_offers(offers, catalog, text_col)
+    return validate_each(offers, catalog, text_col)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
