@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 from wareknit.llm import audit
@@ -68,17 +69,20 @@ def test_the_dictionary_and_the_matrix(spark):
     texts = [f"a b w{i % 30} w{i} b" for i in range(200)]
     docs = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "id long, part string, text string").repartition(7)
     local = audit.local_shards(docs)
-    words = audit.dictionary(local.select(audit.F.explode("words").alias("word"))).collect()
-    assert sorted(r.number for r in words) == list(range(len({w for t in texts for w in t.split()}))) and len({bytes(r.word) for r in words}) == len(words)
+    every = local.select("shard", audit.F.posexplode("words").alias("at", "word"))
+    words = {(r.shard, r.at): r.number for r in audit.dictionary(every, every.count()).collect()}
+    named = {(bytes(r.word), words[r.shard, r.at]) for r in every.collect()}
+    assert sorted(n for _, n in named) == list(range(len({w for t in texts for w in t.split()}))) and len({w for w, _ in named}) == len(named)
     seen = defaultdict(set)
     for s in audit.csr_shards(docs, shard_rows=9).collect():
+        starts, columns, times = audit.matrix_of(s.starts, s.columns, s.times, np.array(s.own))
         for r, i in enumerate(s.ids):
-            own = dict(zip(s.columns[s.starts[r] : s.starts[r + 1]], s.times[s.starts[r] : s.starts[r + 1]]))
+            own = dict(zip(columns[starts[r] : starts[r + 1]].tolist(), times[starts[r] : starts[r + 1]].tolist()))
             want = Counter(texts[i].split())
             assert sorted(own.values()) == sorted(want.values()) and len(own) == len(want)
             for c in own:
                 seen[c].add(frozenset(want))
-    assert all(frozenset.intersection(*docs_) for docs_ in seen.values()) and len(seen) == len(words)
+    assert all(frozenset.intersection(*docs_) for docs_ in seen.values()) and len(seen) == len(named)
 
 
 def test_empty_tables(spark):

@@ -34,6 +34,8 @@ from .common import pieces_of, saved, whole_text
 
 #: Bytes of text and documents in a shard.
 SHARD_BYTES, SHARD_ROWS = 16_000_000, 10_000
+#: Words of all shards in a part of the dictionary; bits of a word's number (beside 26 of its place in a shard).
+PART_WORDS, NUMBER_BITS = 1_000_000, 37
 LEAST_WORDS = 50
 #: Shares of a hundred: least distinct words among words, most capitals among characters.
 LEAST_DISTINCT, MOST_CAPITALS = 65, 5
@@ -69,22 +71,23 @@ class Shard:
 
     def row(self, number: int) -> pa.RecordBatch:
         of = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-        flat = lambda arrays: np.concatenate([*arrays, np.empty(0, np.int32)]).astype(np.int32)
+        packed = lambda arrays: pa.array([np.concatenate([*arrays, np.empty(0, np.int32)]).astype("<i4").tobytes()], pa.binary())
         arrays = {
             "shard": pa.array([number], pa.int64()),
             "ids": of(self.ids, pa.int64()),
             "parts": of(self.parts, pa.string()),
-            "failed": of(self.failed, pa.int32()),
+            "failed": packed([self.failed]),
             "digests": of(self.digests, pa.binary()),
-            "starts": of(self.starts, pa.int32()),
-            "columns": of(flat(self.columns), pa.int32()),
-            "times": of(flat(self.times), pa.int32()),
+            "starts": packed([self.starts]),
+            "columns": packed(self.columns),
+            "times": packed(self.times),
             "words": of(list(self.words), pa.binary()),
         }
         return pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
 
-SHARD = "shard long, ids array<long>, parts array<string>, failed array<int>, digests array<binary>, starts array<int>, columns array<int>, times array<int>, words array<binary>"
+#: Rows, and their matrix in compressed sparse rows: 32-bit numbers, packed.
+SHARD = "shard long, ids array<long>, parts array<string>, failed binary, digests array<binary>, starts binary, columns binary, times binary, words array<binary>"
 
 
 def local_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -106,47 +109,66 @@ def local_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, shard_rows: in
     return docs.mapInArrow(build, SHARD)
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """word, number: the distinct words, numbered from 0 without gaps."""
-    numbered = saved(words.select("word").distinct().select("word", F.monotonically_increasing_id().alias("n")), "words")
-    part, inside = F.shiftright("n", 33).cast("int"), F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+def dictionary(words: DataFrame, count: int) -> DataFrame:
+    """words (shard, at, word; count rows) with word's number: distinct words are numbered from 0 without gaps.
+
+    Words are dealt out by their hash, numbered where they arrive, and partitions are numbered one after the other. A word
+    comes once for each shard that has it, so that no word makes a partition large.
+    """
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            own = np.fromiter(map(numbers.__getitem__, batch.column(2).to_pylist()), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(own), part, np.int32)), pa.array(own)], ["shard", "at", "part", "n"])
+
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // PART_WORDS))
+    # Written once: words of a second evaluation could arrive in another order.
+    found = saved(words.select("shard", "at", "word").repartition(parts, "word").mapInArrow(numbered, "shard long, at int, part int, n long"), "numbered-words")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    firsts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
-    return numbered.select("word", part.alias("part"), inside.alias("inside")).join(F.broadcast(firsts), "part").select("word", (F.col("first") + F.col("inside")).alias("number"))
+    firsts = found.groupBy("part").agg((F.max("n") + 1).alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    return found.join(saved(firsts, "first-numbers"), "part").select("shard", "at", (F.col("first") + F.col("n")).alias("number"))
 
 
 def csr_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Shards of the matrix: starts, columns (numbers of the global dictionary) and times, beside the rows' other facts."""
+    """Shards of the matrix, as of SHARD but for the words, with own: the global number of each of the shard's columns."""
     local = saved(local_shards(docs, shard_bytes, shard_rows), "local-shards")
-    words = local.select("shard", F.posexplode("words").alias("at", "word"))
-    numbers = saved(dictionary(words), "dictionary")
-    # Both sides of the join are plain tables, whose frequent words Spark can split.
-    met = words.join(numbers, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "number"))).alias("own"))
-    renumbered = met.select("shard", F.transform("own", lambda w: w["number"]).alias("own"))
-    whole = local.drop("words").join(renumbered, "shard", "left")
-    return whole.withColumn("columns", F.transform("columns", lambda c: F.get("own", c))).drop("own")
+    count = local.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).head()[0]
+    numbers = dictionary(local.select("shard", F.posexplode("words").alias("at", "word")), count)
+    # Place and number in one long, so that a shard's words are sorted as plain numbers.
+    packed = F.shiftleft(F.col("at").cast("long"), NUMBER_BITS).bitwiseOR(F.col("number"))
+    own = numbers.groupBy("shard").agg(F.sort_array(F.collect_list(packed)).alias("own"))
+    return local.drop("words").join(own.select("shard", F.transform("own", lambda n: n.bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))).alias("own")), "shard", "left")
+
+
+def matrix_of(starts: bytes, columns: bytes, times: bytes, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts, columns (global numbers) and times of a shard's rows."""
+    starts, columns, times = (np.frombuffer(x, "<i4") for x in (starts, columns, times))
+    return starts, own[columns], times
 
 
 def row_facts(csr: DataFrame) -> DataFrame:
     """id, part, failed (bits of A to D) and digest of each document: row sums and non-zero entries decide A and B."""
-    # An array of one struct holds the shard's arrays, so that its columns are renumbered once for all rows.
-    names = ("ids", "parts", "failed", "digests", "starts", "columns", "times")
-
-    def facts(s: Column) -> Column:
-        def fact(r: Column) -> Column:
-            first, n = F.get(s["starts"], r) + 1, F.get(s["starts"], r + 1) - F.get(s["starts"], r)
-            words = F.aggregate(F.slice(s["times"], first, n), F.lit(0).cast("long"), lambda a, x: a + x)
-            distinct = F.size(F.array_distinct(F.slice(s["columns"], first, n)))
-            return F.struct(F.get(s["ids"], r).alias("id"), F.get(s["parts"], r).alias("part"), F.get(s["failed"], r).alias("failed"), F.get(s["digests"], r).alias("digest"), words.alias("words"), distinct.alias("distinct"))
-
-        return F.transform(F.sequence(F.lit(0), F.size(s["ids"]) - 1), fact)
-
-    one = F.array(F.struct(*[F.col(n).alias(n) for n in names]))
-    rows = csr.select(F.explode(F.flatten(F.transform(one, facts))).alias("r")).select("r.*")
-    few = F.when(F.col("words") < LEAST_WORDS, BIT["A"]).otherwise(0)
-    same = F.when(100 * F.col("distinct").cast("long") < LEAST_DISTINCT * F.col("words"), BIT["B"]).otherwise(0)
-    return rows.select("id", "part", "digest", F.col("failed").bitwiseOR(few).bitwiseOR(same).alias("failed"))
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {n: batch.column(n)[r] for n in ("ids", "parts", "failed", "digests", "starts", "columns", "times", "own")}
+                own = row["own"].values.to_numpy() if row["own"].is_valid else np.empty(0, np.int64)
+                starts, columns, times = matrix_of(*(row[n].as_py() for n in ("starts", "columns", "times")), own)
+                sums = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+                words = sums[starts[1:]] - sums[starts[:-1]]
+                # A row's columns are different ones, as the shard's words have different numbers.
+                assert len(np.unique(own)) == len(own)
+                distinct = np.diff(np.concatenate([[0], np.cumsum((times > 0) & (columns >= 0))])[starts]).astype(np.int64)
+                failed = np.frombuffer(row["failed"].as_py(), "<i4") | BIT["A"] * (words < LEAST_WORDS) | BIT["B"] * (100 * distinct < LEAST_DISTINCT * words)
+                yield pa.RecordBatch.from_arrays([row["ids"].values, row["parts"].values, row["digests"].values, pa.array(failed.astype(np.int32))], ["id", "part", "digest", "failed"])
+
+    return csr.mapInArrow(facts, "id long, part string, digest binary, failed int")
 
 
 def with_copies(facts: DataFrame) -> DataFrame:
