@@ -6,18 +6,21 @@ a window can end; most positions of a text are never looked at. Where the shift
 suffix: its bucket, divided by the windows' first blocks, names the windows to compare directly. Items with the same
 words are kept once.
 
-The benchmark goes to the executors in blocks of bounded size (BLOCK_BYTES of text). One block is searched in one
-narrow pass over the documents. More blocks are searched one after the other, each in stages of its own; the hits of
-a document, found by id and digest, are then put together.
-
-Edge cases: null or word-less texts have no words and no hits; items without words are never found; equal texts under
-several item ids count as several items; a repeated document has the same result each time; an empty benchmark gives
-no hits and an empty documents table an empty result; other columns are kept as they are.
+Long items are cut into pieces that overlap by all but one word of a window, so that each window lies in one of them
+whole. The pieces go to the executors in blocks of bounded size (BLOCK_BYTES of text). One block is searched in one narrow
+pass over the documents. More blocks are searched one after the other: each is sent, its hits are written, and it is
+released before the next is read. The hits of a text, found by its digest, are then put together.
+
+Edge cases: null or word-less texts have no words and no hits; items without words are never found; words of an item
+without an id are hit like any other's, but the item is not listed; equal texts under several item ids count as several
+items; a repeated document has the same result each time; an empty benchmark gives no hits and an empty documents table
+an empty result; other columns are kept as they are.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +28,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, whole_text
+from .common import free_name, saved, whole_text
 
 WINDOW = 13
 BLOCK_BYTES = 8_000_000
+#: Words of a piece of a long item.
+PIECE_WORDS = 4_096
 #: Words are runs of digits, a-z and all characters beyond ASCII, after A-Z are lower-cased.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 HITS = "struct<n_words: bigint, spans: array<struct<start: int, end: int>>, items: array<string>>"
@@ -75,8 +80,8 @@ class Windows:
 
 
 class Searcher:
-    def __init__(self, rows: list[tuple[str, str]]):
-        by_words: dict[tuple, list[str]] = {}
+    def __init__(self, rows: list[tuple[str | None, str]]):
+        by_words: dict[tuple, list[str | None]] = {}
         for item_id, text in rows:
             if words := words_of(text):
                 by_words.setdefault(tuple(words), []).append(item_id)
@@ -94,7 +99,7 @@ class Searcher:
         words, spans, found = words_of(text), [], set()
         for t in self.tables.values():
             t.search(words, self.items, spans, found)
-        return len(words), joined(spans), sorted({i for k in found for i in self.ids[k]})
+        return len(words), joined(spans), sorted({i for k in found for i in self.ids[k] if i is not None})
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,17 +115,19 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _searcher: list = [None, None]
 
 
-def searcher(rows: Broadcast) -> Searcher:
-    """The worker's tables: one block at a time."""
-    if _searcher[0] != rows._path:
-        _searcher[:] = [rows._path, Searcher(rows.value)]
+def searcher(name: str, rows: Broadcast) -> Searcher:
+    """The worker's tables: those of one block at a time."""
+    if _searcher[0] != name:
+        _searcher[:] = [name, Searcher(rows.value)]
     return _searcher[1]
 
 
 def hits_column(text: Column, rows: Broadcast) -> Column:
+    name = uuid.uuid4().hex
+
     @F.arrow_udf(HITS)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        s = searcher(rows)
+        s = searcher(name, rows)
         for batch in batches:
             found = [s.hits(t.as_py()) for t in batch]
             yield pa.array(
@@ -131,20 +138,37 @@ def hits_column(text: Column, rows: Broadcast) -> Column:
     return hits(text)
 
 
+def overlapping(text: Column) -> Column:
+    """The item's words in pieces, each window in one of them; no piece without words."""
+
+    @F.arrow_udf("array<string>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            words = words_of(t.as_py())
+            out.append([b" ".join(words[a : a + PIECE_WORDS + WINDOW - 1]).decode() for a in range(0, max(1, len(words) - WINDOW + 1), PIECE_WORDS)] if words else [])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return pieces(text)
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a column name: n_words, spans of hit words, ids of items found."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("body")).filter("item is not null and length(body) > 0")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("body") + F.octet_length("item")), F.lit(0))).head()[0]
-    n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    block = F.pmod(F.xxhash64("item"), F.lit(n))
-    sent = [spark.sparkContext.broadcast([(r["item"], r["body"]) for r in items.filter(block == k).collect()]) for k in range(n)]
-    if n == 1:
-        return docs.withColumn(name, hits_column(F.col(text_col), sent[0]))
+    context = docs.sparkSession.sparkContext
+    pieces = saved(benchmark.select(F.col(item_col).cast("string").alias("item"), F.explode(overlapping(F.col(item_text))).alias("piece")), "benchmark-pieces")
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("piece") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0))).head()[0]
+    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
+    block = F.pmod(F.xxhash64("item", "piece"), F.lit(blocks))
+    send = lambda k: context.broadcast([(r["item"], r["piece"]) for r in pieces.filter(block == k).collect()])
+    if blocks == 1:
+        return docs.withColumn(name, hits_column(F.col(text_col), send(0)))
     keyed = docs.withColumn(key := free_name(docs, "text_digest"), F.sha2(whole_text(text_col), 256))
     each = None
-    for rows in sent:
-        own = keyed.select(F.col(key), hits_column(F.col(text_col), rows).alias("h")).filter("size(h.items) > 0").dropDuplicates([key])
+    for k in range(blocks):
+        rows = send(k)
+        own = keyed.select(F.col(key), hits_column(F.col(text_col), rows).alias("h")).filter("size(h.spans) > 0").dropDuplicates([key])
+        own = saved(own, "block-hits")
+        rows.unpersist()
         each = own if each is None else each.unionByName(own)
     put = each.groupBy(key).agg(F.flatten(F.collect_list("h.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("items"))
 
@@ -153,9 +177,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str =
         rows = [joined([(s["start"], s["end"]) for s in x or []]) for x in lists.to_pylist()]
         return pa.array([[{"start": a, "end": b} for a, b in r] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
-    none = spark.sparkContext.broadcast([])
     put = put.withColumn("spans", join_spans("spans")).select(key, F.struct("spans", "items").alias(hit := free_name(keyed, "hit")))
-    out = keyed.join(put, key, "left").withColumn(name, hits_column(F.col(text_col), none))
+    # Written, so that copies of one text are rows of a plain join, which Spark can split.
+    out = keyed.join(saved(put, "hits"), key, "left").withColumn(name, hits_column(F.col(text_col), context.broadcast([])))
     whole = F.struct(F.col(f"{name}.n_words").alias("n_words"), F.coalesce(F.col(f"{hit}.spans"), F.col(f"{name}.spans")).alias("spans"), F.coalesce(F.col(f"{hit}.items"), F.col(f"{name}.items")).alias("items"))
     return out.withColumn(name, whole).drop(key, hit)
 
