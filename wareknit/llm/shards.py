@@ -3,8 +3,8 @@
 The shard of a row follows from its key and the number of shards alone: the key seeds a series of jumps, and the last
 shard reached below the number of shards is the row's. One more shard takes only the rows whose next jump lands on it.
 
-Rows of a shard are divided into buckets by another hash of the key, so that no task holds a whole shard; the counts
-of the buckets before give each bucket its first slot.
+Rows of a shard are divided into buckets by another hash of the key and the text's crc32, so that no task holds a whole
+shard, nor all rows of one key; the counts of the buckets before give each bucket its first slot.
 
 Edge cases: null keys share one shard; null texts have no bytes and crc32 0; rows with equal keys are ordered by their
 text's crc32 and size and have slots of their own; an empty table gives an empty result; other columns are written as
@@ -55,12 +55,12 @@ def write_shards(docs: DataFrame, shards: int, path: str | None = None, id_col:
     own_bucket, first_slot = free_name(docs, "bucket"), free_name(docs, "first_slot")
     buckets = max(1, -(-docs.count() // (shards * ROWS_PER_BUCKET)))
     key = F.col(id_col)
-    bucket = F.pmod(F.xxhash64(F.lit("bucket"), key.cast("string")), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), key.cast("string"), F.crc32(whole_text(text_col).cast("binary"))), F.lit(buckets)).cast("int")
     placed = lambda df: df.withColumns({"shard": shard_of(key, shards), own_bucket: bucket})
-    sizes = placed(docs.select(id_col)).groupBy("shard", own_bucket).agg(F.count("*").alias("n"))
+    sizes = placed(docs.select(id_col, text_col)).groupBy("shard", own_bucket).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy(own_bucket).rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("shard", own_bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first_slot))
-    inside = Window.partitionBy("shard", own_bucket).orderBy(key, F.crc32(whole_text(text_col)), F.octet_length(whole_text(text_col)))
+    inside = Window.partitionBy("shard", own_bucket).orderBy(key, F.crc32(whole_text(text_col).cast("binary")), F.octet_length(whole_text(text_col)))
     rows = placed(docs).withColumn("grown_shard", shard_of(key, shards + 1)).withColumn("slot", F.row_number().over(inside))
     rows = rows.join(firsts, ["shard", own_bucket]).withColumn("slot", F.col("slot") - 1 + F.col(first_slot))
     rows.drop(own_bucket, first_slot).write.partitionBy("shard").parquet(path)
