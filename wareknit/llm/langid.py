@@ -11,8 +11,9 @@ come to the driver.
 
 Edge cases: a null text and one without letters (characters of the letter categories; digits, fractions and the like
 are none) is `und` with score 0, as is every text if there are no profiles; training rows with null text or language
-are left out; ties in frequency are ordered by the n-gram, character by character; repeated rows count each time; an
-empty table gives an empty result; other columns are kept or ignored.
+are left out; ties in frequency are ordered by the n-gram, character by character; repeated rows count each time; a very
+long text is counted WINDOW characters at a time, so that a worker holds its different n-grams, not all of them; an empty
+table gives an empty result; other columns are kept or ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ PROFILE = 400
 #: N-grams that a worker holds before it sums them, and different ones before it hands on its sums.
 SUMMED, HELD = 2_000_000, 500_000
 BLANK = 32
+#: Characters of a text that are looked at together.
+WINDOW = 1 << 18
 
 
 @cache
@@ -39,20 +42,28 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def gram_codes(text: str) -> np.ndarray:
-    """All n-grams of the text, sorted: 21 bits for each character, so that the order of numbers is that of n-grams."""
-    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = letters()[x]
-    if not letter.any():
-        return np.empty(0, np.uint64)
-    # Words with one blank on either side: a blank stands for what follows a word, and one goes in front of all.
-    kept = letter.copy()
-    kept[1:] |= letter[:-1]
-    ends = [BLANK] if letter[-1] else []
-    y = np.concatenate([[BLANK], np.where(letter, x, BLANK)[kept], ends]).astype(np.uint64)
-    first, second = y << np.uint64(42), y << np.uint64(21)
-    three = (first[:-2] | second[1:-1] | y[2:])[y[1:-1] != BLANK]
-    return np.sort(np.concatenate([first[y != BLANK], first[:-1] | second[1:], three]))
+def gram_codes(text: str) -> Iterator[np.ndarray]:
+    """All n-grams of the text, WINDOW characters at a time: 21 bits for each character, so that the order of numbers is
+    that of n-grams."""
+    if "Σ" in text:  # the one letter whose lower case depends on what stands around it
+        text = text.lower()
+    # A blank stands for what follows a word, and one goes in front of all. The last two go before the next window.
+    carry, before = np.array([BLANK], np.uint64), False
+    for a in range(0, len(text), WINDOW):
+        x = np.frombuffer(text[a : a + WINDOW].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = letters()[x]
+        kept = letter | np.concatenate([[before], letter[:-1]])
+        before = letter[-1]
+        new = np.where(letter, x, BLANK)[kept].astype(np.uint64)
+        if before and a + WINDOW >= len(text):
+            new = np.append(new, np.uint64(BLANK))
+        if len(new):
+            y, m = np.concatenate([carry, new]), len(carry)
+            first, second = y << np.uint64(42), y << np.uint64(21)
+            two = (first[:-1] | second[1:])[m - 1 :]
+            three = ((first[:-2] | second[1:-1] | y[2:])[max(0, m - 2) :])[y[1:-1][max(0, m - 2) :] != BLANK]
+            yield np.concatenate([first[m:][new != BLANK], two, three])
+            carry = y[-2:]
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +72,24 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[firsts], np.diff(np.append(firsts, len(codes)))
 
 
+def merged(*counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of counts of sorted numbers."""
+    codes, n = (np.concatenate(p) for p in zip(*counts))
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    firsts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    return codes[firsts], np.add.reduceat(n, firsts) if len(firsts) else n
+
+
+def text_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's n-grams in their order, and how often each is there."""
+    found = None
+    for codes in gram_codes(text):
+        own = counted(np.sort(codes))
+        found = own if found is None else merged(found, own)
+    return found or (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def gram_of(code: int) -> str:
     return "".join(chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
 
@@ -78,15 +107,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
         def summed() -> None:
             for lang, own in parts.items():
-                codes, n = counted(np.sort(np.concatenate(own)))
-                if lang in sums:
-                    codes, n = (np.concatenate(p) for p in zip(sums[lang], (codes, n)))
-                    order = np.argsort(codes, kind="stable")
-                    codes, n = codes[order], n[order]
-                    firsts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-                    codes, n = codes[firsts], np.add.reduceat(n, firsts)
-                if len(codes):
-                    sums[lang] = codes, n
+                found = counted(np.sort(np.concatenate(own)))
+                sums[lang] = merged(sums[lang], found) if lang in sums else found
             parts.clear()
 
         def taken() -> Iterator[pa.RecordBatch]:
@@ -97,14 +119,14 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
-                own = gram_codes(text.as_py())
-                parts.setdefault(lang.as_py(), []).append(own)
-                held += len(own)
-                if held > SUMMED:
-                    summed()
-                    held = 0
-                    if sum(len(codes) for codes, _ in sums.values()) > HELD:
-                        yield from taken()
+                for own in gram_codes(text.as_py()):
+                    parts.setdefault(lang.as_py(), []).append(own)
+                    held += len(own)
+                    if held > SUMMED:
+                        summed()
+                        held = 0
+                        if sum(len(codes) for codes, _ in sums.values()) > HELD:
+                            yield from taken()
         summed()
         yield from taken()
 
@@ -132,7 +154,7 @@ class Ranker:
             row[np.searchsorted(self.codes, np.array([code_of(g) for g in profiles[lang]], np.uint64))] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        codes, n = counted(gram_codes(text or ""))
+        codes, n = text_counts(text or "")
         if not len(codes) or not self.langs:
             return "und", 0.0
         if len(codes) > self.size:
