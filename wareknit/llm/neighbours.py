@@ -14,7 +14,8 @@ their members, the smallest ids first.
 
 Edge cases: vectors that are null, zero, of a length other than the most frequent one, or hold a null or non-finite
 component take no part; ties go to the smaller id; a query has fewer neighbours only if there are fewer vectors; an
-empty table gives an empty result; repeated ids are ranked as they come; other columns are not read.
+empty table gives an empty result; rows of one id are told apart by their vectors: each is a query and a candidate of its
+own, and rows of one id and one vector are one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -166,7 +167,7 @@ def build_graph(nodes: DataFrame, dim: int, count: int, degree: int = DEGREE, ro
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
         company = both_ways(graph, degree).withColumnRenamed("node", "center")
         carried = nodes.join(worst, "node").withColumnRenamed("node", "other")
-        meetings = company.join(carried, "other").groupBy("center").agg(F.collect_list(F.struct("other", "new", "worst", "v")).alias("members"))
+        meetings = company.join(carried, "other").groupBy("center").agg(F.sort_array(F.collect_list(F.struct("other", "new", "worst", "v"))).alias("members"))
         found = meetings.select("members").mapInArrow(meet, "node long, other long, sim float").withColumn("new", F.lit(True))
         known = graph.withColumn("new", F.lit(False))
         graph = saved(kept_best(known.unionByName(found), degree), "graph")
@@ -253,8 +254,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = rows.filter(F.size("vec") == dim)
     # k + 1 members of a class are enough for any query; a hot class is cut in each partition before the shuffle.
     rank = Window.partitionBy("vec").orderBy("id")
-    members = rows.select("vec", "id").withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= k + 1)
+    members = rows.select("vec", "id").distinct().withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= k + 1)
     members = saved(members.withColumn("node", F.min("id").over(Window.partitionBy("vec"))), "members")
+    firsts = members.filter("place = 1")
+    if not firsts.groupBy("node").count().filter("count > 1").isEmpty():
+        # A class is numbered by its smallest id; where that is another class's too, by a hash of the id and the vector's place.
+        r = F.row_number().over(Window.partitionBy("node").orderBy("vec"))
+        numbers = saved(firsts.withColumn("r", r).select("vec", F.when(F.col("r") == 1, F.col("node")).otherwise(F.xxhash64("node", "r")).alias("node")), "classes")
+        members = saved(members.drop("node").join(numbers, "vec"), "members")
     heads = members.filter("place = 1").select("node", "vec")
     square = F.aggregate(F.transform("vec", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     facts = heads.agg(F.count("*").alias("n"), F.max(square).alias("longest")).head()
@@ -262,8 +269,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     nodes = saved(heads.select("node", with_length(F.col("vec"), dim, longest).alias("v")), "nodes")
     graph = build_graph(nodes, dim, count, degree)
     lists = saved(neighbour_lists(graph, nodes, dim, degree), "lists")
-    asks = saved(rows.filter("asks").select("id", "vec").join(heads, "vec").select(F.col("id").alias("query_id"), "node"), "queries")
-    queries = saved(asks.select(F.col("node").alias("query")).distinct().join(nodes.withColumnRenamed("node", "query"), "query"), "query-nodes")
+    asks = saved(rows.filter("asks").select("id", "vec").distinct().join(heads, "vec").select(F.col("id").alias("query_id"), F.col("node").alias("own")), "queries")
+    queries = saved(asks.select(F.col("own").alias("query")).distinct().join(nodes.withColumnRenamed("node", "query"), "query"), "query-nodes")
     found = search(lists, queries, dim, beam)
     # A query's own node counts as found, with its members but the query itself.
     found = found.unionByName(queries.select("query", F.col("query").alias("node"), F.lit(float("inf")).cast("float").alias("sim"))).groupBy("query", "node").agg(F.max("sim").alias("sim"))
@@ -273,6 +280,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     best = best.select("query", "node", exact("x", "y").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     best = saved(best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1), "best")
-    pairs = asks.withColumnRenamed("node", "query").join(best, "query").join(members.select("node", "id"), "node").filter("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    pairs = asks.withColumn("query", F.col("own")).join(best, "query").join(members.select("node", "id"), "node").filter((F.col("id") != F.col("query_id")) | (F.col("node") != F.col("own")))
+    order = Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "id", "node")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
