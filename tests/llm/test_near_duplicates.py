@@ -159,3 +159,15 @@ def test_odd_rows(spark):
     want = [(1, ""), (3, "a b c"), (None, "x y z"), (7, long_text), (7, "other words here"), (9, "a b"), (10, "same row")]
     assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter(want)
     assert simhash.one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_short_texts(spark):
+    """A text of nine words and its first eight, of ten and nine, and so on: similarity 0.8 or more, by few shingles."""
+    rng, rows, expected = random.Random(3), [], set()
+    for k in range(3_000):
+        n = rng.choice([9, 9, 10, 12, 20])
+        words = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1]))]
+        expected.add(2 * k)
+    kept = simhash.one_of_each_group(spark.createDataFrame([(*r, None, None, 0) for r in rows], DOCS)).select("doc_id").collect()
+    assert {r.doc_id for r in kept} == expected

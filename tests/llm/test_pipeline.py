@@ -39,7 +39,7 @@ def test_odd_rows(spark, sf_dir):
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == {1, 3, 5, 6, None}
 
 
-@pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 11)])
+@pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 14)])
 def test_registered(spark, sf_dir, name):
     found = [q for q in entry.queries() if q.split("_")[0] == name]
     assert len(found) == 1

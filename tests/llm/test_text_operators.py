@@ -225,7 +225,7 @@ def brute_hits(text, items):
             for i in range(len(words) - m + 1):
                 if words[i : i + m] == w[k : k + m]:
                     hit.update(range(i, i + m))
-                    found.add(str(item))
+                    found |= {str(item)} - {"None"}
     return len(words), len(hit), sorted(found)
 
 
@@ -239,7 +239,7 @@ def test_decontamination(spark, odd, nothing, block_bytes):
     texts = [make(rng.randint(0, 60)) + " " + rng.choice(items[:25])[1] + ", " + make(rng.randint(0, 60)) for _ in range(80)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[0], None, ""])], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("text_digest", "hit", "item", "spans")})
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("hits", F.lit(1))
-    known = [(i, b) for i, b in items if i is not None and b]
+    known = [(i, b) for i, b in items if b]
     out = decontam.with_hits(docs, bench, "hits", block_bytes=block_bytes).select("text", "hits", decontam.n_hit("hits").alias("n")).collect()
     assert len(out) == docs.count()
     for r in out:
@@ -248,6 +248,19 @@ def test_decontamination(spark, odd, nothing, block_bytes):
     assert decontam.with_hits(nothing.drop("hits"), bench, "hits").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [8_000_000, 60_000])
+def test_long_items_are_cut(spark, block_bytes):
+    """Windows across the cuts are found, and no block holds a long item whole."""
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2 * decontam.PIECE_WORDS + 40)]
+    cuts = [0, decontam.PIECE_WORDS - 6, decontam.PIECE_WORDS, 2 * decontam.PIECE_WORDS - 1, len(words) - 13]
+    docs = [(k, f"x y {' '.join(words[a : a + 13]).upper()} z") for k, a in enumerate(cuts)] + [(50, " ".join(words[5:17]))]
+    bench = spark.createDataFrame([(7, " ".join(words)), (None, "y " + " ".join(words[:12]))], "item_id long, text string")
+    out = decontam.with_hits(spark.createDataFrame(docs, "doc_id long, text string"), bench, "h", block_bytes=block_bytes)
+    got = {r.doc_id: (r.n, r.h["items"]) for r in out.select("doc_id", "h", decontam.n_hit("h").alias("n")).collect()}
+    assert got == {k: (14 if k == 0 else 13, ["7"]) for k in range(len(cuts))} | {50: (0, [])}
+
+
 def test_jump_hash():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64)
 
@@ -331,6 +344,41 @@ def test_language_query_by_brute_force(spark, sf_dir):
         assert (r.held_out, r.lang_pred) == (out[r.doc_id], lang) and abs(r.score - score) < 1e-12
 
 
+@pytest.mark.parametrize("window", [1, 2, 7, 1 << 18])
+def test_grams_in_windows(window, monkeypatch):
+    monkeypatch.setattr(langid, "WINDOW", window)
+    rng = random.Random(window)
+    for _ in range(300):
+        text = "".join(rng.choice("abcÀéİΣσ1½ .'\n日") for _ in range(rng.randint(0, 40)))
+        codes, n = langid.text_counts(text)
+        assert {langid.gram_of(c): k for c, k in zip(codes.tolist(), n.tolist())} == brute_grams(text) and sorted(codes) == codes.tolist()
+
+
+def test_very_long_text_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(0)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=6)) for _ in range(20_000)) * 60  # 8.4 million characters
+    tracemalloc.start()
+    try:
+        for t in (text, text.replace(" ", "")):
+            tracemalloc.reset_peak()
+            assert langid.text_counts(t)[1].sum() > len(t)
+            assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_shards_of_one_key(spark):
+    """Rows of one key share a shard, not a bucket."""
+    df = spark.createDataFrame([(1 if i % 3 else i, f"text {i}") for i in range(30_000)], "doc_id long, text string")
+    rows = shards.read_shards(df, shards.write_shards(df, 2))
+    assert rows.filter("doc_id = 1").select("shard").distinct().count() == 1
+    for shard in (0, 1):
+        own = rows.filter(F.col("shard") == shard)
+        assert own.select("slot").distinct().count() == own.count() == own.agg(F.max("slot")).head()[0] + 1
+
+
 def test_letters_only(spark):
     """Fractions, powers and Roman numerals are no letters."""
     rows = [(0, "½ ² Ⅷ 12", "en"), (1, "a½b", "en"), (2, "", "en"), (3, None, "en"), (4, "ß", "de")]
@@ -417,6 +465,44 @@ def test_neighbours(spark):
     assert neighbours.nearest(few, F.col("vec_id") == 0).count() == 2
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Two vectors of one id are two rows; equal rows are one."""
+    rng = np.random.default_rng(4)
+    rows = [(20, [1.0, 0.0, 0.1]), (20, [0.0, 1.0, 0.2]), (3, [1.0, 1.0, 0.0]), (3, [1.0, 1.0, 0.0]), (5, [1.0, 0.0, 0.1]), (40, [0.5, 0.1, 0.3])]
+    rows += [(100 + i % 60, rng.standard_normal(3).tolist()) for i in range(120)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    known = sorted({(i, tuple(v)) for i, v in rows})
+    want = []
+    for i, v in known:
+        if i % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in known if (j, w) != (i, v))[:20]
+            want += [(i, r + 1, j, round(-s, 9)) for r, (s, j) in enumerate(near)]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_neighbours_query(spark, sf_dir):
+    """The registered query's own rows on the smallest table: recall by brute force, exact scores, the same rows twice."""
+    from wareknit.llm.queries import QUERIES
+
+    table = [(r.vec_id, np.array(r.embedding, np.float64)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect() if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    ids, x = np.array([i for i, _ in table]), np.stack([v for _, v in table])
+    runs = [sorted(map(tuple, QUERIES["op2_neighbours"](spark, sf_dir).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+    found, hits, wanted = defaultdict(list), 0, 0
+    for q, r, v, s in runs[0]:
+        found[q].append((r, v, s))
+    assert sorted(found) == sorted(ids[ids % 20 == 0].tolist())
+    for q, own in found.items():
+        s = x @ x[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -np.inf
+        best = ids[np.lexsort((ids, -s))[: min(20, len(ids) - 1)]].tolist()
+        assert [r for r, _, _ in own] == list(range(1, len(best) + 1)) and all(abs(s[np.flatnonzero(ids == v)[0]] - c) < 1e-9 for _, v, c in own)
+        hits, wanted = hits + len({v for _, v, _ in own} & set(best)), wanted + len(best)
+    assert hits >= 0.9 * wanted
+
+
 def test_digest_of_known_text(spark, odd):
     ids = odd.filter("doc_id = 4").select(pieces.piece_ids(F.col("text"), default_tokenizer("piece_bpe_32k.model")).alias("i"))
     text = " ".join(map(str, ids.head()[0]))

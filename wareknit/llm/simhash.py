@@ -13,11 +13,11 @@ six, or four of seven), so that no link is lost, and the join's condition discar
 similar_groups: sets of five-word shingles, linked at a Jaccard similarity of 0.8 or more. Such pairs differ in about ten
 bits, up to twenty, which no blocks of 64 bits leave whole; so they are looked for by BANDS keys of BAND_ROWS minimum
 hashes each (a pair of similarity 0.8 shares none with chance 0.00005). Fingerprints of more than FAR differing bits are
-discarded, and survivors are verified on the whole shingle sets.
+discarded where both sets are large, and survivors are verified on the whole shingle sets.
 
 Both look at a key's members twice, so that a group of many copies doesn't make all its pairs. First each is held
-against the key's head (its smallest member). Then those that didn't get into the head's group are held against all
-members that aren't in their own group: all pairs whose link could still join two groups. The head is a pivot there: its
+against the key's head (its smallest member). Then, in keys of three members or more, those that didn't get into the head's
+group are held against all members that aren't in their own group: all pairs whose link could still join two groups. The head is a pivot there: its
 distance to each member is known, and pairs whose distances to it differ by more than the limit are discarded. Texts
 meet on shingles the second time, each on its rarest ones only, as many as two texts of similarity 0.8 need to share
 one. So versions of one text that were changed too much to be near duplicates don't meet each other.
@@ -47,8 +47,9 @@ NEAR = 3
 PIVOTS = 16
 SEED = 42
 SHINGLE, SIMILAR = 5, 0.8
-#: Sets of similarity 0.8 differ in 10 bits on average, with a deviation of 3.
-FAR = 22
+#: Large sets of similarity 0.8 differ in 10 bits on average, with a deviation of 3. Bits of sets of fewer than LARGE shingles
+#: spread wider (a set of five against four of them can differ in thirty): they are not discarded by their fingerprints.
+FAR, LARGE = 22, 64
 BANDS, BAND_ROWS = 25, 5
 #: Rare shingles that a text carries to its meetings; only what is discarded there depends on it.
 START = 64
@@ -120,10 +121,16 @@ def within(a: str, b: str, limit: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit
 
 
+def may_be_similar(a: str, b: str) -> Column:
+    """Not discarded: a small set has no fingerprint to be discarded by."""
+    return F.coalesce(within(a, b, FAR), F.lit(True))
+
+
 def with_heads(rows: DataFrame) -> DataFrame:
-    """Of rows (band, key, node, fp, …) those that share band and key with another, with that key's smallest node as head and its head_fp."""
+    """Of rows (band, key, node, fp, …) those that share band and key with another, with that key's smallest node as head,
+    its head_fp, and how many members share it."""
     heads = rows.groupBy("band", "key").agg(F.min(F.struct("node", "fp")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    heads = saved(heads.select("band", "key", F.col("head.node").alias("head"), F.col("head.fp").alias("head_fp")), "heads")
+    heads = saved(heads.select("band", "key", F.col("head.node").alias("head"), F.col("head.fp").alias("head_fp"), F.col("n").alias("members")), "heads")
     return saved(rows.join(heads, ["band", "key"]), "met")
 
 
@@ -141,7 +148,8 @@ def still_apart(named: DataFrame, limit: Column) -> DataFrame:
     named: rows of with_labels, with d, their distance to the head. Pairs with heads are left out.
     """
     apart = saved(named.filter("label <> head_label"), "apart")
-    members = named.filter("node <> head").join(apart.select("band", "key").distinct(), ["band", "key"], "left_semi")
+    # Written, so that the pairs' join is one of two plain tables.
+    members = saved(named.filter("node <> head").join(apart.select("band", "key").distinct(), ["band", "key"], "left_semi"), "members")
     own_key = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
     once = (F.col("b.label") == F.col("b.head_label")) | (F.col("a.node") < F.col("b.node"))
     pairs = apart.alias("a").join(members.alias("b"), own_key & (F.col("a.label") != F.col("b.label")) & once & limit)
@@ -163,8 +171,12 @@ def links(fps: DataFrame, count: int, near: int = NEAR) -> DataFrame:
             x, y = (F.shiftrightunsigned(F.col(f"{side}.{k}"), 8 * i).bitwiseAND(F.lit(255)) for side in "ab")
             limit &= F.abs(x - y) <= near
     limit &= within("a.fp", "b.fp", near)
-    named = with_labels(met.withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp")))), first)
-    return first.unionByName(still_apart(named, limit))
+    # Keys of two members are done, and so are those whose members all are their head's.
+    open_ = saved(met.filter((F.col("members") > 2) & (F.col("node") != F.col("head")) & ~within("fp", "head_fp", near)).select("band", "key").distinct(), "open-keys")
+    if open_.isEmpty():
+        return first
+    rows = met.join(open_, ["band", "key"], "left_semi").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))))
+    return first.unionByName(still_apart(with_labels(rows, first), limit))
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -194,8 +206,9 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = saved(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
     roots = groups(links(distinct.select("fp"), distinct.count()))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
+    # Both written: the rows of a large group, or of a frequent fingerprint, are those of a plain join, which Spark can split.
+    ids = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    classes = saved(rooted.join(ids, "root").select("fp", "component_id"), "classes")
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
@@ -217,7 +230,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def signature(text: Column) -> Column:
-    """struct<node long, fp long, keys array<long>>: a number for the set of shingles, its fingerprint, its band keys."""
+    """struct<node long, fp long, keys array<long>>: a number for the set of shingles, its fingerprint if it is large, its band keys."""
 
     @F.arrow_udf("struct<node: long, fp: long, keys: array<long>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -228,7 +241,7 @@ def signature(text: Column) -> Column:
             for t in batch:
                 own = np.unique(shingle_hashes(t.as_py() or "", SHINGLE))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
-                fps.append(bits_of(own))
+                fps.append(bits_of(own) if len(own) >= LARGE else None)
                 keys.append(band_keys(own.astype(np.uint64)))
             yield pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
 
@@ -292,10 +305,10 @@ def similar_apart(named: DataFrame, first: DataFrame, texts: DataFrame, similar:
     """a, b: pairs of nodes with different labels that may have that similarity, one of them apart from a head of its keys.
 
     named: rows of with_labels; first: a, b, similarity of pairs with heads. All nodes in a key with one that is apart
-    take part. They meet on their rare shingles: of two sets of similarity t, the first shingle that both have, rare ones
+    take part (a key of two members is done: its pair was one with a head). They meet on their rare shingles: of two sets of similarity t, the first shingle that both have, rare ones
     first, leaves at least t / (1 + t) of the sum of their sizes in either, itself included, so that no pair is lost.
     """
-    rows = saved(named.select("node", "fp", "label", "band", "key", (F.col("label") != F.col("head_label")).alias("apart")), "apart")
+    rows = saved(named.select("node", "fp", "label", "band", "key", ((F.col("label") != F.col("head_label")) & (F.col("members") > 2)).alias("apart")), "apart")
     taking = rows.join(rows.filter("apart").select("band", "key").distinct(), ["band", "key"], "left_semi").select("node").distinct()
     facts = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("label").alias("label"), F.max("apart").alias("apart"))
     # One head that the node was held against is its pivot.
@@ -311,7 +324,7 @@ def similar_apart(named: DataFrame, first: DataFrame, texts: DataFrame, similar:
     both = F.array_intersect("a.start", "b.start")
     at_first = (F.size(both) == 0) | (F.get(both, F.lit(0)) == F.col("a.shingle"))
     starts_agree = F.size(both) + F.greatest("a.after", "b.after") >= least
-    limit = enough & once & (F.col("a.label") != F.col("b.label")) & within("a.fp", "b.fp", FAR) & pivots_agree & starts_agree & at_first
+    limit = enough & once & (F.col("a.label") != F.col("b.label")) & may_be_similar("a.fp", "b.fp") & pivots_agree & starts_agree & at_first
     pairs = rare.filter("apart").alias("a").join(rare.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & limit)
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
@@ -320,10 +333,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR)
     """a, b: pairs of nodes (node, fp, keys) of that similarity or more, enough to join all that are linked; texts: node, text."""
     met = with_heads(nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")))
     # One head for each node joins nearly all of a large group; other heads are looked at where the group is still another.
-    near_head = met.filter((F.col("node") != F.col("head")) & within("fp", "head_fp", FAR))
+    near_head = met.filter((F.col("node") != F.col("head")) & may_be_similar("fp", "head_fp"))
     one = compared(saved(near_head.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")), "pairs-with-a-head"), texts)
     linked = one.filter(F.col("similarity") >= similar).select("a", "b")
-    other = with_labels(met, linked).filter((F.col("label") != F.col("head_label")) & within("fp", "head_fp", FAR)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    other = with_labels(met, linked).filter((F.col("label") != F.col("head_label")) & may_be_similar("fp", "head_fp")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     rest = compared(saved(other.join(one.select("a", "b"), ["a", "b"], "left_anti"), "pairs-with-heads"), texts)
     first = one.unionByName(rest)
     linked = first.filter(F.col("similarity") >= similar).select("a", "b")
