@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -30,16 +31,31 @@ def similarity(a: str, b: str) -> float:
 
 
 def best_substring(a: str, b: str) -> float:
-    """The best similarity of the shorter text with any stretch of the longer one, at most as long."""
+    """The best similarity of the shorter text with a stretch of the longer one: as long as itself, or cut off at an end.
+
+    While the stretch slides along, the letters that it shares with the shorter text, each as often as both have it, are
+    counted: no more can be in common, so that a stretch is compared only where that beats the best so far.
+    """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 0.0
-    n, letters = len(short), set(short)
-    best = 0.0
-    for start in range(1 - n, len(long)):
-        window = long[max(0, start) : start + n]
-        if window[0 if start < 0 else -1] in letters or window[0] in letters:
-            best = max(best, similarity(short, window))
+    n, size = len(short), len(long)
+    missing = Counter(short)  # how many more of each letter would be shared; below zero: there are too many
+    shared, best = 0, 0.0
+    for start in range(1 - n, size):
+        end = start + n
+        if end <= size:
+            ch = long[end - 1]
+            if ch in missing:
+                shared += missing[ch] > 0
+                missing[ch] -= 1
+        if start > 0:
+            ch = long[start - 1]
+            if ch in missing:
+                missing[ch] += 1
+                shared -= missing[ch] > 0
+        if 200.0 * shared / (n + min(end, size) - max(0, start)) > best:
+            best = max(best, similarity(short, long[max(0, start) : end]))
             if best == 100:
                 break
     return best
