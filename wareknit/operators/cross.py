@@ -60,12 +60,16 @@ def cross_words_of(df: DataFrame, id_col: str, text: str, tokens: str, nearest:
     one = rows.select(id_col, "text", "pos", "T", F.explode("T").alias("w")).select(id_col, "text", "pos", "w", signature(F.array_except("T", F.array("w"))).alias("sig"))
     full, one = (x.withColumn("h", F.xxhash64("sig")) for x in (full, one))
     if not nearest:
-        # Any other row does: what a row needs is the words themselves.
-        words = one.select("h", "sig", "w").distinct()
-        minus = full.join(words, ["h", "sig"]).filter(~has_word(F.col("text"), F.col("w"))).select(id_col, "w")
-        plus = one.join(full.select("h", "sig").distinct(), ["h", "sig"], "left_semi").filter(has_word(F.col("text"), F.col("w"))).select(id_col, "w")
-        others = words.groupBy("h", "sig").agg(F.count("*").alias("n")).filter("n > 1")
-        intersect = one.join(others, ["h", "sig"], "left_semi").filter(has_word(F.col("text"), F.col("w"))).select(id_col, "w")
+        # Any other row does: what a row needs is the words themselves, as one set for each signature. Sets and signatures are
+        # written, so that a frequent signature (as of rows without tokens) is a key of a plain join, which Spark can split.
+        sets = written(one.groupBy("h", "sig").agg(F.collect_set("w").alias("set")), "signature-words")
+        wholes = written(full.select("h", "sig").distinct(), "signatures")
+        lacking = full.join(sets, ["h", "sig"]).select(id_col, F.filter("set", lambda w: ~has_word(F.col("text"), w)).alias("ws"))
+        minus = lacking.filter(F.size("ws") > 0)
+        own = F.array("w").alias("ws")
+        plus = one.join(wholes, ["h", "sig"], "left_semi").filter(has_word(F.col("text"), F.col("w"))).select(id_col, own)
+        others = sets.filter(F.size("set") > 1).select("h", "sig")
+        intersect = one.join(others, ["h", "sig"], "left_semi").filter(has_word(F.col("text"), F.col("w"))).select(id_col, own)
     else:
         # Rows so near lie in the same or in neighbouring stretches of the order: a frequent signature meets by stretch.
         stretch = F.floor(F.col("pos") / (nearest + 1))
@@ -73,10 +77,10 @@ def cross_words_of(df: DataFrame, id_col: str, text: str, tokens: str, nearest:
         b = one.select("h", "sig", F.col("w").alias("b_w"), F.col(id_col).alias("__b"), F.col("text").alias("b_text"), F.col("pos").alias("b_pos"), F.explode(F.array(*[F.col("at") + k for k in (-1, 0, 1)])).alias("at"))
         near = F.abs(F.col("pos") - F.col("b_pos")) <= nearest
         met = full.join(b, ["h", "sig", "at"]).filter(near)
-        minus = met.filter(~has_word(F.col("text"), F.col("b_w"))).select(id_col, F.col("b_w").alias("w"))
-        plus = met.filter(has_word(F.col("b_text"), F.col("b_w"))).select(F.col("__b").alias(id_col), F.col("b_w").alias("w"))
+        minus = met.filter(~has_word(F.col("text"), F.col("b_w"))).select(id_col, F.array("b_w").alias("ws"))
+        plus = met.filter(has_word(F.col("b_text"), F.col("b_w"))).select(F.col("__b").alias(id_col), F.array("b_w").alias("ws"))
         pairs = one.join(b, ["h", "sig", "at"]).filter(near & (F.col("w") != F.col("b_w")) & (F.col(id_col) != F.col("__b")))
-        intersect = pairs.filter(has_word(F.col("text"), F.col("w"))).select(id_col, "w")
+        intersect = pairs.filter(has_word(F.col("text"), F.col("w"))).select(id_col, F.array("w").alias("ws"))
     if not kinds or not set(KINDS) >= set(kinds):
         raise ValueError(f"kinds are some of {', '.join(KINDS)}")
     every = None
@@ -85,8 +89,8 @@ def cross_words_of(df: DataFrame, id_col: str, text: str, tokens: str, nearest:
             continue
         own = found.withColumn("kind", F.lit(kind))
         every = own if every is None else every.unionByName(own)
-    sets = every.groupBy(id_col).agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("w")))).alias(k) for k in kinds])
-    return sets
+    words = lambda k: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("kind") == k, F.col("ws"))))))
+    return every.groupBy(id_col).agg(*[words(k).alias(k) for k in kinds])
 
 
 def stemmed(df: DataFrame, id_col: str, tokens: str, language: str) -> DataFrame:
