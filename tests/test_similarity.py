@@ -1,0 +1,154 @@
+"""Tokens with symbols and boundaries, alignment of repeated lists, and lookups of frequent keys."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from wareknit.functions import scores
+from wareknit.operators import similarity
+from wareknit.plans import inputs
+from wareknit.plans.lookup import looked_up
+from wareknit.plans.rules import SimilarityRules, load_similarity_rules
+from wareknit.plans.scratch import written
+
+LETTERS = {"rus": ("а-яё", "А-ЯЁ"), "eng": ("a-z", "A-Z")}
+TOKEN = "array<struct<value: string, original: string, cls: int, weight: double>>"
+
+
+def eight_passes(text, rules):
+    """Every language and class: find, weigh, delete."""
+    out, text = [], text or ""
+    for lang, factor in rules.language_weights:
+        low, up = LETTERS[lang]
+        for kind, weight in rules.class_weights:
+            first = up if kind in ("caps", "capital") else up + low
+            rest = up if kind == "caps" else up + low
+            word = f"[{first}0-9][{rest}0-9{rules.symbols}]*"
+            edge = rules.custom_boundary or (r"\b" if rules.word_boundary else "")
+            rx = f"(?:{edge})({word})(?:{edge})" if edge else f"({word})"
+            spaced = ("  " + text + "  ").replace(" ", "   ")
+            out += [(w.lower(), w, weight * factor) for w in re.findall(rx, spaced) if kind == "other" or re.search(f"[{low}]", w.lower())]
+            text = re.sub(" +", " ", re.sub(rx, " ", spaced))
+    long = [t for t in out if len(t[0]) >= rules.word_min_length]
+    return [t for k, t in enumerate(long) if t[0] not in [u[0] for u in long[:k]]]
+
+
+OPTIONS = [{}, {"symbols": "-"}, {"symbols": "#.", "word_boundary": False}, {"custom_boundary": " "}, {"custom_boundary": "[ ,]", "symbols": "-"}, {"custom_boundary": r"(?:\s|$)"}]
+
+
+@pytest.mark.parametrize("options", OPTIONS)
+def test_tokens_by_eight_passes(spark, options):
+    rng = random.Random(str(options))
+    rules = SimilarityRules(class_weights=(("caps", 4), ("capital", 3), ("low", 2), ("other", 0.5)), language_weights=(("rus", 1), ("eng", 10)), **options)
+    parts = ["Foo", "BAR", "12", "abcд", "x-ray", "A-B", "Ёлка", "ёлка", "10мг", "#1", "a.b", "-", ",", "ОЛ", "3D", "d", " ", "É", "_x"]
+    texts = [None, "", "12 34", "12 ab 34", *("".join(rng.choice(parts) + rng.choice([" ", " ", "", ", ", "-"]) for _ in range(rng.randint(1, 8))) for _ in range(300))]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "id long, t string, tokens_text string")
+    for make in (similarity.with_tokens, lambda *a: similarity.staged_tokens(*a).withColumn("tokens", similarity.prepare_tokens(F.col("tokens"), 2))):
+        got = make(df, {"tokens": F.col("t")}, rules)
+        assert got.columns == [*df.columns, "tokens"]
+        for r in got.collect():
+            assert [(t.value, t.original, t.weight) for t in r.tokens] == eight_passes(r.t, rules), (r.t, options)
+
+
+def test_the_weight_of_other(spark):
+    """Letter-less words that a deletion has brought to light."""
+    rules = SimilarityRules(class_weights=(("caps", 1), ("capital", 1), ("low", 1), ("other", 7)), language_weights=(("eng", 1),), custom_boundary="[-,]")
+    df = spark.createDataFrame([("-a1-22,33-b1,",), ("-aa,11-22-",)], "t string")
+    got = [{t.original: t.weight for t in r.tokens} for r in similarity.with_tokens(df, {"tokens": F.col("t")}, rules).collect()]
+    assert got == [{w: x for _, w, x in eight_passes(t, rules)} for t in ("-a1-22,33-b1,", "-aa,11-22-")]
+
+
+def test_rules_with_options():
+    import json
+
+    from wareknit.plans.rules import SIMILARITY
+
+    rules = load_similarity_rules(json.dumps(SIMILARITY | {"symbols": "-", "custom_boundary": " "}))
+    assert (rules.symbols, rules.word_boundary, rules.custom_boundary) == ("-", True, " ")
+
+
+def brute_align(left, right, threshold):
+    values = [t[0] for t in right]
+    moved = []
+    for v, o, w in left:
+        if v not in values and right:
+            score, best = max(((scores.token_score(v, r), r) for r in set(values)), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+            ties = sorted(r for r in set(values) if scores.token_score(v, r) == score)
+            v = ties[0] if score >= 100 * threshold else v
+        moved.append((v, o, w))
+    heavy = {v: max(w for u, _, w in [*moved, *right] if u == v) for v, _, _ in [*moved, *right]}
+    return [(v, o, heavy[v]) for v, o, _ in moved], [(v, o, heavy[v]) for v, o, _ in right]
+
+
+def shown(tokens):
+    return [(t.value, t.original, t.weight) for t in tokens]
+
+
+def test_alignment_of_repeated_ids(spark):
+    """Rows of one id with different lists, equal lists under several ids, empty and null lists."""
+    rng, words = random.Random(2), "apple aple apples plum plums pear peer red reddish".split()
+    some = lambda: [(w, w.upper(), 0, float(rng.randint(1, 3))) for w in rng.sample(words, rng.randint(0, 4))]
+    fixed = [([("aple", "aple", 2, 1.0)], [("apple", "apple", 2, 1.0)]), ([("aple", "aple", 2, 1.0)], [("plum", "plum", 2, 1.0)])]
+    rows = [(1, *fixed[0]), (1, *fixed[1])] + [(rng.randint(0, 5), some(), some()) for _ in range(80)]
+    rows += rows[:20] + [(7, None, some()), (7, some(), None)]
+    df = spark.createDataFrame(rows, f"id long, l {TOKEN}, r {TOKEN}")
+    plain = lambda ts: [(t[0], t[1], t[3]) for t in ts or []]
+    want = sorted((i, *brute_align(plain(a), plain(b), 0.75)) for i, a, b in rows)
+    got = sorted((r.id, shown(r.l), shown(r.r)) for r in similarity.align_tokens(df, "l", "r").collect())
+    assert got == want
+
+
+def test_align_query_by_brute_force(spark, sf_dir):
+    """s4's rows on the smallest tables."""
+    import __spark_entry__ as entry
+
+    rules, pairs = load_similarity_rules(), inputs.pairs(spark, sf_dir).collect()
+    once = {}
+    for r in pairs:
+        if (r.client, r.source) not in once:
+            left, right = brute_align(eight_passes(r.client, rules), eight_passes(r.source, rules), 0.75)
+            once[r.client, r.source] = "|".join(v for v, *_ in left), "|".join(v for v, *_ in right)
+    key = lambda r: tuple(r[k] for k in inputs.PAIR_KEYS)
+    want = sorted((*key(r), *once[r.client, r.source]) for r in pairs)
+    assert sorted((*key(r), r.l, r.r) for r in entry.queries()["s4_align"](spark, sf_dir).collect()) == want
+
+
+def test_stems_query_by_brute_force(spark, sf_dir):
+    """w6's rows on the smallest tables."""
+    import __spark_entry__ as entry
+
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    words = {w.lower() for t in texts for w in re.findall(r"\b[A-Za-z]+\b", t)}
+    got = entry.queries()["w6_stems"](spark, sf_dir).collect()
+    assert {r.word: r.stem for r in got} == {w: scores.stem_english(w) for w in words} and len(got) == len(words) > 1_000
+
+
+def tasks_of(df):
+    return [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+
+
+def test_a_token_in_half_of_the_rows(spark):
+    """Rows of a frequent key find it where they lie: no task gets more than four times the median."""
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, "the").otherwise(F.concat(F.lit("w"), F.col("id") % 4_000)).alias("token")).repartition(8)
+    table = written(rows.groupBy("token").agg(F.count("*").alias("n")).withColumn("rate", F.length("token")), "rates")
+    got = looked_up(rows, table, ["token"], "n")
+    assert sorted(got.columns) == ["id", "n", "rate", "token"]
+    assert got.select("id", "token", "rate").exceptAll(rows.select("id", "token", F.length("token").alias("rate"))).count() == 0 and got.count() == 40_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = sorted(tasks_of(looked_up(rows, table, ["token"], "n")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sizes[-1] <= 4 * sizes[len(sizes) // 2]
+
+
+def test_a_pair_of_tokens_in_half_of_the_rows(spark):
+    rules = SimilarityRules(min_appearance=0)
+    rows = [(i, "aple" if i % 2 else f"aple w{i}x", "apple") for i in range(2_000)]
+    df = spark.createDataFrame(rows, "id long, client string, source string")
+    got = {r.id: r.client_mark for r in similarity.validate_similarity(df, "client", "source", rules).collect()}
+    assert len(got) == 2_000 and all(got[i] == 1 for i in range(1, 2_000, 2)) and all(got[i] < 1 for i in range(0, 2_000, 2))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The letters of a language.
 LETTERS = {"english": "a-z", "russian": "а-яё"}
 UPPER = {"english": "A-Z", "russian": "А-ЯЁ"}
 
@@ -42,7 +43,7 @@ class WordRule:
     @property
     def bounded(self) -> str:
         if self.custom_boundary:
-            return f"(?:{self.custom_boundary})({self.pattern})(?:{self.custom_boundary})"
+            return f"(?U)(?:{self.custom_boundary})({self.pattern})(?:{self.custom_boundary})"
         if self.word_boundary:
             return rf"(?U)\b({self.pattern})\b"
         return f"({self.pattern})"

@@ -1,14 +1,21 @@
 """Do two names carry the same measures? Features are struct<feature, unit, raw, canon>; canon is a plain decimal, a
-unit's name, or the sorted values of a dimension. All steps are narrow: a pair is decided where it lies."""
+unit's name, or the sorted values of a dimension.
+
+validate_features is narrow: a pair is decided where it lies. validate_names finds the features of each distinct name once,
+in a stored table that later batches extend, and compares what both sides of a pair have there.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareknit.functions.words import text_of
 from wareknit.operators.measures import ANY_CASE, plain_number
 from wareknit.plans.rules import Measure, MeasureRules, Unit
+from wareknit.plans.scratch import free_name, scratch, written
 
 #: Expressions of complex features. Separators of dimensions are case-sensitive, as weights of
 #: concentrations are: an upper-case unit has none, and the first that is found in their order counts.
@@ -160,3 +167,49 @@ def validate_features(pairs: DataFrame, client: str, source: str, rules: Measure
     lists = {f"{side}_features": F.concat(*[F.col(n[k]) for _, n in found_]) for side, k in (("client", "c"), ("source", "s"))}
     df = df.withColumns(lists | {"features validation": F.when(agree, 1).otherwise(0)})
     return df.drop(*[n for _, named in found_ for n in named.values()])
+
+
+STORED = "name string, rules string, features array<array<struct<feature: string, unit: string, raw: string, canon: string>>>"
+
+
+def rules_digest(rules: MeasureRules, blank_ignore_case: bool) -> str:
+    """Names the rules that stored features were found by."""
+    return hashlib.sha256(repr((rules.for_features(), blank_ignore_case)).encode()).hexdigest()
+
+
+def stored_features(names: DataFrame, rules: MeasureRules, path: str, blank_ignore_case: bool = False) -> DataFrame:
+    """name, features (an array for each measure, by priority) of the given names (name); what path doesn't have is added.
+
+    Only one job at a time may extend a path.
+    """
+    spark, digest = names.sparkSession, rules_digest(rules, blank_ignore_case)
+    spark.createDataFrame([], STORED).write.mode("append").parquet(path)
+    own = lambda: spark.read.schema(STORED).parquet(path).filter(F.col("rules") == digest)
+    # So many partitions, however small the names are: finding features is work for all cores.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = names.select(text_of("name").alias("name")).distinct()
+    new = written(asked.join(own().select("name"), "name", "left_anti"), "new-names").repartition(parts, "name")
+    found, named = extract_features(new, {"n": "name"}, rules, blank_ignore_case)
+    each = F.array(*[F.transform(F.col(columns["n"]), as_stored) for _, columns in named])
+    found.select("name", F.lit(digest).alias("rules"), each.alias("features")).write.mode("append").parquet(path)
+    return own().select("name", "features").join(asked, "name", "left_semi")
+
+
+def as_stored(f: Column) -> Column:
+    return F.struct(*[f[n].cast("string").alias(n) for n in ("feature", "unit", "raw", "canon")])
+
+
+def validate_names(pairs: DataFrame, client: str, source: str, rules: MeasureRules, blank_ignore_case: bool = False, path: str | None = None) -> DataFrame:
+    """As validate_features, for pairs whose names repeat. path: the table of name features, kept for later batches."""
+    path = path or scratch(pairs.sparkSession, "name-features")
+    c, s = (free_name(pairs, n) for n in ("client_name", "source_name"))
+    keyed = pairs.withColumns({c: text_of(client), s: text_of(source)})
+    once = written(keyed.select(F.col(c).alias("c"), F.col(s).alias("s")).distinct(), "name-pairs")
+    table = written(stored_features(once.select(F.explode(F.array("c", "s")).alias("name")), rules, path, blank_ignore_case), "features")
+    side = lambda n: table.select(F.col("name").alias(n), F.col("features").alias(f"{n}_features"))
+    both, agree = once.join(side("c"), "c").join(side("s"), "s"), F.lit(True)
+    for k, measure in enumerate(rules.for_features()):
+        agree &= decide(F.get("c_features", k), F.get("s_features", k), measure)
+    lists = [F.flatten(f"{n}_features").alias(f"{side}_features") for n, side in (("c", "client"), ("s", "source"))]
+    decided = written(both.select(F.col("c").alias(c), F.col("s").alias(s), *lists, F.when(agree, 1).otherwise(0).alias("features validation")), "decided-names")
+    return keyed.drop("client_features", "source_features", "features validation").join(decided, [c, s]).drop(c, s)

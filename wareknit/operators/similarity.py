@@ -1,7 +1,8 @@
 """How alike are two names? Rarity-weighted Jaccard after fuzzy alignment of tokens.
 
-Token rates are counted over both columns of the whole batch; counts and lookups pre-aggregate before they shuffle.
-Fuzzy scores are computed once for each distinct pair of tokens.
+Token rates are counted over both columns of the whole batch; counts pre-aggregate before they shuffle. Fuzzy scores are
+computed once for each distinct pair of tokens. Rates and scores are stored with their counts, so that the rows of frequent
+tokens and pairs of tokens find them without a shuffle.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wareknit.functions.scores import token_similarity
-from wareknit.functions.words import LETTERS, UPPER, text_of
+from wareknit.functions.words import LETTERS, UPPER, WordRule, extract_words, text_of
+from wareknit.plans.lookup import looked_up
 from wareknit.plans.rules import SimilarityRules
-from wareknit.plans.scratch import written
+from wareknit.plans.scratch import free_name, written
 
 LANGUAGES = {"rus": "russian", "eng": "english"}
 CLASSES = ("caps", "capital", "low", "other")
@@ -48,6 +50,43 @@ def weighted_tokens(col: str | Column, rules: SimilarityRules) -> Column:
     return F.transform(F.concat(*out), lambda t: F.struct(t["value"].alias("value"), t["original"].alias("original"), t["cls"].alias("cls"), t["weight"].alias("weight")))
 
 
+def staged_tokens(df: DataFrame, columns: dict[str, Column], rules: SimilarityRules) -> DataFrame:
+    """df with tokens (as of weighted_tokens) of each column's text, by the rules' symbols and boundaries.
+
+    For each language and class in turn, words are found and deleted, and what is left goes to the next: a custom boundary
+    is used up with its word, and "other" takes words without a letter, where a deletion has brought any to light. Each
+    text is a column of its own select, so that it is computed once.
+    """
+    weights, parts, text = dict(rules.class_weights), {n: [] for n in columns}, {n: free_name(df, f"{n}_text") for n in columns}
+    df = df.withColumns({text[n]: text_of(c) for n, c in columns.items()})
+    for key, weight in rules.language_weights:
+        for cls, kind in enumerate(CLASSES):
+            rule = WordRule(LANGUAGES[key], {"caps": "caps", "capital": "capital"}.get(kind, "any"), True, rules.symbols, rules.word_boundary, rules.custom_boundary, kind != "other")
+
+            def token(w: Column) -> Column:
+                share = F.lit(float(weights[kind]) * weight)  # noqa: B023
+                return F.struct(F.lower(w).alias("value"), w.alias("original"), F.lit(cls).alias("cls"), share.alias("weight"))  # noqa: B023
+
+            new, after = {}, {}
+            for n in columns:
+                # Blanks are widened, so that two words never share one as their boundary.
+                spaced = F.replace(F.concat(F.lit("  "), F.col(text[n]), F.lit("  ")), F.lit(" "), F.lit("   "))
+                parts[n].append(own := free_name(df, f"{n}_{key}_{kind}"))
+                new[own] = F.transform(extract_words(spaced, rule), token)
+                after[text[n]] = F.regexp_replace(F.regexp_replace(spaced, rule.bounded, " "), " +", " ")
+            df = df.withColumns(new | after)
+    df = df.withColumns({n: F.concat(*[F.col(p) for p in parts[n]]) for n in columns})
+    return df.drop(*text.values(), *[p for ps in parts.values() for p in ps])
+
+
+def with_tokens(df: DataFrame, columns: dict[str, Column], rules: SimilarityRules) -> DataFrame:
+    """df with the prepared tokens of each column's text. Without symbols and with plain boundaries, one search does."""
+    if rules.symbols or rules.custom_boundary or not rules.word_boundary:
+        df = staged_tokens(df, columns, rules)
+        return df.withColumns({n: prepare_tokens(F.col(n), rules.word_min_length) for n in columns})
+    return df.withColumns({n: prepare_tokens(weighted_tokens(c, rules), rules.word_min_length) for n, c in columns.items()})
+
+
 def prepare_tokens(tokens: Column, min_length: int) -> Column:
     """Tokens of min_length letters or more; of equal values the first."""
     long = F.filter(tokens, lambda t: F.length(t["value"]) >= min_length)
@@ -55,21 +94,36 @@ def prepare_tokens(tokens: Column, min_length: int) -> Column:
     return F.filter(long, lambda t, i: F.array_position(values, t["value"]) == i + 1)
 
 
-def align_tokens(pairs: DataFrame, id_col: str, left: str, right: str, threshold: float = 0.75) -> DataFrame:
+def align_tokens(pairs: DataFrame, left: str, right: str, threshold: float = 0.75) -> DataFrame:
     """pairs with left tokens' values replaced by those of their best right tokens.
 
     A token that stands on the right as it is stays; else the best-scoring right token, the smallest of equal ones,
-    takes its place if it scores threshold or more. Matched tokens share the larger weight.
+    takes its place if it scores threshold or more. Matched tokens share the larger weight. Equal pairs of lists are
+    aligned once; a null list is an empty one.
     """
+    number, own, other = (free_name(pairs, n) for n in ("lists", "own_left", "own_right"))
+    empty = lambda c: F.coalesce(c, F.array().cast(pairs.schema[c].dataType))
+    keyed = pairs.withColumns({left: empty(left), right: empty(right)})
+    # Written once: the numbers of a second evaluation could differ.
+    lists = written(keyed.select(left, right).distinct().withColumn(number, F.monotonically_increasing_id()), "token-lists")
+    moved = align_lists(lists, number, left, right, threshold)
+    aligned = written(lists.withColumnsRenamed({left: own, right: other}).join(moved, number).drop(number), "aligned-lists")
+    both = keyed.withColumnsRenamed({left: own, right: other}).join(aligned, [own, other])
+    return both.select(*pairs.columns)
+
+
+def align_lists(pairs: DataFrame, id_col: str, left: str, right: str, threshold: float = 0.75) -> DataFrame:
+    """align_tokens for pairs whose id_col is their own."""
     open_ = pairs.select(id_col, F.explode(left).alias("l"), F.col(right).alias("r")).filter(~F.exists("r", lambda t: t["value"] == F.col("l.value")))
     both = open_.select(id_col, F.col("l.value").alias("lv"), F.explode("r").alias("t")).select(id_col, "lv", F.col("t.value").alias("rv"))
     # A score is at most what the lengths allow: whole texts in common, or a share of a whole substring.
     a, b = F.length("lv"), F.length("rv")
     short, long = F.least(a, b), F.greatest(a, b)
     most = F.greatest(F.round(200 * short / (a + b)), F.when(long < 1.5 * short, 0).when(long <= 8 * short, 90).otherwise(60))
-    distinct = both.select("lv", "rv").distinct().filter((short == 0) | (most >= 100 * threshold))
-    scores = distinct.withColumn("score", token_similarity(F.col("lv"), F.col("rv"))).filter(F.col("score") >= 100 * threshold)
-    best = both.join(scores, ["lv", "rv"]).groupBy(id_col, "lv").agg(F.min(F.struct((-F.col("score")).alias("s"), "rv")).alias("b"))
+    possible = both.filter((short == 0) | (most >= 100 * threshold))
+    scores = possible.groupBy("lv", "rv").agg(F.count("*").alias("n")).withColumn("score", token_similarity(F.col("lv"), F.col("rv")))
+    found = looked_up(possible, written(scores, "token-scores"), ["lv", "rv"], "n").filter(F.col("score") >= 100 * threshold)
+    best = found.groupBy(id_col, "lv").agg(F.min(F.struct((-F.col("score")).alias("s"), "rv")).alias("b"))
     maps = best.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lv", F.col("b.rv").alias("rv")))).alias("__to"))
     joined = pairs.join(maps, id_col, "left")
     to = lambda t: F.coalesce(F.try_element_at(F.coalesce(F.col("__to"), F.create_map().cast("map<string,string>")), t["value"]), t["value"])
@@ -118,13 +172,16 @@ def token_rates(counts: DataFrame, rules: SimilarityRules) -> DataFrame:
 
 
 def pair_marks(pairs: DataFrame, id_col: str, left: str, right: str, rates: DataFrame) -> DataFrame:
-    """id_col, union_mark, client_mark, source_mark: common weight over that of both, of the left, of the right."""
+    """id_col, union_mark, client_mark, source_mark: common weight over that of both, of the left, of the right.
+
+    rates: token, n, rate; a stored table, since it is read for frequent and for other tokens.
+    """
 
     def tokens(col: str, side: int) -> DataFrame:
         return pairs.select(id_col, F.explode(col).alias("t")).select(id_col, F.col("t.value").alias("token"), F.col("t.weight").alias("weight"), F.lit(side).alias("side"))
 
     every = tokens(left, 1).unionByName(tokens(right, 2)).groupBy(id_col, "token").agg(F.max("weight").alias("weight"), F.max((F.col("side") == 1).cast("int")).alias("l"), F.max((F.col("side") == 2).cast("int")).alias("r"))
-    weighed = every.join(rates.select("token", "rate"), "token").withColumn("w", F.col("rate") * F.col("weight"))
+    weighed = looked_up(every, rates.select("token", "n", "rate"), ["token"], "n").withColumn("w", F.col("rate") * F.col("weight"))
     sums = weighed.groupBy(id_col).agg(*[F.sum(F.when(c, F.col("w")).otherwise(0.0)).alias(n) for n, c in (("both", (F.col("l") + F.col("r")) == 2), ("of_l", F.col("l") == 1), ("of_r", F.col("r") == 1), ("of_all", F.lit(True)))])
     mark = lambda base: F.when(F.col(base) > 0, F.col("both") / F.col(base)).otherwise(0.0)
     return sums.select(id_col, mark("of_all").alias("union_mark"), mark("of_l").alias("client_mark"), mark("of_r").alias("source_mark"))
@@ -154,12 +211,12 @@ def validate_similarity(
     keyed = pairs.withColumns({"__client": text_of(client), "__source": text_of(source)})
     # Written once: the numbers of a second evaluation could differ.
     once = written(keyed.groupBy("__client", "__source").agg(F.count("*").alias("__n")).withColumn("__id", F.monotonically_increasing_id()), "name-pairs")
-    tokens = {f"__{s}": prepare_tokens(weighted_tokens(clean_names(c), rules), rules.word_min_length) for s, c in (("l", "__client"), ("r", "__source"))}
-    df = once.select("__id", "__n", *[c.alias(n) for n, c in tokens.items()])
+    df = with_tokens(once, {"__l": clean_names("__client"), "__r": clean_names("__source")}, rules).select("__id", "__n", "__l", "__r")
     if fuzzy_threshold < 1:
-        df = align_tokens(df, "__id", "__l", "__r", fuzzy_threshold)
+        df = align_lists(written(df, "token-lists"), "__id", "__l", "__r", fuzzy_threshold)
     df = written(df, "aligned")
-    marks = pair_marks(df, "__id", "__l", "__r", token_rates(token_counts(df, ["__l", "__r"], F.col("__n")), rules))
+    rates = written(token_rates(token_counts(df, ["__l", "__r"], F.col("__n")), rules), "token-rates")
+    marks = pair_marks(df, "__id", "__l", "__r", rates)
     names = list(MARKS.values()) if mode == "multiple" else [MARKS[mode]]
     own = once.join(marks, "__id", "left").select("__client", "__source", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
     out = keyed.join(own, ["__client", "__source"]).drop("__client", "__source")

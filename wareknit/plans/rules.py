@@ -231,12 +231,15 @@ class SimilarityRules:
     min_appearance: int = 2
     min_appearance_penalty: float = 0
     rate_function: str = "sqrt2"
+    symbols: str = ""  # may stand inside words, not first
+    word_boundary: bool = True
+    custom_boundary: str = ""  # an expression that must match on either side of a word
 
 
 def load_similarity_rules(text: str | None = None) -> SimilarityRules:
     data = json.loads(text) if text else SIMILARITY
     r = data["ratio"]
-    return SimilarityRules(data["word_min_lenght"], tuple(data["regex_weights"].items()), tuple(data["language_weights"].items()), r["min_ratio"], r["max_ratio"], r["min_appearance"], r["min_appearance_penalty"], r["rate_func"])
+    return SimilarityRules(data["word_min_lenght"], tuple(data["regex_weights"].items()), tuple(data["language_weights"].items()), r["min_ratio"], r["max_ratio"], r["min_appearance"], r["min_appearance_penalty"], r["rate_func"], data.get("symbols", ""), data.get("word_boundary", True), data.get("custom_boundary", ""))
 
 
 def ratio(own: int, other: int) -> Decimal:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from wareknit.functions import words as W
 from wareknit.operators import cross, features, match, measures, offers, similarity
 from wareknit.plans import inputs
 from wareknit.plans.inputs import CATALOG_SQL, PAIR_KEYS, PAIRS_SQL, RULES_SQL
-from wareknit.plans.rules import Measure, SimilarityRules, load_similarity_rules, shipped_rules
+from wareknit.plans.rules import Measure, MeasureRules, SimilarityRules, Unit, load_measure_rules, load_similarity_rules, shipped_rules
 from wareknit.sources.tables import read_products, write_result
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,15 +115,15 @@ def sql_unit_regex(text: str, measure: Measure, unit) -> str:
     return f"CASE WHEN regexp_matches('  ' || coalesce({text}, '') || '  ', {re2('(?i)' + unit.search)}) THEN {q('(?=.*(' + unit.search + '))')} ELSE '' END"
 
 
-def sql_regex(table: str, text: str, keep: str) -> str:
+def sql_regex(table: str, text: str, keep: str, rules: MeasureRules = RULES) -> str:
     """SELECT keep and the whole expression of text."""
     columns, names = [], []
-    for m in RULES.for_regexes():
+    for m in rules.for_regexes():
         for u in sorted(m.units, key=lambda u: u.weight):
             names.append((m, u, f"u{len(names)}"))
             columns.append(f"{sql_unit_regex(text, m, u)} AS {names[-1][2]}")
     excluded = []
-    for m in RULES.for_regexes():
+    for m in rules.for_regexes():
         if m.exclude:
             none = " AND ".join(f"{n} = ''" for mm, _, n in names if mm is m)
             excluded.append(f"CASE WHEN {none} THEN {q(measures.exclusion_pattern(m))} ELSE '' END")
@@ -269,15 +270,10 @@ def sql_validation(columns: str) -> str:
  SELECT {columns.format(agree=agree)} FROM p JOIN f c ON p.client = c.name JOIN f s ON p.source = s.name"""
 
 
-def distinct_validation(pairs: DataFrame, rules=RULES) -> DataFrame:
-    """Pairs with their validation; equal pairs of names are decided once."""
-    once = features.validate_features(pairs.select("client", "source").distinct(), "client", "source", rules)
-    return pairs.join(once, ["client", "source"])
-
-
 @query(sql_validation(f"{KEYS}, CASE WHEN {{agree}} THEN 1 ELSE 0 END AS decision"))
 def f5_f8_validate_features(spark, sf_dir):
-    return distinct_validation(inputs.pairs(spark, sf_dir)).select(*PAIR_KEYS, F.col("features validation").alias("decision"))
+    decided = features.validate_names(inputs.pairs(spark, sf_dir), "client", "source", RULES)
+    return decided.select(*PAIR_KEYS, F.col("features validation").alias("decision"))
 
 
 ONE = lambda kind: next(m for m in RULES.measures if m.kind == kind)
@@ -345,22 +341,49 @@ def sql_tokens(col: str) -> str:
     return f"list_filter({low}, lambda w, i: list_position({low}, w) = i)"
 
 
-@query(f"SELECT {KEYS}, array_to_string({sql_tokens('client')}, '|') AS tokens FROM {PAIRS_SQL}")
+def values(col: str):
+    return F.array_join(F.transform(col, lambda t: t["value"]), "|").alias(col)
+
+
+def sides():
+    return {"l": similarity.clean_names("client"), "r": similarity.clean_names("source")}
+
+
+@query(f"SELECT {KEYS}, array_to_string({sql_tokens('client')}, '|') AS l, array_to_string({sql_tokens('source')}, '|') AS r FROM {PAIRS_SQL}")
 def s2_s3_tokens(spark, sf_dir):
-    tokens = similarity.prepare_tokens(similarity.weighted_tokens(similarity.clean_names("client"), SIM), SIM.word_min_length)
-    return inputs.pairs(spark, sf_dir).select(*PAIR_KEYS, F.array_join(F.transform(tokens, lambda t: t["value"]), "|").alias("tokens"))
+    return similarity.with_tokens(inputs.pairs(spark, sf_dir), sides(), SIM).select(*PAIR_KEYS, values("l"), values("r"))
+
+
+# Words with symbols inside, between blanks: eight searches, each of which deletes what it finds.
+STAGED = SimilarityRules(symbols="#-", custom_boundary=" ")
+STAGED_TEXT = "p_brand || ' ' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) || ' ' || name || '-X ' || p_type || ' ' || size_name"
+CLASS_CASES = (("caps", True), ("capital", True), ("any", True), ("any", False))
+
+
+def sql_staged(text: str) -> str:
+    sql, names = f"SELECT p_partkey, {text} AS t FROM (SELECT *, {inputs.NAME} AS name, {inputs.SIZES} AS size_name FROM part)", []
+    for language in ("russian", "english"):
+        for case, letters in CLASS_CASES:
+            rule = W.WordRule(language, case, True, STAGED.symbols, custom_boundary=STAGED.custom_boundary)
+            keep = f"regexp_matches(lower(w), '[{rule.letters}]')" if letters else "true"
+            names.append(f"w{len(names)}")
+            found = f"list_filter(regexp_extract_all(s, {re2(rule.bounded)}, 1), lambda w: {keep}) AS {names[-1]}"
+            left = f"regexp_replace(regexp_replace(s, {re2(rule.bounded)}, ' ', 'g'), ' +', ' ', 'g') AS t"
+            sql = f"SELECT p_partkey, {', '.join([*names[:-1], found, left])} FROM (SELECT *, replace('  ' || t || '  ', ' ', '   ') AS s FROM ({sql}))"
+    low = f"list_filter(list_transform({'list_concat(' * (len(names) - 1)}{names[0]}{''.join(f', {n})' for n in names[1:])}, lambda w: lower(w)), lambda w: length(w) >= 2)"
+    return f"SELECT p_partkey, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), '|') AS tokens FROM (SELECT p_partkey, {low} AS w FROM ({sql}))"
 
 
-def keyed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.pairs(spark, sf_dir).withColumn("pair_id", F.concat_ws("-", *PAIR_KEYS))
+@query(sql_staged(STAGED_TEXT))
+def s2_staged_tokens(spark, sf_dir):
+    parts = inputs.table(spark, sf_dir, "part").withColumns({"name": F.expr(inputs.NAME), "size_name": F.expr(inputs.SIZES)})
+    return similarity.with_tokens(parts, {"tokens": F.expr(STAGED_TEXT)}, STAGED).select("p_partkey", values("tokens"))
 
 
 @query()
 def s4_align(spark, sf_dir):
-    tokens = lambda c: similarity.prepare_tokens(similarity.weighted_tokens(similarity.clean_names(c), SIM), SIM.word_min_length)
-    df = keyed_pairs(spark, sf_dir).select(*PAIR_KEYS, "pair_id", tokens("client").alias("l"), tokens("source").alias("r"))
-    show = lambda c: F.array_join(F.transform(c, lambda t: t["value"]), "|")
-    return similarity.align_tokens(df, "pair_id", "l", "r").select(*PAIR_KEYS, show("l").alias("l"), show("r").alias("r"))
+    df = similarity.with_tokens(inputs.pairs(spark, sf_dir), sides(), SIM)
+    return similarity.align_tokens(df, "l", "r").select(*PAIR_KEYS, values("l"), values("r"))
 
 
 RATES_SQL = f"""WITH p AS (SELECT {KEYS}, {sql_tokens('client')} AS a, {sql_tokens('source')} AS b FROM {PAIRS_SQL}),
@@ -482,7 +505,42 @@ def r8_strict_score(spark, sf_dir):
     return scored.select(*PAIR_KEYS, F.round("validation_mark", 6).alias("validation_mark"))
 
 
-# Sources.
+# Sources. Rules as a user's file has them, and what they mean: the SQL is written from the latter.
+def json_unit(name: str, symbol: str, weight: int, **other) -> dict:
+    usual = {"prefix": "common", "postfix": "common", "max_count": "common", "search_mode": "behind", "use_it": True}
+    return {"unit_name": name, "symbol": symbol, "relative_weight": weight} | usual | other
+
+
+def json_measure(name: str, units: list[dict], **other) -> dict:
+    data = {"common_prefix": "[^0-9]", "common_postfix": "", "common_max_count": 2, "special_value_search": None, "units": units}
+    return {"measure_name": name, "SemantiX": {"merge_mode": "1", "exclude_rx": False, "use_it": True} | other, "FeatureFlow": {"use_it": False}, "measure_data": data}
+
+
+JSON_RULES = {
+    "numeric_measures": {
+        "use_it": True,
+        "measures": [
+            json_measure("Weight", [json_unit("Gram", "gr?", 1, postfix="[^a-z]"), json_unit("Kilogram", "kg", 1000, max_count=1), json_unit("Ton", "t", 1000000, use_it=False)], merge_mode="overall"),
+            json_measure("Volume", [json_unit("Millilitre", "ml", 1), json_unit("Litre", "l", 1000, postfix="[^a-z]")], merge_mode="none"),
+            json_measure("Memory", [json_unit("Gigabyte", "gb", 1)], use_it=False),
+        ],
+    },
+    "string_measures": {"use_it": True, "measures": [json_measure("Colour", [json_unit("Red", "red", 1), json_unit("Blue", "blue", 1)])]},
+}
+READ_RULES = MeasureRules((
+    Measure("Weight", "numeric", (Unit("Gram", "gr?", 1, "[^0-9]", "[^a-z]", "behind", 2), Unit("Kilogram", "kg", 1000, "[^0-9]", "", "behind", 1)), "overall", in_features=False),
+    Measure("Volume", "numeric", (Unit("Millilitre", "ml", 1, "[^0-9]", "", "behind", 2), Unit("Litre", "l", 1000, "[^0-9]", "[^a-z]", "behind", 2)), "none", in_features=False),
+    Measure("Colour", "string", (Unit("Red", "red", 1, "[^0-9]", "", "behind", 2, ""), Unit("Blue", "blue", 1, "[^0-9]", "", "behind", 2, "")), "1", in_features=False),
+))
+
+
+@query(sql_regex(CATALOG_SQL, "name", "p_partkey", READ_RULES))
+def io3_rules(spark, sf_dir):
+    """Expressions by rules from JSON: common values, own ones, units and measures that are switched off."""
+    rules = load_measure_rules(json.dumps(JSON_RULES))
+    return measures.extract_measures(inputs.catalog(spark, sf_dir), "name", rules, regex_col="regex").select("p_partkey", "regex")
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand FROM part")
 def io1_io2_csv(spark, sf_dir):
     from wareknit.plans.scratch import scratch
