@@ -87,7 +87,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, collapse_
         collapse_space = bpe(path).lower
     version = F.lit(tokenizer_version(path))
     text = whole_text(text_col)
-    # Both halves of the digest: the content and its length.
+    # The digest is that of the content; with the tokenizer's version it is the key of a stored count.
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), content(text, collapse_space).alias("content"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
     stored = read_cache(spark, cache).filter(F.col("version") == version).select("digest", "n_tokens")

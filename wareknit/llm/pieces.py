@@ -9,6 +9,8 @@ Pieces hold no word mark after another character, so that each run of word marks
 itself and, if short, kept in a bounded memo of the worker. Two or more word marks in a row have pieces of one score
 only, which are merged leftmost first (with a heap, as pieces themselves are once, in time n log n).
 
+Models that this doesn't hold for, and those with pieces set by a user (which are never merged), are refused.
+
 Edge cases: a null or empty text has the end id alone and decodes to an empty text; characters without a piece
 become byte pieces; repeated rows give repeated results; an empty table gives an empty result; other columns of the
 input are not read.
@@ -34,6 +36,31 @@ MARK = "▁"
 PAIRS = 400_000
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of a protocol buffer message's fields."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value, shift, at = value | (message[at] & 127) << shift, shift + 7, at + 1
+            if message[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(message):
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            value, at = varint(at)
+        else:
+            size, at = {1: (8, at), 5: (4, at)}.get(tag & 7) or varint(at)
+            value, at = message[at : at + size], at + size
+        yield tag >> 3, value
+
+
+#: Fixed values of the model file's format: the field of a piece, that of its type, and the type of a piece that a user has set.
+PIECE_FIELD, TYPE_FIELD, USER_DEFINED = 1, 3, 4
+
+
 class PieceModel:
     """The vocabulary of a .model file, its automaton and the compatibility test of neighbouring tokens."""
 
@@ -62,6 +89,10 @@ class PieceModel:
             raise ValueError("the model has no byte pieces")
         if any(MARK in p.lstrip(MARK) for p in self.id_of):
             raise ValueError("a piece holds a word mark after another character")
+        if len({score[p] for p in score if len(p) > 1 and not p.strip(MARK)}) > 1:
+            raise ValueError("pieces of word marks alone have different scores")
+        if any((TYPE_FIELD, USER_DEFINED) in fields(piece) for number, piece in fields(sp.serialized_model_proto()) if number == PIECE_FIELD):
+            raise ValueError("the model has user-defined pieces")
         # A higher score merges first; single characters are there from the start.
         self.rank = {p: (-score[p] if len(p) > 1 else float("-inf")) for p in self.id_of}
         self.single = {p for p in self.id_of if len(p) == 1}
