@@ -310,6 +310,35 @@ def f4_concentrations(spark, sf_dir):
     return inputs.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda f: f["canon"]), "|").alias("canon"))
 
 
+# Dimensions in several shapes: units on some sides, both scripts' signs, two and three values; a value without a unit has the
+# last one stated, or centimetres. SQL states the values that each shape means.
+A, B, C = "CAST(p_size AS VARCHAR(10))", "CAST(p_partkey % 50 + 1 AS VARCHAR(10))", "CAST(p_partkey % 7 + 1 AS VARCHAR(10))"
+SHAPES = f"CASE p_partkey % 5 WHEN 0 THEN {A} || 'см x ' || {B} || 'мм' WHEN 1 THEN {A} || '.5м на ' || {B} WHEN 2 THEN {A} || 'х' || {B} || 'х' || {C} WHEN 3 THEN {A} || 'mm x ' || {B} || 'м x ' || {C} ELSE {A} || ' cm на ' || {B} || ' cm' END"
+SHAPE_VALUES = "CASE p_partkey % 5 WHEN 0 THEN [p_size * 0.01, b * 0.001] WHEN 1 THEN [p_size + 0.5, b * 1.0] WHEN 2 THEN [p_size * 0.01, b * 0.01, c * 0.01] WHEN 3 THEN [p_size * 0.001, b * 1.0, c * 1.0] ELSE [p_size * 0.01, b * 0.01] END"
+
+
+@query(
+    f"SELECT p_partkey, array_to_string(list_transform(list_sort(list_distinct(list_transform({SHAPE_VALUES}, lambda v: CAST(v AS DECIMAL(20,6))))), lambda v: {sql_plain('v')}), 'x') AS canon"
+    " FROM (SELECT *, p_partkey % 50 + 1 AS b, p_partkey % 7 + 1 AS c FROM part)"
+)
+def f3_dimension_shapes(spark, sf_dir):
+    found = features.dimension_features(F.concat(F.col("p_name"), F.lit(" "), F.expr(SHAPES), F.lit(" ")))
+    return inputs.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda f: f["canon"]), "|").alias("canon"))
+
+
+# Concentrations: percent, mass over a volume without a number, over one with a number, in several units.
+BOTTOM = "(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 5 END)"
+STRENGTHS = f"CASE p_partkey % 5 WHEN 0 THEN {A} || ',5 %' WHEN 1 THEN {A} || 'г/л' WHEN 2 THEN {A} || ' мкг/мл' WHEN 3 THEN {A} || 'мг/' || CAST({BOTTOM} AS VARCHAR(10)) || ' мл' ELSE {A} || 'г' || chr(92) || CAST({BOTTOM} AS VARCHAR(10)) || 'л' END"
+STRENGTH_VALUES = f"CASE p_partkey % 5 WHEN 1 THEN p_size * 0.1 WHEN 2 THEN p_size * 0.0001 WHEN 3 THEN p_size * 0.1 / {BOTTOM} ELSE p_size * 0.1 / {BOTTOM} END"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE {sql_plain(f'CAST({STRENGTH_VALUES} AS DECIMAL(24,8))')} END AS numeric_canon, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS VARCHAR) || '.5' ELSE '' END AS percent_canon FROM part")
+def f4_concentration_shapes(spark, sf_dir):
+    text = F.concat(F.col("p_name"), F.lit(" "), F.expr(STRENGTHS), F.lit(" "))
+    shown = lambda percent: F.array_join(F.transform(features.concentration_features(text, percent), lambda f: f["canon"]), "|")
+    return inputs.table(spark, sf_dir, "part").select("p_partkey", shown(False).alias("numeric_canon"), shown(True).alias("percent_canon"))
+
+
 TOKENS_SQL = "list_sort(list_distinct(regexp_extract_all(lower({}), '[а-яa-z0-9][а-яa-z0-9-]+')))"
 
 
