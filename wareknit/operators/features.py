@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wareknit.functions.words import text_of
 from wareknit.operators.measures import ANY_CASE, plain_number
 from wareknit.plans.rules import Measure, MeasureRules, Unit
-from wareknit.plans.scratch import free_name, scratch, written
+from wareknit.plans.scratch import free_name, scratch, spread, written
 
 #: Expressions of complex features. Separators of dimensions are case-sensitive, as weights of
 #: concentrations are: an upper-case unit has none, and the first that is found in their order counts.
@@ -185,10 +185,8 @@ def stored_features(names: DataFrame, rules: MeasureRules, path: str, blank_igno
     spark, digest = names.sparkSession, rules_digest(rules, blank_ignore_case)
     spark.createDataFrame([], STORED).write.mode("append").parquet(path)
     own = lambda: spark.read.schema(STORED).parquet(path).filter(F.col("rules") == digest)
-    # So many partitions, however small the names are: finding features is work for all cores.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = names.select(text_of("name").alias("name")).distinct()
-    new = written(asked.join(own().select("name"), "name", "left_anti"), "new-names").repartition(parts, "name")
+    new = spread(written(asked.join(own().select("name"), "name", "left_anti"), "new-names"), "name")
     found, named = extract_features(new, {"n": "name"}, rules, blank_ignore_case)
     each = F.array(*[F.transform(F.col(columns["n"]), as_stored) for _, columns in named])
     found.select("name", F.lit(digest).alias("rules"), each.alias("features")).write.mode("append").parquet(path)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wareknit.functions.words import text_of
 from wareknit.operators.measures import ANY_CASE, extract_measures, in_unit, matched_numbers, matches, padded, unit_matches
 from wareknit.plans.rules import Measure, MeasureRules, Unit
-from wareknit.plans.scratch import written
+from wareknit.plans.scratch import spread, written
 
 KEY = "struct<unit: int, number: string>"
 #: Numbers of expressions are decimals of 38 digits at most.
@@ -98,12 +98,12 @@ def demanded(name: str, rules: MeasureRules) -> Column:
 
 def match_catalogue(clients: DataFrame, client_col: str, sources: DataFrame, source_col: str, rules: MeasureRules) -> Matched:
     """All pairs of a class of client names and a source name that satisfies the class's expression; nulls are empty names."""
-    names = clients.select(text_of(client_col).alias("client")).distinct()
+    names = spread(clients.select(text_of(client_col).alias("client")).distinct(), "client")
     named = extract_measures(names.withColumn("looks", demanded("client", rules)), "client", rules, regex_col="regex")
     named = written(named.select("client", "regex", "looks"), "client-classes")
     classes = written(named.groupBy("regex").agg(F.first("looks").alias("looks")), "classes")
     offers = written(sources.select(text_of(source_col).alias("source")).distinct(), "source-names")
-    index = written(source_index(offers, rules), "source-index")
+    index = written(source_index(spread(offers, "source"), rules), "source-index")
     often = written(index.groupBy("unit", "number").agg(F.count("*").alias("n")), "source-counts")
     looks = classes.select("regex", F.posexplode("looks").alias("look", "keys")).select("regex", "look", F.explode("keys").alias("k")).select("regex", "look", "k.unit", "k.number")
     costs = looks.join(often, ["unit", "number"], "left").groupBy("regex", "look").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wareknit.functions.words import text_of
 from wareknit.plans.rules import VALUE, Measure, MeasureRules, Unit, ratio
+from wareknit.plans.scratch import spread
 
 ANY_CASE = "(?iuU)"
 #: How an exclusion begins, alone and inside a whole expression.
@@ -156,7 +157,7 @@ def match_names(pairs: DataFrame, client: str, source: str, rules: MeasureRules,
     """
     keyed = pairs.withColumns({"__client": text_of(client), "__source": text_of(source)})
     once = keyed.select("__client", "__source").distinct()
-    regexes = extract_measures(once.select("__client").distinct(), "__client", rules, regex_col="__regex")
+    regexes = extract_measures(spread(once.select("__client").distinct(), "__client"), "__client", rules, regex_col="__regex")
     decided = match_regex(once.join(regexes, "__client"), "__source", "__regex", name).select("__client", "__source", name)
     return keyed.join(decided, ["__client", "__source"]).drop("__client", "__source")
 

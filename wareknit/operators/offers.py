@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from wareknit.functions.scores import partial_ratio
 from wareknit.functions.words import text_of
 from wareknit.operators.measures import ANY_CASE, LOOKAHEAD
-from wareknit.plans.scratch import free_name, written
+from wareknit.plans.scratch import free_name, spread, written
 
 RULE_COLUMNS = ("plus_words", "minus_words", "regex")
 LISTS = {"minus": "minus_words", "plus": "plus_words", "regex": "regex"}
@@ -129,7 +129,7 @@ def decided(offers: DataFrame, catalog: DataFrame, checked: Checked, text_col: s
     rule, row = free_name(offers, "rule_number"), free_name(offers, "row")
     joined = numbered(offers, catalog, checked, left_on, right_on, rule).withColumn(row, text_of(text_col))
     once = written(joined.select(F.col(row).alias("row"), F.col(rule).alias("rule")).filter("rule is not null").distinct(), "offer-texts")
-    found = decide(once.join(checked.rules, "rule").sortWithinPartitions("rule"))
+    found = decide(spread(once.join(checked.rules, "rule"), "row", "rule").sortWithinPartitions("rule"))
     # Written, so that the join back is one of two plain tables, whose frequent keys Spark can split.
     found = written(found.withColumnsRenamed({"row": row, "rule": rule}), "decided-offers")
     return joined.join(found, [row, rule], "left").drop(row, rule)
@@ -212,7 +212,7 @@ def with_fuzzy_hits(df: DataFrame, kind: str) -> DataFrame:
     """df (row, rule, l_kind, …) with the sum of the words' scores; each distinct word and row text is scored once."""
     words = df.select("row", "rule", F.explode(f"l_{kind}").alias("w"))
     # Written: a word that all rules of a row share is a frequent key of the join.
-    scores = written(words.select("row", "w").distinct().withColumn("s", partial_ratio(F.col("w"), F.col("row")) / 100), "word-scores")
+    scores = written(spread(words.select("row", "w").distinct(), "row", "w").withColumn("s", partial_ratio(F.col("w"), F.col("row")) / 100), "word-scores")
     share = F.col("s") if kind == "plus" else 1 - F.col("s")
     sums = words.join(scores, ["row", "w"]).groupBy("row", "rule").agg(F.sum(share).alias(f"hits_{kind}"))
     return df.join(sums, ["row", "rule"], "left").withColumn(f"hits_{kind}", F.coalesce(f"hits_{kind}", F.lit(0.0)))

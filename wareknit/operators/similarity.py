@@ -14,7 +14,7 @@ from wareknit.functions.scores import token_similarity
 from wareknit.functions.words import LETTERS, UPPER, WordRule, extract_words, text_of
 from wareknit.plans.lookup import looked_up
 from wareknit.plans.rules import SimilarityRules
-from wareknit.plans.scratch import free_name, written
+from wareknit.plans.scratch import free_name, spread, written
 
 LANGUAGES = {"rus": "russian", "eng": "english"}
 CLASSES = ("caps", "capital", "low", "other")
@@ -121,7 +121,7 @@ def align_lists(pairs: DataFrame, id_col: str, left: str, right: str, threshold:
     short, long = F.least(a, b), F.greatest(a, b)
     most = F.greatest(F.round(200 * short / (a + b)), F.when(long < 1.5 * short, 0).when(long <= 8 * short, 90).otherwise(60))
     possible = both.filter((short == 0) | (most >= 100 * threshold))
-    scores = possible.groupBy("lv", "rv").agg(F.count("*").alias("n")).withColumn("score", token_similarity(F.col("lv"), F.col("rv")))
+    scores = spread(possible.groupBy("lv", "rv").agg(F.count("*").alias("n")), "lv", "rv").withColumn("score", token_similarity(F.col("lv"), F.col("rv")))
     found = looked_up(possible, written(scores, "token-scores"), ["lv", "rv"], "n").filter(F.col("score") >= 100 * threshold)
     best = found.groupBy(id_col, "lv").agg(F.min(F.struct((-F.col("score")).alias("s"), "rv")).alias("b"))
     maps = best.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lv", F.col("b.rv").alias("rv")))).alias("__to"))

@@ -26,6 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to as many partitions as shuffles have, however small it is: for short rows with much work each,
+    of which Spark would leave all to a task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have."""
     taken, name = {c.lower() for c in df.columns}, base

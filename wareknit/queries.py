@@ -206,16 +206,18 @@ def m11_match(spark, sf_dir):
     return measures.match_names(inputs.pairs(spark, sf_dir), "client", "source", RULES).select(*PAIR_KEYS, "matched")
 
 
-# All names against all expressions: SQL tries each body on each name.
+# All names against all expressions: SQL tries each body on each name, all names being one text (so that a body is compiled once).
 MATCH_SQL = f"""WITH c AS (SELECT p_partkey, name, regex FROM ({sql_regex(CATALOG_SQL, 'name', 'p_partkey, name')})),
  r AS (SELECT DISTINCT regex, list_distinct({BODIES_SQL}) AS bodies, starts_with(regex, '^') AS excludes FROM c),
- n AS (SELECT name, count(*) AS k, sum(p_partkey) AS s, regexp_matches('  ' || name || '  ', {re2('(?i)' + measures.exclusion_pattern(QUANTITY)[len(measures.CARET_EXCLUSION) : -2])}) AS excluded FROM c GROUP BY name),
+ n AS (SELECT name, row_number() OVER (ORDER BY name) AS i, count(*) AS k, sum(p_partkey) AS s, regexp_matches('  ' || name || '  ', {re2('(?i)' + measures.exclusion_pattern(QUANTITY)[len(measures.CARET_EXCLUSION) : -2])}) AS excluded FROM c GROUP BY name),
  b AS (SELECT DISTINCT unnest(bodies) AS body FROM r),
- t AS (SELECT body, name FROM b, n WHERE regexp_matches('  ' || name || '  ', '(?i)' || body)),
+ h AS (SELECT string_agg('§' || i || chr(9) || '  ' || name || '  ', '') || '§' AS every FROM n),
+ f AS (SELECT body, CAST(unnest(regexp_extract_all(every, '(?i)§([0-9]+)' || chr(9) || '[^§]*?(?:' || body || ')', 1)) AS BIGINT) AS i FROM b, h),
+ t AS (SELECT body, name FROM f JOIN n USING (i)),
  m AS (SELECT regex, name FROM (SELECT regex, unnest(bodies) AS body, len(bodies) AS k FROM r) JOIN t USING (body) GROUP BY regex, name, k HAVING count(*) = k
   UNION ALL SELECT regex, name FROM r, n WHERE len(bodies) = 0),
- f AS (SELECT regex, sum(k) AS n_matched, sum(s) AS matched_sum FROM m JOIN n USING (name) JOIN r USING (regex) WHERE NOT (excludes AND excluded) GROUP BY regex)
- SELECT p_partkey, CAST(coalesce(n_matched, 0) AS BIGINT) AS n_matched, CAST(coalesce(matched_sum, 0) AS BIGINT) AS matched_sum FROM c LEFT JOIN f USING (regex)"""
+ g AS (SELECT regex, sum(k) AS n_matched, sum(s) AS matched_sum FROM m JOIN n USING (name) JOIN r USING (regex) WHERE NOT (excludes AND excluded) GROUP BY regex)
+ SELECT p_partkey, CAST(coalesce(n_matched, 0) AS BIGINT) AS n_matched, CAST(coalesce(matched_sum, 0) AS BIGINT) AS matched_sum FROM c LEFT JOIN g USING (regex)"""
 
 
 @query(MATCH_SQL)
