@@ -114,7 +114,7 @@ def test_versions_changed_too_much_make_few_pairs(spark, monkeypatch):
 def test_rare_shingles_lose_no_pair(spark, copies):
     """Where all texts are apart and share one key, every pair of brute force meets, and few others."""
     marked, node_of = classes_of(spark.createDataFrame(copies, "doc_id long, text string"))
-    nodes = marked.dropDuplicates(["node"]).select("node", "fp", F.lit(0).alias("band"), F.lit(0).alias("key"), F.col("node").alias("label"), F.lit(-1).cast("long").alias("head_label"))
+    nodes = marked.dropDuplicates(["node"]).select("node", "fp", F.lit(0).alias("band"), F.lit(0).alias("key"), F.col("node").alias("label"), F.lit(-1).cast("long").alias("head_label"), F.lit(9).alias("members"))
     none = spark.createDataFrame([], "a long, b long, similarity double")
     got = {(r.a, r.b) for r in simhash.similar_apart(nodes, none, marked.select("node", "text"), 0.8).collect()}
     want = {tuple(sorted((node_of[a], node_of[b]))) for a, b in brute_pairs(copies) if node_of[a] != node_of[b]}

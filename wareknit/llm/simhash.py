@@ -16,7 +16,7 @@ hashes each (a pair of similarity 0.8 shares none with chance 0.00005). Fingerpr
 discarded where both sets are large, and survivors are verified on the whole shingle sets.
 
 Both look at a key's members twice, so that a group of many copies doesn't make all its pairs. First each is held
-against the key's head (its smallest member). Then, in keys of three members or more, those that didn't get into the head's
+against the key's head (its smallest member or, of similar texts, the one that meets most others in all its keys). Then, in keys of three members or more, those that didn't get into the head's
 group are held against all members that aren't in their own group: all pairs whose link could still join two groups. The head is a pivot there: its
 distance to each member is known, and pairs whose distances to it differ by more than the limit are discarded. Texts
 meet on shingles the second time, each on its rarest ones only, as many as two texts of similarity 0.8 need to share
@@ -126,12 +126,22 @@ def may_be_similar(a: str, b: str) -> Column:
     return F.coalesce(within(a, b, FAR), F.lit(True))
 
 
-def with_heads(rows: DataFrame) -> DataFrame:
-    """Of rows (band, key, node, fp, …) those that share band and key with another, with that key's smallest node as head,
-    its head_fp, and how many members share it."""
-    heads = rows.groupBy("band", "key").agg(F.min(F.struct("node", "fp")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    heads = saved(heads.select("band", "key", F.col("head.node").alias("head"), F.col("head.fp").alias("head_fp"), F.col("n").alias("members")), "heads")
-    return saved(rows.join(heads, ["band", "key"]), "met")
+def with_heads(rows: DataFrame, central: bool = False) -> DataFrame:
+    """Of rows (band, key, node, fp, …) those that share band and key with another, with a head of that key's members, its
+    head_fp, and how many members share it.
+
+    The head is the smallest node or, if central, the one that meets the most members in all of its keys: of many versions of
+    a text it is one that most others are near.
+    """
+    first = F.min(F.struct("node", "fp"))
+    if central:
+        shared = saved(rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
+        met = saved(rows.join(shared, ["band", "key"]), "met")
+        meets = saved(met.groupBy("node").agg(F.sum("n").alias("meets")), "meets")
+        rows, first = met.join(meets, "node").select(rows.columns + ["meets"]), F.min_by(F.struct("node", "fp"), F.struct(-F.col("meets"), "node"))
+    heads = rows.groupBy("band", "key").agg(first.alias("head"), F.count("*").alias("members")).filter("members > 1")
+    heads = saved(heads.select("band", "key", F.col("head.node").alias("head"), F.col("head.fp").alias("head_fp"), "members"), "heads")
+    return saved(rows.drop("meets").join(heads, ["band", "key"]), "with-heads")
 
 
 def with_labels(met: DataFrame, edges: DataFrame) -> DataFrame:
@@ -331,10 +341,10 @@ def similar_apart(named: DataFrame, first: DataFrame, texts: DataFrame, similar:
 
 def similar_links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """a, b: pairs of nodes (node, fp, keys) of that similarity or more, enough to join all that are linked; texts: node, text."""
-    met = with_heads(nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")))
+    met = with_heads(nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")), central=True)
     # One head for each node joins nearly all of a large group; other heads are looked at where the group is still another.
     near_head = met.filter((F.col("node") != F.col("head")) & may_be_similar("fp", "head_fp"))
-    one = compared(saved(near_head.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")), "pairs-with-a-head"), texts)
+    one = compared(saved(near_head.groupBy(F.col("node").alias("b")).agg(F.mode("head", True).alias("a")), "pairs-with-a-head"), texts)
     linked = one.filter(F.col("similarity") >= similar).select("a", "b")
     other = with_labels(met, linked).filter((F.col("label") != F.col("head_label")) & may_be_similar("fp", "head_fp")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     rest = compared(saved(other.join(one.select("a", "b"), ["a", "b"], "left_anti"), "pairs-with-heads"), texts)
