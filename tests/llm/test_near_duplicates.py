@@ -171,3 +171,27 @@ def test_short_texts(spark):
         expected.add(2 * k)
     kept = simhash.one_of_each_group(spark.createDataFrame([(*r, None, None, 0) for r in rows], DOCS)).select("doc_id").collect()
     assert {r.doc_id for r in kept} == expected
+
+
+def test_candidates_come_from_fingerprints_and_the_pivot_table(spark, monkeypatch):
+    """Pairs of similarity 0.8 are found where blocks of their fingerprints are whole, and only if the pivot table lets them pass."""
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(rng.choice([9, 90]))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: len(words) - len(words) // 9]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = brute_pairs(rows)
+    assert len(pairs) == 60
+
+    def blocks(text):
+        own = np.unique(simhash.shingle_hashes(text, 5)).astype(np.uint64)
+        bits = simhash.BITS if len(own) >= simhash.LARGE else simhash.FEW_BITS
+        return {(b, i, (w >> 16 * i) & ((1 << bits) - 1)) for b, w in enumerate(simhash.words_of(own)) for i in range(simhash.BLOCKS)}
+
+    texts = dict(rows)
+    assert all(blocks(texts[a]) & blocks(texts[b]) for a, b in pairs)
+    assert {r.doc_id for r in simhash.one_of_each_group(docs).collect()} == {2 * k for k in range(60)}
+    own = simhash.pivot_table
+    # Distances that no two texts of a pair could have: each row its own, far from all others' in one coordinate at least.
+    monkeypatch.setattr(simhash, "pivot_table", lambda fps, n=simhash.PIVOTS: own(fps, n).withColumn("d0", F.xxhash64("fp")))
+    assert len(simhash.one_of_each_group(docs).collect()) > 110

@@ -10,12 +10,15 @@ pair whose coordinates differ by more is discarded; survivors are verified bit b
 whole blocks of bits agree: 3 bits that differ leave at least two of five blocks whole (with more fingerprints: three of
 six, or four of seven), so that no link is lost, and the join's condition discards and verifies before a pair is made.
 
-similar_groups: sets of five-word shingles, linked at a Jaccard similarity of 0.8 or more. Such pairs differ in about ten
-bits, up to twenty, which no blocks of 64 bits leave whole; so they are looked for by BANDS keys of BAND_ROWS minimum
-hashes each (a pair of similarity 0.8 shares none with chance 0.00005). Fingerprints of more than FAR differing bits are
-discarded where both sets are large, and survivors are verified on the whole shingle sets.
-
-Both look at a key's members twice, so that a group of many copies doesn't make all its pairs. First each is held
+one_of_each_group: sets of five-word shingles, linked at a Jaccard similarity of 0.8 or more. Such pairs differ in up to a
+sixth of their bits (small sets in more), and no 64 bits leave a block whole for sure; so a set has BANDS words of 64 bits, a longer fingerprint, and
+pairs are looked for where one of its BANDS * BLOCKS blocks of BITS bits is whole (a pair of similarity 0.8 has no such
+block with chance 0.00006; sets of fewer than LARGE shingles also meet on FEW_BITS bits). The pivot table and the bits
+discard inside the join, all words' bits after it, and survivors are verified on the whole shingle sets. The closest pairs (NEAR of
+64 bits) are linked before, as in fingerprint_groups, so that their groups make no pairs. Keys that hold far
+more members than chance gives them (versions of one text) are crowded: their members meet by heads, as follows.
+
+Members of a key (in one_of_each_group, of a crowded one) are looked at twice, so that a group of many copies doesn't make all its pairs. First each is held
 against the key's head (its smallest member or, of similar texts, the one that meets most others in all its keys). Then, in keys of three members or more, those that didn't get into the head's
 group are held against all members that aren't in their own group: all pairs whose link could still join two groups. The head is a pivot there: its
 distance to each member is known, and pairs whose distances to it differ by more than the limit are discarded. Texts
@@ -50,11 +53,16 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Large sets of similarity 0.8 differ in 10 bits on average, with a deviation of 3. Bits of sets of fewer than LARGE shingles
 #: spread wider (a set of five against four of them can differ in thirty): they are not discarded by their fingerprints.
 FAR, LARGE = 22, 64
-BANDS, BAND_ROWS = 25, 5
+#: Words of a set's longer fingerprint, blocks of a word (one begins at each sixteenth bit), and a block's bits; FEW_BITS of small sets.
+BANDS, BLOCKS, BITS, FEW_BITS = 25, 4, 14, 10
+#: Chance that a bit differs between sets of similarity 0.8 at most: large ones, small ones (five shingles and four of them).
+DIFFER, DIFFER_SMALL = 0.154, 0.1875
+#: A crowded key holds more than twice the members that chance gives it, and so many more.
+CROWD = 32
 #: Rare shingles that a text carries to its meetings; only what is discarded there depends on it.
 START = 64
-#: Odd factors of the minimum hashes.
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd factors that make a shingle's hash BANDS hashes.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, length: int) -> np.ndarray:
@@ -226,21 +234,20 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """BANDS keys of a set of hashes."""
-    import xxhash
-
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for a in range(0, len(hashes), 1024):  # a very long text is looked at in pieces
-        x = hashes[a : a + 1024, None] * FACTORS[0]
+def words_of(hashes: np.ndarray) -> list[int]:
+    """The longer fingerprint: BANDS words (as signed integers) of bits that over half of a set's hashes have."""
+    ones = np.zeros(64 * BANDS, np.int64)
+    for a in range(0, len(hashes), 255):  # sums of a byte each
+        x = hashes[a : a + 255, None] * FACTORS[0]
         x ^= x >> np.uint64(32)
         x *= FACTORS[1]
-        least = np.minimum(least, x.min(axis=0))
-    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(np.int64).tolist()
 
 
 def signature(text: Column) -> Column:
-    """struct<node long, fp long, keys array<long>>: a number for the set of shingles, its fingerprint if it is large, its band keys."""
+    """struct<node long, fp long, keys array<long>>: a number for the set of shingles, its fingerprint if it is large, the words of its longer fingerprint."""
 
     @F.arrow_udf("struct<node: long, fp: long, keys: array<long>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -252,7 +259,7 @@ def signature(text: Column) -> Column:
                 own = np.unique(shingle_hashes(t.as_py() or "", SHINGLE))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 fps.append(bits_of(own) if len(own) >= LARGE else None)
-                keys.append(band_keys(own.astype(np.uint64)))
+                keys.append(words_of(own.astype(np.uint64)))
             yield pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
 
     return made(text)
@@ -339,19 +346,79 @@ def similar_apart(named: DataFrame, first: DataFrame, texts: DataFrame, similar:
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
+def far(bits: int, small: Column) -> Column:
+    """So many of the bits differ at most: five deviations more than the mean."""
+    most, most_small = (int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5) for p in (DIFFER, DIFFER_SMALL))
+    return F.when(small, most_small).otherwise(most)
+
+
+def block_rows(nodes: DataFrame) -> DataFrame:
+    """The columns of nodes (fp, keys, …) but these, and key, a long for each block of the words keys: its place, and its bits."""
+    word = nodes.select("*", F.posexplode("keys").alias("band", "word"))
+
+    def keys(bits: int, kind: int) -> list[Column]:
+        part = [F.shiftrightunsigned("word", 16 * i).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(BLOCKS)]
+        return [F.shiftleft((F.col("band") * BLOCKS + i).cast("long") * 2 + kind, BITS).bitwiseOR(part[i]) for i in range(BLOCKS)]
+
+    blocks = F.when(F.col("fp").isNull(), F.array(*keys(BITS, 0), *keys(FEW_BITS, 1))).otherwise(F.array(*keys(BITS, 0)))
+    return word.select("*", F.explode(blocks).alias("key")).drop("fp", "keys", "band", "word")
+
+
+def crowded_keys(nodes: DataFrame) -> DataFrame:
+    """key: those of block_rows with far more members than chance gives them."""
+    count, large = nodes.agg(F.count("*"), F.count("fp")).head()
+    few = F.shiftrightunsigned("key", BITS).bitwiseAND(F.lit(1)) == 1
+    usual = F.when(few, (count - large) >> FEW_BITS).otherwise(count >> BITS)
+    return saved(block_rows(nodes.select("fp", "keys")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * usual + CROWD).select("key"), "crowded-keys")
+
+
+def nearest_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes of equal fingerprints, and of fingerprints that links joins."""
+    named = saved(nodes.filter("fp is not null").groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-nodes")
+    same = nodes.join(named, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = saved(links(named.select("fp"), named.count()), "nearest-links")
+    side = {c: named.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in "ab"}
+    near = found.join(side["a"], "a").join(side["b"], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return same.unionByName(near)
+
+
+def block_pairs(nodes: DataFrame, edges: DataFrame, crowded: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes in different groups, by edges, that have a block whole and may be similar by pivot table and bits. Crowded keys are left out."""
+    labels = groups(edges).select("node", F.col("root").alias("label"))
+    facts = nodes.join(labels, "node", "left").select("node", "keys", F.coalesce("label", "node").alias("label"), F.col("fp").isNull().alias("small"), F.col("fp").alias("own"), F.get("keys", F.lit(0)).alias("fp"), F.get("keys", F.lit(1)).alias("more"))
+    facts = saved(pivot_table(facts, 8).withColumnsRenamed({"fp": "bits", "own": "fp"}), "pivot-table")
+    rows = block_rows(facts).join(F.broadcast(crowded), "key", "left_anti")
+    small = F.col("a.small") & F.col("b.small")
+    limit = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
+    limit &= F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) + F.bit_count(F.col("a.more").bitwiseXOR(F.col("b.more"))) <= far(128, small)
+    for i in range(8):
+        x, y = (F.shiftrightunsigned(f"{side}.d0", 8 * i).bitwiseAND(F.lit(255)) for side in "ab")
+        limit &= F.abs(x - y) <= far(64, small)
+    met = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & limit)
+    pairs = saved(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), small.alias("small")).distinct(), "block-pairs")
+    x, y = (nodes.select(F.col("node").alias(c), F.col("keys").alias(f"{c}_keys")) for c in "ab")
+    differ = F.aggregate(F.zip_with("a_keys", "b_keys", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda v, w: v + w)
+    return pairs.join(x, "a").join(y, "b").filter(differ <= far(64 * BANDS, F.col("small"))).select("a", "b")
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """a, b: pairs of nodes (node, fp, keys) of that similarity or more, enough to join all that are linked; texts: node, text."""
-    met = with_heads(nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")), central=True)
+    near = compared(saved(nearest_pairs(nodes), "nearest-pairs"), texts)
+    linked = near.filter(F.col("similarity") >= similar).select("a", "b")
+    crowded = crowded_keys(nodes)
+    crowd = block_rows(nodes.withColumn("own", F.col("fp"))).join(F.broadcast(crowded), "key", "left_semi")
+    met = with_heads(saved(crowd.select("node", F.col("own").alias("fp"), F.lit(0).alias("band"), "key"), "crowd"), central=True)
     # One head for each node joins nearly all of a large group; other heads are looked at where the group is still another.
     near_head = met.filter((F.col("node") != F.col("head")) & may_be_similar("fp", "head_fp"))
     one = compared(saved(near_head.groupBy(F.col("node").alias("b")).agg(F.mode("head", True).alias("a")), "pairs-with-a-head"), texts)
-    linked = one.filter(F.col("similarity") >= similar).select("a", "b")
+    linked = linked.unionByName(one.filter(F.col("similarity") >= similar).select("a", "b"))
     other = with_labels(met, linked).filter((F.col("label") != F.col("head_label")) & may_be_similar("fp", "head_fp")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     rest = compared(saved(other.join(one.select("a", "b"), ["a", "b"], "left_anti"), "pairs-with-heads"), texts)
-    first = one.unionByName(rest)
-    linked = first.filter(F.col("similarity") >= similar).select("a", "b")
-    second = compared(saved(similar_apart(with_labels(met, linked), first, texts, similar), "pairs-apart"), texts)
-    return linked.unionByName(second.filter(F.col("similarity") >= similar).select("a", "b"))
+    linked = linked.unionByName(rest.filter(F.col("similarity") >= similar).select("a", "b"))
+    second = compared(saved(similar_apart(with_labels(met, linked), one.unionByName(rest), texts, similar), "pairs-apart"), texts)
+    linked = linked.unionByName(second.filter(F.col("similarity") >= similar).select("a", "b"))
+    last = compared(saved(block_pairs(nodes, linked, crowded), "pairs-by-blocks"), texts)
+    return linked.unionByName(last.filter(F.col("similarity") >= similar).select("a", "b"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
