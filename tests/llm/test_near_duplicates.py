@@ -121,6 +121,32 @@ def test_rare_shingles_lose_no_pair(spark, copies):
     assert want <= got and len(got) < 4 * len(want)
 
 
+def test_work_grows_with_the_texts(spark, monkeypatch):
+    """Ten times as many versions of each text, most of them near duplicates of no other: no table of pairs holds many for each
+    text, and no more texts meet on shingles than ten times as many, give or take a few."""
+    own, took = simhash.saved, []
+    for versions in (12, 120):
+        rng, rows, left, held, pairs = random.Random(5), [], set(), Counter(), 0
+
+        def saved(df, name, *a):
+            nonlocal pairs
+            out = own(df, name, *a)
+            held[name] += (n := out.count())
+            pairs = max(pairs, n if set(out.columns) == {"a", "b"} else 0)
+            return out
+
+        monkeypatch.setattr(simhash, "saved", saved)
+        for f in range(10):
+            base = [f"w{f}_{k}" for k in range(150)]
+            some = [(1000 * f + i, " ".join(w if rng.random() > rate else f"y{rng.randrange(10**6)}" for w in base)) for i, rate in enumerate(rng.choices([0.01, 0.04, 0.05, 0.06], k=versions))]
+            left |= roots([i for i, _ in some], brute_pairs(some))
+            rows += some
+        assert {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == left
+        assert pairs <= 15 * len(rows) and held["compared"] <= 4 * len(rows)
+        took.append(held["shingle-sets"])
+    assert took[1] <= 15 * took[0]
+
+
 def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{k}" for k in range(200)]

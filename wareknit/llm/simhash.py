@@ -12,13 +12,13 @@ six, or four of seven), so that no link is lost, and the join's condition discar
 
 one_of_each_group: sets of five-word shingles, linked at a Jaccard similarity of 0.8 or more. Such pairs differ in up to a
 sixth of their bits (small sets in more), and no 64 bits leave a block whole for sure; so a set has BANDS words of 64 bits, a longer fingerprint, and
-pairs are looked for where one of its BANDS * BLOCKS blocks of BITS bits is whole (a pair of similarity 0.8 has no such
-block with chance 0.00006; sets of fewer than LARGE shingles also meet on FEW_BITS bits). The pivot table and the bits
-discard inside the join, all words' bits after it, and survivors are verified on the whole shingle sets. The closest pairs (NEAR of
-64 bits) are linked before, as in fingerprint_groups, so that their groups make no pairs. Keys that hold far
-more members than chance gives them (versions of one text) are crowded: their members meet by heads, as follows.
+texts meet where one of its BANDS * BLOCKS blocks of BITS bits is whole (a pair of similarity 0.8 has no such
+block with chance 0.00006; sets of fewer than LARGE shingles also meet on FEW_BITS bits). The closest pairs (NEAR of
+64 bits) are linked before, as in fingerprint_groups. Blocks are then held against each other only to find the texts that meet
+any of another group: pivot table and bits discard inside that join, which makes a row for each block of a text at
+most, never one for each pair. What meets there is looked at as follows, and survivors are verified on the whole shingle sets.
 
-Members of a key (in one_of_each_group, of a crowded one) are looked at twice, so that a group of many copies doesn't make all its pairs. First each is held
+Members of a key are looked at twice, so that a group of many copies doesn't make all its pairs. First each is held
 against the key's head (its smallest member or, of similar texts, the one that meets most others in all its keys). Then, in keys of three members or more, those that didn't get into the head's
 group are held against all members that aren't in their own group: all pairs whose link could still join two groups. The head is a pivot there: its
 distance to each member is known, and pairs whose distances to it differ by more than the limit are discarded. Texts
@@ -57,10 +57,10 @@ FAR, LARGE = 22, 64
 BANDS, BLOCKS, BITS, FEW_BITS = 25, 4, 14, 10
 #: Chance that a bit differs between sets of similarity 0.8 at most: large ones, small ones (five shingles and four of them).
 DIFFER, DIFFER_SMALL = 0.154, 0.1875
-#: A crowded key holds more than twice the members that chance gives it, and so many more.
-CROWD = 32
 #: Rare shingles that a text carries to its meetings; only what is discarded there depends on it.
 START = 64
+#: Links that a task writes in the search for groups.
+LINKS_A_TASK = 100_000
 #: Odd factors that make a shingle's hash BANDS hashes.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -200,22 +200,22 @@ def links(fps: DataFrame, count: int, near: int = NEAR) -> DataFrame:
 def groups(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of an edge (a, b) is connected to."""
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
-    seen = None
+    # Few links are written in few files: however many partitions shuffles have, each step would write one for each.
+    parts = 1 + now.count() // LINKS_A_TASK
     while True:
         # Large star: every greater neighbour of u goes to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Least neighbours are written, so that the join is one of two plain tables, whose frequent keys Spark can split.
-        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = saved(large, "large-star")
+        large = saved(large.coalesce(parts), "large-star")
         # Small star: u and its smaller neighbours go to the smallest of them.
-        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        now = saved(small, "small-star")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if seen == tuple(state):
+        now = saved(small.coalesce(parts), "small-star")
+        # Nothing changes any more where each node has one link, to a node that has none to a smaller one.
+        if now.groupBy("u").count().filter("count > 1").isEmpty() and now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = tuple(state)
 
 
 def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,14 +364,6 @@ def block_rows(nodes: DataFrame) -> DataFrame:
     return word.select("*", F.explode(blocks).alias("key")).drop("fp", "keys", "band", "word")
 
 
-def crowded_keys(nodes: DataFrame) -> DataFrame:
-    """key: those of block_rows with far more members than chance gives them."""
-    count, large = nodes.agg(F.count("*"), F.count("fp")).head()
-    few = F.shiftrightunsigned("key", BITS).bitwiseAND(F.lit(1)) == 1
-    usual = F.when(few, (count - large) >> FEW_BITS).otherwise(count >> BITS)
-    return saved(block_rows(nodes.select("fp", "keys")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * usual + CROWD).select("key"), "crowded-keys")
-
-
 def nearest_pairs(nodes: DataFrame) -> DataFrame:
     """a, b: nodes of equal fingerprints, and of fingerprints that links joins."""
     named = saved(nodes.filter("fp is not null").groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-nodes")
@@ -382,42 +374,45 @@ def nearest_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def block_pairs(nodes: DataFrame, edges: DataFrame, crowded: DataFrame) -> DataFrame:
-    """a, b: pairs of nodes in different groups, by edges, that have a block whole and may be similar by pivot table and bits. Crowded keys are left out."""
+def meeting_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, fp, band, key: the nodes' blocks that are whole in a node of another group, by edges, too, from which neither pivot
+    table nor bits tell this one apart. However many such nodes there are, a block is one row."""
     labels = groups(edges).select("node", F.col("root").alias("label"))
     facts = nodes.join(labels, "node", "left").select("node", "keys", F.coalesce("label", "node").alias("label"), F.col("fp").isNull().alias("small"), F.col("fp").alias("own"), F.get("keys", F.lit(0)).alias("fp"), F.get("keys", F.lit(1)).alias("more"))
     facts = saved(pivot_table(facts, 8).withColumnsRenamed({"fp": "bits", "own": "fp"}), "pivot-table")
-    rows = block_rows(facts).join(F.broadcast(crowded), "key", "left_anti")
+    rows = block_rows(facts)
     small = F.col("a.small") & F.col("b.small")
-    limit = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
+    # Both sides need the same columns, so that one shuffle serves both.
+    limit = (F.col("a.node") != F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
     limit &= F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) + F.bit_count(F.col("a.more").bitwiseXOR(F.col("b.more"))) <= far(128, small)
     for i in range(8):
         x, y = (F.shiftrightunsigned(f"{side}.d0", 8 * i).bitwiseAND(F.lit(255)) for side in "ab")
         limit &= F.abs(x - y) <= far(64, small)
-    met = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & limit)
-    pairs = saved(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), small.alias("small")).distinct(), "block-pairs")
-    x, y = (nodes.select(F.col("node").alias(c), F.col("keys").alias(f"{c}_keys")) for c in "ab")
+    met = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & limit, "left_semi").select("node", "key")
+    return saved(met.join(nodes.select("node", "fp"), "node").select("node", "fp", F.lit(0).alias("band"), "key"), "meeting-rows")
+
+
+def bits_agree(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that may be similar by all bits of the longer fingerprints."""
+    x, y = (nodes.select(F.col("node").alias(c), F.col("keys").alias(f"{c}_keys"), F.col("fp").isNull().alias(f"{c}_small")) for c in "ab")
     differ = F.aggregate(F.zip_with("a_keys", "b_keys", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda v, w: v + w)
-    return pairs.join(x, "a").join(y, "b").filter(differ <= far(64 * BANDS, F.col("small"))).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter(differ <= far(64 * BANDS, F.col("a_small") & F.col("b_small"))).select("a", "b")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """a, b: pairs of nodes (node, fp, keys) of that similarity or more, enough to join all that are linked; texts: node, text."""
     near = compared(saved(nearest_pairs(nodes), "nearest-pairs"), texts)
     linked = near.filter(F.col("similarity") >= similar).select("a", "b")
-    crowded = crowded_keys(nodes)
-    crowd = block_rows(nodes.withColumn("own", F.col("fp"))).join(F.broadcast(crowded), "key", "left_semi")
-    met = with_heads(saved(crowd.select("node", F.col("own").alias("fp"), F.lit(0).alias("band"), "key"), "crowd"), central=True)
+    met = with_heads(meeting_rows(nodes, linked), central=True)
     # One head for each node joins nearly all of a large group; other heads are looked at where the group is still another.
     near_head = met.filter((F.col("node") != F.col("head")) & may_be_similar("fp", "head_fp"))
     one = compared(saved(near_head.groupBy(F.col("node").alias("b")).agg(F.mode("head", True).alias("a")), "pairs-with-a-head"), texts)
     linked = linked.unionByName(one.filter(F.col("similarity") >= similar).select("a", "b"))
     other = with_labels(met, linked).filter((F.col("label") != F.col("head_label")) & may_be_similar("fp", "head_fp")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    rest = compared(saved(other.join(one.select("a", "b"), ["a", "b"], "left_anti"), "pairs-with-heads"), texts)
+    other = saved(other.join(one.select("a", "b"), ["a", "b"], "left_anti"), "other-heads")
+    rest = compared(saved(bits_agree(other, nodes), "pairs-with-heads"), texts)
     linked = linked.unionByName(rest.filter(F.col("similarity") >= similar).select("a", "b"))
-    second = compared(saved(similar_apart(with_labels(met, linked), one.unionByName(rest), texts, similar), "pairs-apart"), texts)
-    linked = linked.unionByName(second.filter(F.col("similarity") >= similar).select("a", "b"))
-    last = compared(saved(block_pairs(nodes, linked, crowded), "pairs-by-blocks"), texts)
+    last = compared(saved(similar_apart(with_labels(met, linked), one.unionByName(rest), texts, similar), "pairs-apart"), texts)
     return linked.unionByName(last.filter(F.col("similarity") >= similar).select("a", "b"))
 
 
