@@ -152,3 +152,49 @@ def test_a_pair_of_tokens_in_half_of_the_rows(spark):
     df = spark.createDataFrame(rows, "id long, client string, source string")
     got = {r.id: r.client_mark for r in similarity.validate_similarity(df, "client", "source", rules).collect()}
     assert len(got) == 2_000 and all(got[i] == 1 for i in range(1, 2_000, 2)) and all(got[i] < 1 for i in range(0, 2_000, 2))
+
+
+def seen_by(monkeypatch, of):
+    """The rows of each table whose tokens are found, from now on."""
+    real, seen = similarity.with_tokens, []
+
+    def counted(df, *args):
+        seen.append(sorted(tuple(r[c] for c in of) for r in df.select(*of).collect()))
+        return real(df, *args)
+
+    monkeypatch.setattr(similarity, "with_tokens", counted)
+    return seen
+
+
+def test_align_query_works_on_distinct_names(spark, sf_dir, monkeypatch):
+    """s4 finds and aligns tokens once for each pair of names, whatever the number of rows that have it."""
+    import __spark_entry__ as entry
+
+    seen = seen_by(monkeypatch, ["client", "source"])
+    got = entry.queries()["s4_align"](spark, sf_dir)
+    names = inputs.pairs(spark, sf_dir).select("client", "source")
+    assert seen == [sorted((r.client, r.source) for r in names.distinct().collect())] and len(seen[0]) < names.count() == got.count()
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_is_made_once_for_names(spark):
+    """Nulls are empty names, repeated rows stay, columns of the same name are replaced, others stay."""
+    rows = [(1, "a", "b", "old"), (1, "a", "b", "old"), (2, None, "b", "old"), (3, "", "b", None), (4, None, None, None), (5, "b", "a", "old")]
+    df = spark.createDataFrame(rows, "client_name int, left string, right string, made string")
+    made = []
+
+    def make(names):
+        made.extend((r.client, r.source) for r in names.collect())
+        return names.withColumn("made", F.concat_ws("+", "client", "source"))
+
+    got = similarity.once_for_names(df, "left", "right", make)
+    assert sorted(made) == [("", ""), ("", "b"), ("a", "b"), ("b", "a")] and sorted(got.columns) == sorted(df.columns)
+    assert sorted((r.client_name, r.left or "-", r.right or "-", r.made) for r in got.collect()) == sorted((i, a or "-", b or "-", f"{a or ''}+{b or ''}") for i, a, b, _ in rows)
+    assert similarity.once_for_names(df.limit(0), "left", "right", lambda n: n.withColumn("made", F.lit(1))).count() == 0
+
+
+def test_tokens_are_searched_once(spark):
+    """One search for each language and text, not one more for each use of the tokens."""
+    df = spark.createDataFrame([("Foo bar", "bar ёлка")], "a string, b string")
+    got = similarity.with_tokens(df, {"l": F.col("a"), "r": F.col("b")}, SimilarityRules(language_weights=(("rus", 1), ("eng", 10))))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 4

@@ -7,6 +7,8 @@ tokens and pairs of tokens find them without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +85,10 @@ def with_tokens(df: DataFrame, columns: dict[str, Column], rules: SimilarityRule
     """df with the prepared tokens of each column's text. Without symbols and with plain boundaries, one search does."""
     if rules.symbols or rules.custom_boundary or not rules.word_boundary:
         df = staged_tokens(df, columns, rules)
-        return df.withColumns({n: prepare_tokens(F.col(n), rules.word_min_length) for n in columns})
-    return df.withColumns({n: prepare_tokens(weighted_tokens(c, rules), rules.word_min_length) for n, c in columns.items()})
+    else:
+        df = df.withColumns({n: weighted_tokens(c, rules) for n, c in columns.items()})
+    # A select of its own: inside one expression, all tokens would be found again for each token.
+    return df.withColumns({n: prepare_tokens(F.col(n), rules.word_min_length) for n in columns})
 
 
 def prepare_tokens(tokens: Column, min_length: int) -> Column:
@@ -94,6 +98,19 @@ def prepare_tokens(tokens: Column, min_length: int) -> Column:
     return F.filter(long, lambda t, i: F.array_position(values, t["value"]) == i + 1)
 
 
+def once_for_names(pairs: DataFrame, client: str, source: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """pairs with the columns that make() adds to a table of the distinct pairs of names (client, source), once for each.
+
+    They replace pairs' own columns of the same names; a null is an empty name.
+    """
+    c, s = (free_name(pairs, n) for n in ("client_name", "source_name"))
+    keyed = pairs.withColumns({c: text_of(client), s: text_of(source)})
+    once = written(keyed.select(F.col(c).alias("client"), F.col(s).alias("source")).distinct(), "name-pairs")
+    # Written, so that the join back is one of two plain tables: a small one is broadcast, frequent keys of a large one Spark can split.
+    made = written(make(spread(once, "client", "source")).withColumnsRenamed({"client": c, "source": s}), "made-for-names")
+    return keyed.drop(*[n for n in made.columns if n not in (c, s)]).join(made, [c, s]).drop(c, s)
+
+
 def align_tokens(pairs: DataFrame, left: str, right: str, threshold: float = 0.75) -> DataFrame:
     """pairs with left tokens' values replaced by those of their best right tokens.
 

@@ -13,6 +13,7 @@ from wareknit.operators import cross, features, match, measures, offers, similar
 from wareknit.plans import inputs
 from wareknit.plans.inputs import CATALOG_SQL, PAIR_KEYS, PAIRS_SQL, RULES_SQL
 from wareknit.plans.rules import Measure, MeasureRules, SimilarityRules, Unit, load_measure_rules, load_similarity_rules, shipped_rules
+from wareknit.plans.scratch import written
 from wareknit.sources.tables import read_products, write_result
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -413,8 +414,11 @@ def s2_staged_tokens(spark, sf_dir):
 
 @query()
 def s4_align(spark, sf_dir):
-    df = similarity.with_tokens(inputs.pairs(spark, sf_dir), sides(), SIM)
-    return similarity.align_tokens(df, "l", "r").select(*PAIR_KEYS, values("l"), values("r"))
+    def aligned(names):
+        tokens = written(similarity.with_tokens(names, sides(), SIM), "tokens")
+        return similarity.align_tokens(tokens, "l", "r").select("client", "source", values("l"), values("r"))
+
+    return similarity.once_for_names(inputs.pairs(spark, sf_dir), "client", "source", aligned).select(*PAIR_KEYS, "l", "r")
 
 
 RATES_SQL = f"""WITH p AS (SELECT {KEYS}, {sql_tokens('client')} AS a, {sql_tokens('source')} AS b FROM {PAIRS_SQL}),
