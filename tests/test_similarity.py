@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,21 @@ def test_tokens_are_searched_once(spark):
     df = spark.createDataFrame([("Foo bar", "bar ёлка")], "a string, b string")
     got = similarity.with_tokens(df, {"l": F.col("a"), "r": F.col("b")}, SimilarityRules(language_weights=(("rus", 1), ("eng", 10))))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 4
+
+
+def test_rates_query_works_on_distinct_names(spark, sf_dir, monkeypatch):
+    """s5 finds the tokens of each name once, and counts them as often as the name is there."""
+    import __spark_entry__ as entry
+
+    seen = seen_by(monkeypatch, ["name", "n"])
+    got = entry.queries()["s5_token_rates"](spark, sf_dir)
+    often = Counter(n for r in inputs.pairs(spark, sf_dir).select("client", "source").collect() for n in r)
+    assert seen == [sorted(often.items())] and "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_how_often_names_are_there(spark):
+    """Both columns count, in one row too; a null is an empty name."""
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "b"), ("b", "a"), (None, "a"), ("", None)], "l string, r string")
+    assert {r.name: r.n for r in similarity.name_counts(df, ["l", "r"]).collect()} == {"a": 6, "b": 3, "": 3}
+    assert {r.name: r.n for r in similarity.name_counts(df, ["r"]).collect()} == {"a": 3, "b": 2, "": 1}
+    assert similarity.name_counts(df.limit(0), ["l", "r"]).count() == 0

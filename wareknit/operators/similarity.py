@@ -98,6 +98,13 @@ def prepare_tokens(tokens: Column, min_length: int) -> Column:
     return F.filter(long, lambda t, i: F.array_position(values, t["value"]) == i + 1)
 
 
+def name_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, n: how often each text stands in the columns; a null is an empty one."""
+    # Rows with the same texts in all columns meet first: one row each goes on, not one for each column.
+    same = df.groupBy(*[text_of(c).alias(f"c{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("n"))
+    return same.select(F.explode(F.array(*[f"c{i}" for i in range(len(columns))])).alias("name"), "n").groupBy("name").agg(F.sum("n").alias("n"))
+
+
 def once_for_names(pairs: DataFrame, client: str, source: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """pairs with the columns that make() adds to a table of the distinct pairs of names (client, source), once for each.
 

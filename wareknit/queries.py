@@ -13,7 +13,7 @@ from wareknit.operators import cross, features, match, measures, offers, similar
 from wareknit.plans import inputs
 from wareknit.plans.inputs import CATALOG_SQL, PAIR_KEYS, PAIRS_SQL, RULES_SQL
 from wareknit.plans.rules import Measure, MeasureRules, SimilarityRules, Unit, load_measure_rules, load_similarity_rules, shipped_rules
-from wareknit.plans.scratch import written
+from wareknit.plans.scratch import spread, written
 from wareknit.sources.tables import read_products, write_result
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -428,8 +428,10 @@ RATES_SQL = f"""WITH p AS (SELECT {KEYS}, {sql_tokens('client')} AS a, {sql_toke
 
 @query(RATES_SQL.format(rate="1.0 / sqrt(n)") + " SELECT token, n, round(rate, 9) AS rate FROM r")
 def s5_token_rates(spark, sf_dir):
-    tokens = lambda c: similarity.prepare_tokens(similarity.weighted_tokens(similarity.clean_names(c), SIM), SIM.word_min_length)
-    counts = similarity.token_counts(inputs.pairs(spark, sf_dir).select(tokens("client").alias("l"), tokens("source").alias("r")), ["l", "r"])
+    names = similarity.name_counts(inputs.pairs(spark, sf_dir), ["client", "source"])
+    tokens = similarity.with_tokens(spread(names, "name"), {"tokens": similarity.clean_names("name")}, SIM)
+    # Written once: they are read for the largest count and for the rates.
+    counts = written(similarity.token_counts(tokens, ["tokens"], F.col("n")), "token-counts")
     return similarity.token_rates(counts, SIM).select("token", "n", F.round("rate", 9).alias("rate"))
 
 
